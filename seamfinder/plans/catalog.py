@@ -1,0 +1,10 @@
+"""The registered queries over the driver's tables and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
