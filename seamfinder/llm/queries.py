@@ -29,5 +29,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id").drop("score")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op6_quality, op7_secrets)}
 ORACLE_SQL: dict[str, str] = {}
