@@ -43,5 +43,22 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op6_quality, op7_secrets)}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode
+
+    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenfile import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op6_quality, op7_secrets, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
