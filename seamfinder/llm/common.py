@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +53,11 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._forget(self.path(name))
@@ -99,28 +104,3 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
 
 def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def rows(df: DataFrame, schema: str, make) -> DataFrame:
-    """make(values of one input row) -> a tuple of output values, over Arrow batches."""
-    names = [x.strip().rsplit(" ", 1)[0].strip("` ") for x in re.split(r",(?![^<]*>)", schema)]
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = [make(*(c[i].as_py() for c in part.columns)) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*made), types)], names=names) if made else pa.RecordBatch.from_arrays([pa.array([], type=t) for t in types], names=names)
-
-    types = arrow_types(schema)
-    return df.mapInArrow(run, schema)
-
-
-def arrow_types(schema: str) -> list:
-    simple = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
-
-    def one(kind: str):
-        m = re.fullmatch(r"array<(.+)>", kind)
-        return pa.list_(one(m[1])) if m else simple[kind]
-
-    return [one(x.strip().rsplit(" ", 1)[1]) for x in re.split(r",(?![^<]*>)", schema)]

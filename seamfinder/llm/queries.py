@@ -52,6 +52,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,5 +66,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op6_quality, op7_secrets, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op6_quality, op7_secrets, op9_substring, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
