@@ -29,6 +29,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+    return found.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -66,5 +73,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op6_quality, op7_secrets, op9_substring, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op5_embeddings, op6_quality, op7_secrets, op9_substring, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
