@@ -59,6 +59,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import deduplicate
 
@@ -73,5 +80,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op5_embeddings, op6_quality, op7_secrets, op9_substring, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op5_embeddings, op6_quality, op7_secrets, op8_pii, op9_substring, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
