@@ -82,10 +82,19 @@ def _tilts(hist: DataFrame, wanted: DataFrame, scratch: Scratch, limit: int) ->
     return state
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mixed documents: docs' columns, a row for each copy; a cut copy has the first words only, joined by a space."""
+    mixed = mix(docs, id_col, text_col, source_col, with_row=True, **how)
+    copies = mixed.where("taken > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") + F.when(F.col("cut") > 0, 1).otherwise(0))))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit(f"({WORD})"), F.lit(1)), 1, F.col("cut").cast("int")), " ")
+    text = F.when(F.col("k") > F.col("copies"), first).otherwise(F.col("row")[text_col])
+    return copies.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 7, with_row: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(id, source, size, source_size, target, copies, cut, taken) for every row of docs.
 
-    copies: whole copies that the mix takes; cut: words of one more, cut, copy
+    with_row adds the whole row as the struct ``row``. copies: whole copies that the mix takes; cut: words of one more, cut, copy
     (at most one row of a source has one); taken = copies * size + cut.
 
     Null texts have size 0, a null source is a source of its own, after the
@@ -103,11 +112,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.when((F.col("size") == 0) | (F.col("target") <= 0), 0.0).when(F.col("full"), float(limit)).otherwise(F.least(F.lit(float(limit)), F.exp(F.col("lam") * F.col("size") / F.col("mean"))))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11) + 1) / F.lit(float(1 << 53))
     bins = F.greatest(F.lit(1.0), F.col("n") / PER_BIN)
-    rated = sized.join(tilt, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).withColumn("base", F.floor("rate")) \
-        .withColumn("turn", F.when(F.col("rate") > F.col("base"), u / (F.col("rate") - F.col("base")))) \
-        .withColumn("bin", F.floor(F.least(F.col("turn"), F.lit(8.0)) * bins))
-    rated = sc.keep(rated.select("id", "source", "size", "s", "target", "base", "turn", "bin"), "rated")
 
+    def rated_of(df: DataFrame) -> DataFrame:
+        return df.join(tilt, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).withColumn("base", F.floor("rate")) \
+            .withColumn("turn", F.when(F.col("rate") > F.col("base"), u / (F.col("rate") - F.col("base")))) \
+            .withColumn("bin", F.floor(F.least(F.col("turn"), F.lit(8.0)) * bins)).drop("of")
+
+    rated = rated_of(sized)
     # one row per source and bin; base rows (bin null) come first
     per = rated.groupBy("source", "bin").agg(F.sum(F.col("base") * F.col("size")).alias("given"), F.sum("size").alias("more"), F.first("target").alias("target"))
     whole = Window.partitionBy("source")
@@ -117,6 +128,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut_bin = sc.keep(due.where((F.col("before") <= F.col("due")) & (F.col("before") + F.col("more") > F.col("due")) & F.col("bin").isNotNull())
                       .select(F.col("source").alias("of"), F.col("bin").alias("last"), "due", "before"), "cut")
     # without such a bin, all documents of the source with a fraction are taken once more
+    if with_row:
+        rated = rated_of(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size")))
     joined = rated.join(cut_bin, F.col("source").eqNullSafe(F.col("of")), "left")
     plain = joined.where(F.col("last").isNull() | F.col("bin").isNull() | (F.col("bin") != F.col("last"))) \
         .withColumn("extra", F.when(F.col("bin").isNull(), 0).when(F.col("last").isNull() | (F.col("bin") < F.col("last")), 1).otherwise(0)).withColumn("cut", F.lit(0).cast("long"))
@@ -124,5 +137,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = joined.where(F.col("bin") == F.col("last")).withColumn("rest", F.col("due") - F.col("before") - F.coalesce(F.sum("size").over(turn), F.lit(0))) \
         .withColumn("extra", F.when(F.col("rest") >= F.col("size"), 1).otherwise(0)) \
         .withColumn("cut", F.when((F.col("rest") > 0) & (F.col("rest") < F.col("size")), F.round("rest").cast("long")).otherwise(F.lit(0).cast("long")))
-    cols = ["id", "source", "size", F.col("s").alias("source_size"), "target", (F.col("base") + F.col("extra")).cast("long").alias("copies"), "cut"]
+    cols = ["id", "source", "size", F.col("s").alias("source_size"), "target", (F.col("base") + F.col("extra")).cast("long").alias("copies"), "cut", *["row"] * with_row]
     return plain.select(*cols).unionByName(edge.select(*cols)).withColumn("taken", F.col("copies") * F.col("size") + F.col("cut"))

@@ -196,3 +196,26 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = dict(measured.dtypes)["id"]
     return measured.mapInArrow(run, f"id {kind}, {', '.join(f'{x} long' for x in BASE)}, base_failed boolean, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns.
+
+    The trees are fitted on the labelled documents with the smallest hashes,
+    ``sample`` at most; texts stay where they are and are judged in one pass.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("good")) \
+        .orderBy(F.xxhash64("of"), "of").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(known), F.col("id") == F.col("of"))  # ``sample`` rows at most
+    found = measure(rows.select("id", "good", text_col), "good", text_col).collect()
+    trees = fit(np.array([r.features for r in found]).reshape(len(found), len(FEATURES)), np.array([float(r.id > 0) for r in found]))
+    bar = float(np.log(threshold / (1 - threshold))) if len(trees.feature) else -np.inf
+
+    def run(batches):
+        for b in batches:
+            made = [statistics(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))]
+            if made:
+                scores = trees.score(np.array([m[1] for m in made]))
+                yield b.filter(pa.array([m[0][0] >= 10 and 100 * m[0][4] <= 20 * m[0][0] and bool(x >= bar) for m, x in zip(made, scores)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -126,3 +126,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = of.groupBy("root").agg(F.min("own").alias("component"))
     label = s.keep(of.join(best, "root").select("fp", "component"), "label")
     return fp.join(label, "fp").select("id", "fp", "component")
+
+
+# wide fingerprints, for texts that are similar rather than almost equal
+
+#: 64-bit lanes of a wide fingerprint, and neighbours that are compared in each order of its segments.
+LANES, NEAR = 4, 16
+#: Share of the pairs right at the wanted similarity that some order brings together.
+RECALL = 0.99
+#: Two standard errors of the share of equal bits, in bits: pairs at the wanted similarity lie within.
+SLACK = 4
+_LANE_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def wide_fingerprint(text: str | None, k: int = 5) -> np.ndarray:
+    """LANES words: the majority of each bit over the k-word shingles, hashed once and mixed anew for every lane."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(LANES, np.uint64)
+    n = max(1, len(words) - k + 1)
+    votes = np.zeros((LANES, 64), np.int64)
+    for at in range(0, n, 1 << 14):
+        part = words[at : min(n, at + (1 << 14)) + k - 1]
+        grams = [b" ".join(x) for x in zip(*(part[i:] for i in range(k)))] if len(words) >= k else [b" ".join(words)]
+        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in grams), np.uint64, len(grams))
+        for lane in range(LANES):
+            if lane:
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(_LANE_MIX[lane - 1])
+                h ^= h >> np.uint64(29)
+            votes[lane] += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def bits_apart(similarity: float) -> tuple[float, int]:
+    """The expected share of unequal bits at a Jaccard similarity, and the largest distance of wide fingerprints that links."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return share, int(share * 64 * LANES) + SLACK
+
+
+def orders(n: int, similarity: float) -> int:
+    """How many orders of segments find a pair at the similarity with RECALL among n fingerprints.
+
+    Neighbours in an order agree on about log2(n / NEAR) leading segments.
+    """
+    share, _ = bits_apart(similarity)
+    met = (1 - share) ** max(1.0, np.log2(max(2, n) / NEAR))
+    return max(8, int(np.ceil(np.log(1 - RECALL) / np.log(1 - met))))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """(id, component) for every row of docs: components of texts whose k-word shingles are similar.
+
+    Distances this large leave no selective grid of exact bounds over 64 bits,
+    so fingerprints are wider, segments are one bit, and the grid's cells are
+    refined as long as they are crowded: the vectors are sorted, in as many
+    orders of their segments as ``RECALL`` needs, and each is compared with the
+    NEAR next ones. The Manhattan distance is then exact. Null and empty texts
+    are one group; null ids get their group's smallest id.
+    """
+    s = scratch or Scratch(docs.sparkSession, "similar")
+    lanes = [f"f{i}" for i in range(LANES)]
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+
+    def prints(batches):
+        for b in batches:
+            f = np.array([wide_fingerprint(t.as_py(), k) for t in b.column(1)], np.uint64).reshape(-1, LANES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(LANES))], names=["id", *lanes])
+
+    fp = s.keep(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(prints, f"id {kind}, {', '.join(f'{x} long' for x in lanes)}"), "fp")
+    nodes = s.keep(fp.groupBy(*lanes).agg(F.min("id").alias("own")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    many, (_, limit) = orders(nodes.count(), similarity), bits_apart(similarity)
+    of = np.stack([np.random.default_rng(i).permutation(64 * LANES)[:64] for i in range(many)])
+
+    def spread(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            f = np.ascontiguousarray(np.stack([np.asarray(c) for c in b.columns[:LANES]], 1))
+            bits = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
+            for i in range(many):
+                key = np.ascontiguousarray(np.packbits(bits[:, of[i]], axis=1)).view(">u8").ravel() ^ np.uint64(1 << 63)  # signed order is that of the bits
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, i, np.int32)), pa.array(key.astype("<u8").view(np.int64)), b.column(LANES), *b.columns[:LANES]], names=["turn", "key", "node", *lanes])
+
+    def neighbours(batches):
+        held = None
+        for b in batches:
+            now = [np.asarray(c) for c in b.columns]
+            old = 0 if held is None else len(held[0])
+            if old:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            turn, node, f = now[0], now[2], np.ascontiguousarray(np.stack(now[3:], 1)).view(np.uint64)
+            found = []
+            for d in range(1, min(NEAR, len(turn) - 1) + 1):
+                apart = np.bitwise_count(f[d:] ^ f[:-d]).sum(1)
+                at = np.flatnonzero((apart <= limit) & (turn[d:] == turn[:-d]))
+                at = at[at + d >= old]
+                found.append(np.stack([np.minimum(node[at], node[at + d]), np.maximum(node[at], node[at + d])], 1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            held = [x[-NEAR:] for x in now]
+
+    fields = ", ".join(f"{x} long" for x in lanes)
+    turned = nodes.select(*lanes, "node").mapInArrow(spread, f"turn int, key long, node long, {fields}").repartitionByRange("turn", "key", "node").sortWithinPartitions("turn", "key", "node")
+    edges = s.keep(turned.mapInArrow(neighbours, "a long, b long").distinct(), "edges")
+    root = components(edges, s).withColumnRenamed("node", "x")
+    group = nodes.join(root, nodes.node == root.x, "left").select(*lanes, "own", F.coalesce("root", "node").alias("root"))
+    best = group.groupBy("root").agg(F.min("own").alias("component"))
+    label = s.keep(group.join(best, "root").select(*lanes, "component"), "label")
+    return fp.join(label, lanes).select("id", "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near-duplicates: of each group the row with the smallest id stays (one of them, should it be repeated); rows with a null id stay."""
+    s = Scratch(docs.sparkSession, "similar")
+    first = s.keep(similar(docs, id_col, text_col, k, similarity, s).where("id = component").select(F.col("id").alias("first")).distinct(), "first")
+    named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("first"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
