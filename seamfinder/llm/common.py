@@ -8,6 +8,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -55,8 +56,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first pass finds holds what the second one does
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
         for name in names:

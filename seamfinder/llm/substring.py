@@ -50,9 +50,12 @@ def _rolled(h: np.ndarray, k: int, m: np.uint64) -> np.ndarray:
 
 
 def chosen(h: np.ndarray, length: int) -> np.ndarray:
-    """For each full window of the word hashes h, the hash of the least half window in it."""
+    """For each full window of the word hashes h, the hash of the least half window in it.
+
+    48 bits: where hashes meet by chance, more survives the first level, never less.
+    """
     half = (length + 1) // 2
-    g = _rolled(h, half, _M1)
+    g = _rolled(h, half, _M1) >> np.uint64(16)
     return np.lib.stride_tricks.sliding_window_view(g, length - half + 1).min(axis=1)
 
 
@@ -82,7 +85,7 @@ def _profile(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _extend(docs: DataFrame, length: int) -> DataFrame:
-    """Full windows around surviving half windows: (id, digest, text, w1, w2, starts); docs: (id, text, digest, halves).
+    """Full windows around surviving half windows: (id, digest, text, w1, w2, starts), hashed to 96 bits; docs: (id, text, digest, halves).
 
     A text whose digest isn't the wanted one (its id is repeated with another text) gives nothing.
     """
@@ -98,12 +101,12 @@ def _extend(docs: DataFrame, length: int) -> DataFrame:
                         continue
                     h = _hashes(words)
                     hit = np.flatnonzero(np.isin(chosen(h, length), np.array(halves.as_py(), np.int64).view(np.uint64)))
-                    w1, w2 = _rolled(h, length, _M2)[hit].view(np.int64), _rolled(h, length, _M3)[hit].view(np.int64)
+                    w1, w2 = _rolled(h, length, _M2)[hit].view(np.int64), (_rolled(h, length, _M3)[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     made.append((i.as_py(), wanted, text, w1, w2, hit))
-                kinds = (pa.int64(), pa.binary(), pa.string(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32()))
+                kinds = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2)
                 yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["id", "digest", "text", "w1", "w2", "starts"])
 
-    return docs.select("id", "text", "digest", "halves").mapInArrow(run, "id long, digest binary, text string, w1 array<long>, w2 array<long>, starts array<int>")
+    return docs.select("id", "text", "digest", "halves").mapInArrow(run, "id long, digest binary, text string, w1 array<long>, w2 array<int>, starts array<int>")
 
 
 def covered(n: int, starts, length: int) -> np.ndarray:
@@ -132,21 +135,23 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = seen.groupBy("digest").agg(F.min("id").alias("least"))
     role = s.keep(seen.select("id", "digest").distinct().join(first, "digest").select("id", "digest", (F.col("id") > F.col("least")).alias("copy")), "role")
 
-    # level one: half windows that two texts have; a digest's 64 bits stand for its text
-    key = F.xxhash64("digest").alias("key")
+    # level one: half windows that two texts have; 40 bits of a digest stand for its text (texts they don't tell apart survive together)
+    key = F.shiftrightunsigned(F.xxhash64("digest"), 24).alias("key")
     halves = seen.where("id is not null").select(key, F.explode("halves").alias("h"))
     shared = halves.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h")
     candidates = s.keep(halves.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("halves")), "candidates")
+    base = s.keep(seen.select("id", "n", "digest", "full"), "base")
+    s.drop("profile")
     s.release()
 
     # level two: full windows around them, once for each text
     reps = role.where("not copy").select("id", "digest", key).join(candidates, "key").select(F.col("id").alias("rep"), "digest", "halves")
-    wide = s.keep(_extend(given.join(reps, given.id == reps.rep), length), "wide")
+    wide = s.keep(_extend(given.join(reps, given.id == reps.rep), length).withColumn("row", F.monotonically_increasing_id()), "wide")
     s.release()
-    windows = wide.select("id", "digest", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("x")).select("id", "digest", "x.w1", "x.w2", "x.starts")
+    windows = wide.select("id", "row", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("x")).select("id", "row", "x.w1", "x.w2", "x.starts")
     least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
-    late = windows.join(least, ["w1", "w2"]).where("id > least").groupBy("id", "digest").agg(F.collect_set("starts").alias("late"))
-    late = s.keep(late.select(F.col("id").alias("of"), F.col("digest").alias("was"), "late"), "late")
+    late = windows.join(least, ["w1", "w2"]).where("id > least").groupBy("row").agg(F.collect_set("starts").alias("late"))
+    late = s.keep(late.withColumnRenamed("row", "at"), "late")
     s.release()
 
     def cut(batches):
@@ -161,11 +166,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["of", "was", "removed", "sha", "kept"])
 
-    texts = wide.select("id", "digest", "text").dropDuplicates(["id", "digest"])
-    lost = late.join(texts, (F.col("of") == F.col("id")) & (F.col("was") == F.col("digest"))).select("of", "was", "text", "late")
-    lost = s.keep(lost.mapInArrow(cut, "of long, was binary, removed long, sha string, kept string"), "lost")
+    lost = late.join(wide.select("id", "digest", "text", "row"), F.col("at") == F.col("row")).select("id", "digest", "text", "late")
+    lost = s.keep(lost.mapInArrow(cut, "of long, was binary, removed long, sha string, kept string").dropDuplicates(["of", "was"]), "lost")
+    s.drop("wide")
 
-    base = seen.select("id", "n", "digest", "full")
     copy = role.where("copy").select(F.col("id").alias("c"), F.col("digest").alias("cd"), F.lit(True).alias("copy"))
     out = base.join(copy, (F.col("id") == F.col("c")) & (F.col("digest") == F.col("cd")), "left").join(lost, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("was")), "left")
     whole = F.col("copy") & (F.col("n") >= length)
