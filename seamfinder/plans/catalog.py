@@ -1,10 +1,423 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and, where SQL can say the same, their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import analyzer
+from ..operators import blocks, rank, search, spans
+from ..sources import corpus, sinks
+from .query import compile_match, parse
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
+# SQL that queries share
+WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+FILES = f"files as (select doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' as path, text as content, {WORDS.format('text')} as ws from documents where strlen(text) <= 1048576)"
+LINES = "raw_lines as (select doc_id, path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from files)"
+TERMS = ("the", "mail1", "password")
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.documents_as_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _round(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(files_of(spark, sf_dir), '+the (password OR token) -scum', 10)
+
+
+# scans and projections
+
+
+@query(f"with {FILES}, {LINES} select path, line_no::int as line_no, case when strlen(line) > 500 then '' else line end as line from raw_lines")
+def scan_lines(spark, d):
+    return corpus.lines(files_of(spark, d)).select("path", "line_no", corpus.shown(F.col("line")).alias("line"))
+
+
+@query("select doc_id, source from documents where lang in ('en', 'de') and source in ('src1', 'src2')")
+def filter_lang_source(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").where(F.col("lang").isin("en", "de") & F.col("source").isin("src1", "src2")).select("doc_id", "source")
+
+
+_PATHS = "case doc_id % 6 when 0 then 'src/main_' || doc_id || '.rs' when 1 then 'node_modules/a/x' || doc_id || '.js' when 2 then 'tests/test_' || doc_id || '.py' when 3 then 'conf/x' || doc_id || '.json' when 4 then 'lib/go.sum' else '_gen/x_test.go' end"
+
+
+@query(f"select doc_id, {_PATHS} as path, regexp_matches({_PATHS}, '(?i)(^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*$|_(test|spec)\\.[^./]+$|\\.(test|spec)\\.[^./]+$') as is_test from documents where doc_id % 6 not in (1, 3, 4)")
+def path_ignore_globs(spark, d):
+    df = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_PATHS).alias("path"))
+    return df.where(~corpus.ignored(F.col("path"))).withColumn("is_test", corpus.is_test(F.col("path")))
+
+
+@query(f"with {FILES}, {LINES} select path, line_no::int as line_no, term from raw_lines, (select unnest(['the', 'mail1', 'password']) as term) where strlen(line) <= 2000 and contains(lower(line), term)")
+def line_match_terms(spark, d):
+    return search.line_hits(files_of(spark, d), list(TERMS))
+
+
+@query(f"with {FILES}, {LINES} select path, term, count(*) as n_lines, min(line_no)::int as first_line, max(line_no)::int as last_line from raw_lines, (select unnest(['the', 'mail1', 'password']) as term) where strlen(line) <= 2000 and contains(lower(line), term) group by 1, 2")
+def lines_by_term(spark, d):
+    return search.line_hits(files_of(spark, d), list(TERMS)).groupBy("path", "term").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+# boolean families
+
+
+def _match(name: str, text: str, where: str, files_level: bool = False):
+    def run(spark, d):
+        return search.file_filter(files_of(spark, d), text, files_level).select("path")
+
+    run.__name__ = name
+    query(f"with {FILES} select path from files where {where}")(run)
+
+
+_h = lambda w: f"list_contains(ws, '{w}')"
+_match("match_and", "the AND password", f"{_h('the')} and {_h('password')}")
+_match("match_or", "password der", f"{_h('password')} or {_h('der')}")
+_match("match_required_optional", "+the password token", _h("the"))
+_match("match_excluded", "the -scum", f"{_h('the')} and not {_h('scum')}")
+_match("match_only_excluded", "-the", f"not {_h('the')}")
+_match("match_nested", "(password OR token) AND (the OR der) -scum", f"({_h('password')} or {_h('token')}) and ({_h('the')} or {_h('der')}) and not {_h('scum')}")
+_match("match_left_to_right", "password der AND the", f"({_h('password')} or {_h('der')}) and {_h('the')}")
+_match("match_exact_phrase", '"of the"', "contains(lower(content), 'of the')")
+_match("match_parts", "the_password", f"{_h('the')} and {_h('password')}")
+_match("match_file_level", "the -scum", f"{_h('the')}", True)
+_match("match_empty", "qqqq AND zzzz", "false")
+
+
+@query("select conv_id, turn from conversations where list_contains(" + WORDS.format("text") + ", 'the') and not list_contains(" + WORDS.format("text") + ", 'of')")
+def match_conversations(spark, d):
+    e = parse("the -of", search.plain)
+    t = analyzer.terms(F.col("text"))
+    return spark.read.parquet(f"{d}/conversations.parquet").where(compile_match(e, lambda k, _: F.array_contains(t, k))).select("conv_id", "turn")
+
+
+@query(f"with {FILES} select path, 'file' as node_type, 1 as start, 1 as \"end\" from files where {_h('password')}")
+def files_only(spark, d):
+    return search.file_filter(files_of(spark, d), "password").select("path", F.lit("file").alias("node_type"), F.lit(1).alias("start"), F.lit(1).alias("end")).distinct()
+
+
+@query(f"with {FILES} select path from files where not {_h('en')} and len(list_filter({WORDS.format('path')}, lambda w: contains(w, 'en') or contains('en', w))) > 0")
+def match_filename(spark, d):
+    f = files_of(spark, d)
+    by_content = f.where(F.array_contains(analyzer.terms(F.col("content")), "en")).select("path")
+    named = f.where(F.exists(analyzer.terms(F.col("path")), lambda w: w.contains("en") | F.lit("en").contains(w)))
+    return named.join(by_content, "path", "left_anti").select("path")
+
+
+# statistics and ranking
+
+BAG = f"{FILES}, w as (select path, unnest(ws) as term from files)"
+
+
+@query(f"with {BAG} select term, count(distinct path) as df from w group by term having count(distinct path) > 3")
+def doc_frequency(spark, d):
+    w = files_of(spark, d).select("path", F.explode(analyzer.terms(F.col("content"))).alias("term"))
+    return w.groupBy("term").agg(F.count("*").alias("df")).where("df > 3")
+
+
+@query(f"with {BAG} select path, term, count(*) as tf from w group by 1, 2 having count(*) >= 5")
+def term_frequency(spark, d):
+    w = files_of(spark, d).select("path", F.explode(analyzer.words(F.col("content"))).alias("term"))
+    return w.groupBy("path", "term").agg(F.count("*").alias("tf")).where("tf >= 5")
+
+
+@query(f"with {FILES} select round(avg(len(ws)), 6) as avgdl, count(*) as n from files")
+def avg_doc_length(spark, d):
+    return files_of(spark, d).agg(_round(F.avg(F.size(analyzer.words(F.col("content"))))).alias("avgdl"), F.count("*").alias("n"))
+
+
+@query(f"with {BAG}, n as (select count(*) as n from files) select term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from (select term, count(distinct path) as df from w group by term), n where df > 3")
+def idf(spark, d):
+    f = files_of(spark, d)
+    df = f.select("path", F.explode(analyzer.terms(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 3")
+    n = f.agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", _round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+
+
+@query(f"""with {FILES}, h as (select path, term, len(list_filter(ws, lambda x: x = term)) as tf, len(ws) as dl from files, (select unnest(['the', 'mail1', 'password']) as term)),
+hits as (select * from h where tf > 0), d as (select term, count(distinct path) as df from hits group by 1), a as (select count(*) as n, avg(dl) as avgdl from (select distinct path, dl from hits))
+select path, round(sum(ln((n + 1) / (df + 1)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) * (1 + 0.5 * count(*) / 3), 6) as score from hits join d using (term), a group by path""")
+def early_score(spark, d):
+    f = files_of(spark, d).withColumn("ws", analyzer.words(F.col("content"))).withColumn("dl", F.size("ws"))
+    t = f.select("path", "dl", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), rank.occurrences(F.col("ws"), t).alias("tf")) for t in TERMS])).alias("h"))
+    hits = t.select("path", "h.term", "h.tf", "dl").where("tf > 0")
+    return rank.early_scores(hits, 3).select("path", _round("score").alias("score"))
+
+
+def _bm25_sql(where: str, cols: list[str], score: str, bag: str = "ws", any_of: str | None = None, more: str = "") -> str:
+    tf = ", ".join(f"len(list_filter({bag}, lambda x: x = '{c}'))::double as tf{i}" for i, c in enumerate(cols))
+    some = any_of or " or ".join(f"tf{i} > 0" for i in range(len(cols)))
+    dfs = ", ".join(f"count(*) filter (tf{i} > 0)::double as df{i}" for i in range(len(cols)))
+    s = ", ".join(f"case when tf{i} > 0 then ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.5 + 0.5 * dl / avgdl)) else 0 end as s{i}" for i in range(len(cols)))
+    return f"with {FILES}, b as (select path, content, len({bag})::double as dl, {tf} from files), c as (select * from b where {some}), st as (select count(*)::double as n, avg(dl) as avgdl, {dfs} from c), s as (select path, content, {s} from c, st where {where}) select path, round({score}, 6) as score from s{more}"
+
+
+def _bm25(name: str, text: str, sql: str, set_tf: bool = False):
+    def run(spark, d):
+        f = files_of(spark, d).withColumn("tokens", analyzer.words(F.col("content")))
+        return rank.bm25(f, parse(text, search.plain), text="content", set_tf=set_tf).select("path", _round("score").alias("score"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_bm25("bm25_should", "password der", _bm25_sql("true", ["der", "password"], "s0 + s1"))
+_bm25("bm25_must", "+password the", _bm25_sql("tf0 > 0", ["password", "the"], "s0 + s1"))
+_bm25("bm25_must_not", "the -scum", _bm25_sql("tf1 > 0 and tf0 = 0", ["scum", "the"], "s1"))
+_bm25("bm25_set_tf", "password der", _bm25_sql("true", ["der", "password"], "s0 + s1", "list_distinct(ws)"), True)
+
+
+@query("with s as (" + _bm25_sql("true", ["der", "password"], "s0 + s1") + ") select path, score, row_number() over (order by score desc, path)::int as rank from s order by score desc, path limit 25")
+def ranked_top(spark, d):
+    f = files_of(spark, d).withColumn("tokens", analyzer.words(F.col("content")))
+    s = rank.bm25(f, parse("password der", search.plain), text="content").select("path", _round("score").alias("score"))
+    return rank.top(s, 25, "path")
+
+
+_LINE_KIND = """case when regexp_matches(t, '^(//|/\\*|\\*|#|--)') then 'comment' when regexp_matches(t, '^((pub |async |static )*(fn|func|function|def) )') then 'function' when regexp_matches(t, '^((pub )?(class|struct|enum|trait|interface|impl) )') then 'class'
+ when regexp_matches(t, '^((import|use|from|include|require) )') then 'import' when regexp_matches(t, '^((let|const|var) )') then 'variable_declaration' when regexp_matches(t, '^((if|for|while|switch|match|else|return)\\b)') then 'control_flow' else 'code' end"""
+
+
+@query(f"with {FILES}, {LINES}, k as (select path, line_no, {_LINE_KIND} as node_type from (select *, lower(trim(line, ' ')) as t from raw_lines)) select path, line_no::int as line_no, node_type from k where node_type <> 'code'")
+def node_type_fallback(spark, d):
+    return corpus.lines(files_of(spark, d)).select("path", "line_no", corpus.node_type(F.col("line")).alias("node_type")).where("node_type <> 'code'")
+
+
+@query(f"with {FILES}, {LINES}, k as (select path, line_no, {_LINE_KIND} as node_type from (select *, lower(trim(line, ' ')) as t from raw_lines)) select node_type, count(*) as n, round(sum((case node_type when 'function' then 2.0 when 'class' then 1.8 when 'variable_declaration' then 1.3 when 'control_flow' then 1.1 when 'import' then 0.7 when 'comment' then 0.5 else 1.0 end)::double), 6) as boosted from k group by 1")
+def boosted_rank(spark, d):
+    k = corpus.lines(files_of(spark, d)).select(corpus.node_type(F.col("line")).alias("node_type"))
+    return k.groupBy("node_type").agg(F.count("*").alias("n"), _round(F.sum(rank.boost(F.col("node_type")))).alias("boosted"))
+
+
+# line ranges
+
+HITS = f"{FILES}, {LINES}, hits as (select distinct path, line_no from raw_lines where strlen(line) <= 2000 and contains(lower(line), 'mail1')), len as (select path, len(string_split(content, chr(10))) as n_lines from files)"
+ISLANDS = "m as (select path, start, \"end\", sum(new) over (partition by path order by start, \"end\") as island from (select *, case when before is null or start > before + 1 + apart then 1 else 0 end as new from (select *, max(\"end\") over (partition by path order by start, \"end\" rows between unbounded preceding and 1 preceding) as before from r)))"
+
+
+def _hit_lines(spark, d):
+    f = files_of(spark, d)
+    return f, search.line_hits(f, ["mail1"]).select("path", "line_no")
+
+
+@query(f"with {HITS}, r as (select path, greatest(1, line_no - 5) as start, least(n_lines, line_no + 5) as \"end\", case when count(*) over (partition by path) > 10 then 8 when count(*) over (partition by path) > 5 then 6 else 1 end as apart from hits join len using (path)), {ISLANDS} select path, min(start)::int as start, max(\"end\")::int as \"end\", count(*) as parts from m group by path, island")
+def context_windows(spark, d):
+    f, hits = _hit_lines(spark, d)
+    return spans.context_windows(hits, f.select("path", F.size(F.split("content", "\n")).alias("n_lines")))
+
+
+R0 = "r0 as (select path, (x * 7 % 40 + 1) as start, (x * 7 % 40 + 1 + x % 5) as \"end\", x from (select path, doc_id, unnest(range(1, 4 + doc_id % 9)) as x from files))"
+RANGES = f"{FILES}, {R0}"
+
+
+def _ranges(spark, d):
+    x = files_of(spark, d).select("path", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 9 + 3).cast("int"))).alias("x"))
+    return x.select("path", (F.col("x") * 7 % 40 + 1).alias("start"), (F.col("x") * 7 % 40 + 1 + F.col("x") % 5).alias("end"), "x")
+
+
+@query(f"with {RANGES}, r as (select *, 5 as apart from r0), {ISLANDS} select path, min(start)::int as start, max(\"end\")::int as \"end\", count(*) as parts from m group by path, island")
+def merge_blocks(spark, d):
+    return spans.merge(_ranges(spark, d), "path", 5)
+
+
+@query(f"with {RANGES}, r as (select *, 5 as apart from r0), m as (select path, start, \"end\", x, sum(new) over (partition by path order by start, \"end\") as island from (select *, case when before is null or start > before + 1 + apart then 1 else 0 end as new from (select *, max(\"end\") over (partition by path order by start, \"end\" rows between unbounded preceding and 1 preceding) as before from r))) select path, min(start)::int as start, max(\"end\")::int as \"end\", count(*) as parts, max(x)::int as best, sum(x)::bigint as total from m group by path, island")
+def merge_stats(spark, d):
+    return spans.merge(_ranges(spark, d), "path", 5, best=F.max("x"), total=F.sum("x"))
+
+
+@query(f"with {HITS}, r as (select path, greatest(1, line_no - 5) as start, least(n_lines, line_no + 5) as \"end\", 1 as apart from hits join len using (path)), {ISLANDS}, g as (select path, min(start)::int as start, max(\"end\")::int as \"end\" from m group by path, island) select g.path, g.start, g.\"end\", string_agg(case when strlen(line) > 500 then '' else line end, chr(10) order by line_no) as code from g join raw_lines l on l.path = g.path and l.line_no between g.start and g.\"end\" group by 1, 2, 3")
+def merge_gap_fill(spark, d):
+    f, hits = _hit_lines(spark, d)
+    n = f.select("path", F.size(F.split("content", "\n")).alias("n"))
+    wide = hits.join(n, "path").select("path", F.greatest(F.lit(1), F.col("line_no") - 5).alias("start"), F.least("n", F.col("line_no") + 5).alias("end"))
+    return spans.block_text(spans.merge(wide, "path", 1), corpus.lines(f).withColumn("line", corpus.shown(F.col("line"))))
+
+
+@query(f"with {RANGES}, u as (select distinct path, start, \"end\" from r0) select path, start::int as start, \"end\"::int as \"end\" from u a where not exists (select 1 from u b where b.path = a.path and b.start <= a.start and b.\"end\" >= a.\"end\" and (b.start <> a.start or b.\"end\" <> a.\"end\"))")
+def containment_dedup(spark, d):
+    return spans.contained(_ranges(spark, d).select("path", "start", "end"))
+
+
+_LIMIT = f"with {FILES}, b as (select path, strlen(content) as bytes, greatest(1, strlen(content) // 4) as tokens from files order by bytes, path limit 1000), t as (select *, row_number() over w as rank, sum(bytes) over w as run_bytes, sum(tokens) over w as run_tokens from b window w as (order by bytes, path rows between unbounded preceding and current row)) "
+
+
+def _sized(spark, d):
+    return files_of(spark, d).select("path", F.col("size").alias("bytes"), F.greatest(F.lit(1), F.floor(F.col("size") / 4)).alias("tokens"))
+
+
+@query(_LIMIT + "select path, rank::int as rank from t where rank <= 50")
+def limit_results(spark, d):
+    return spans.limited(_sized(spark, d), ["bytes", "path"], max_results=50).select("path", "rank")
+
+
+@query(_LIMIT + "select path, run_bytes::bigint as run_bytes from t where run_bytes <= 30000")
+def limit_bytes(spark, d):
+    return spans.limited(_sized(spark, d), ["bytes", "path"], max_bytes=30000).select("path", "run_bytes")
+
+
+@query(_LIMIT + "select path, run_tokens::bigint as run_tokens from t where run_tokens <= 9000")
+def limit_tokens_estimate(spark, d):
+    return spans.limited(_sized(spark, d), ["bytes", "path"], max_tokens=9000).select("path", "run_tokens")
+
+
+@query(_LIMIT + "select path from t where run_bytes > 30000")
+def skipped_rows(spark, d):
+    return spans.limited(_sized(spark, d), ["bytes", "path"], max_bytes=30000, skipped=True).select("path")
+
+
+@query(f"with {HITS}, {R0} select path, line_no::int as line_no from hits h where not exists (select 1 from r0 where r0.path = h.path and h.line_no between r0.start and r0.\"end\")")
+def session_antijoin_lines(spark, d):
+    return spans.unseen_lines(_hit_lines(spark, d)[1], _ranges(spark, d))
+
+
+@query(f"with {RANGES} select path, start::int as start, \"end\"::int as \"end\" from r0 a where not exists (select 1 from r0 b where b.x % 2 = 0 and b.path = a.path and b.start = a.start and b.\"end\" = a.\"end\")")
+def session_antijoin_blocks(spark, d):
+    r = _ranges(spark, d)
+    return spans.unseen_blocks(r.select("path", "start", "end"), r.where("x % 2 = 0"))
+
+
+# extraction
+
+_TALK = "'see ' || role || '/mod_' || turn || '.rs:' || (conv_id % 90 + 1) || '-' || (conv_id % 90 + 9) || ' and lib/x.py#Parent.child, self.value or README.md'"
+
+
+@query(f"""with t as (select conv_id, turn, unnest(list_distinct(regexp_extract_all({_TALK}, '([A-Za-z0-9_./\\-]+\\.[A-Za-z]{{1,5}}(?:(?::\\d+(?:-\\d+)?)|(?:#[A-Za-z_][\\w.]*))?)', 1))) as target from conversations)
+select conv_id, turn, target, regexp_extract(target, '^([^:#]+)', 1) as path, try_cast(regexp_extract(target, ':(\\d+)', 1) as int) as start, coalesce(try_cast(regexp_extract(target, ':\\d+-(\\d+)', 1) as int), try_cast(regexp_extract(target, ':(\\d+)', 1) as int)) as "end", nullif(regexp_extract(target, '#(.+)$', 1), '') as symbol
+from t where not regexp_matches(regexp_extract(target, '^([^:#]+)', 1), '^(self|this|super)\\.')""")
+def extract_targets_from_text(spark, d):
+    return spans.targets(spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.expr(_TALK)), "t", "conv_id", "turn")
+
+
+_DIFF = ["diff --git a/x.rs b/x.rs", "--- a/x.rs", "+++ b/x.rs", "@@ -1,3 +1,4 @@", " one", "+two", " three", "-four", "+five", "@@ -20,2 +21,3 @@ fn f()", " a", "+b", "diff --git a/y.py b/y.py", "--- a/y.py", "+++ b/y.py", "@@ -0,0 +1,2 @@", "+p", "+q"]
+
+
+@query("select benchmark.item_id as diff_id, v.path, v.line_no from benchmark, (values ('x.rs', 2), ('x.rs', 4), ('x.rs', 22), ('y.py', 1), ('y.py', 2)) v(path, line_no)")
+def diff_changed_lines(spark, d):
+    text = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("diff_id"), F.posexplode(F.array(*map(F.lit, _DIFF))).alias("pos", "line"))
+    return spans.diff_lines(text).select("diff_id", "path", F.col("line_no").cast("int").alias("line_no"))
+
+
+@query("with c as (select md5(text) as h, any_value(greatest(1, strlen(text) // 4)) as tokens from documents group by 1) select doc_id, tokens::bigint as tokens from documents join c on md5(text) = h")
+def token_count_dedup(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.md5("text").alias("h"))
+    counted = docs.select("h", F.octet_length("text").alias("b")).groupBy("h").agg(F.first("b").alias("b")).select("h", F.greatest(F.lit(1), F.floor(F.col("b") / 4)).alias("tokens"))
+    return docs.select("doc_id", "h").join(counted, "h").select("doc_id", "tokens")
+
+
+# sinks
+
+
+def _results(spark, d):
+    return files_of(spark, d).where("doc_id % 10 = 3").select("path", F.lit(1).alias("start"), F.size(F.split("content", "\n")).alias("end"), F.col("content").alias("code"))
+
+
+@query(f"with {FILES} select count(*) as count, sum(strlen(content))::bigint as total_bytes, sum(greatest(1, strlen(content) // 4))::bigint as total_tokens from files where doc_id % 10 = 3")
+def output_summary(spark, d):
+    return sinks.summary(_results(spark, d))
+
+
+@query()
+def json_rows(spark, d):
+    return sinks.json_rows(_results(spark, d))
+
+
+@query(f"with {FILES} select '<result><file>' || path || '</file><lines>1-' || len(string_split(content, chr(10))) || '</lines><code><![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></code></result>' as xml from files where doc_id % 10 = 3")
+def xml_rows(spark, d):
+    return sinks.xml_rows(_results(spark, d))
+
+
+@query(f"with {FILES} select '## ' || path || ':1-' || len(string_split(content, chr(10))) || chr(10) || '```txt' || chr(10) || content || chr(10) || '```' as markdown from files where doc_id % 10 = 3")
+def markdown_rows(spark, d):
+    return sinks.markdown_rows(_results(spark, d))
+
+
+# the full analyzer, source blocks, patterns, reranking
+
+
+@query()
+def analyzer_full(spark, d):
+    return files_of(spark, d).select("path", analyzer.full_terms(F.col("content")).alias("terms"))
+
+
+SOURCES = [
+    ("src/list.rs", "rs", "// keeps addresses\npub struct IpList {\n    items: Vec<String>,\n}\n\nimpl IpList {\n    /// is it there\n    pub fn contains(&self, x: &str) -> bool {\n        self.items.iter().any(|i| i == x)\n    }\n}\n\n#[test]\nfn test_contains() {\n    assert!(true);\n}\n"),
+    ("src/app.js", "js", "import x from 'y';\n\n// loads users\nasync function loadUsers(db) {\n  const rows = await db.query('select 1');\n  return rows;\n}\n\nconst handler = (req, res) => {\n  res.send(loadUsers(req.db));\n};\n"),
+    ("lib/tool.py", "py", "class Loader:\n    # reads a file\n    def load(self, path):\n        with open(path) as f:\n            return f.read()\n\n    def close(self):\n        pass\n\n\ndef test_load():\n    assert Loader().load('x')\n"),
+    ("main.go", "go", "package main\n\nfunc main() {\n\tprintln(\"ip whitelist\")\n}\n\ntype Config struct {\n\tName string\n}\n"),
+    ("a.rb", "rb", "class Greeter\n  def hello(name)\n    puts name\n  end\nend\n"),
+    ("README.md", "md", "How to load users\n\nUse the loader.\n"),
+]
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SOURCES, "path string, ext string, content string")
+
+
+@query()
+def blocks_by_language(spark, d):
+    return blocks.blocks(_sources(spark)).drop("code")
+
+
+@query()
+def symbol_lookup(spark, d):
+    return blocks.symbol(blocks.blocks(_sources(spark)), "loadUsers")
+
+
+@query()
+def nested_symbol(spark, d):
+    return blocks.symbol(blocks.blocks(_sources(spark)), "Loader.load")
+
+
+@query()
+def extract_line(spark, d):
+    wanted = spark.createDataFrame([("lib/tool.py", 4, None), ("README.md", 1, None)], "path string, start int, end int")
+    return blocks.extract(_sources(spark), blocks.blocks(_sources(spark)), wanted)
+
+
+@query()
+def extract_range(spark, d):
+    wanted = spark.createDataFrame([("src/list.rs", 3, 9), ("README.md", 1, 99)], "path string, start int, end int")
+    return blocks.extract(_sources(spark), blocks.blocks(_sources(spark)), wanted)
+
+
+@query()
+def structural_pattern(spark, d):
+    return blocks.structural(_sources(spark), "fn $NAME($$$ARGS) $$$REST { $$$BODY }")
+
+
+@query()
+def search_sources(spark, d):
+    return search.search(_sources(spark), "load users", 5)
+
+
+@query()
+def search_documents(spark, d):
+    return flagship(spark, d)
+
+
+@query("select vec_id, round(score, 6) as score, row_number() over (order by score desc, vec_id)::int as rank from (select vec_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * ((i % 3) - 1))) as score from embeddings) order by score desc, vec_id limit 20")
+def rerank_top_k(spark, d):
+    q = [(i % 3) - 1 for i in range(1, 65)]
+    return rank.rerank(spark.read.parquet(f"{d}/embeddings.parquet"), q, 20).select("vec_id", _round("score").alias("score"), "rank")
+
+
+@query("select user_id, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2")
+def events_by_day(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
