@@ -12,6 +12,7 @@ words. Files are named by their place in the order.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 import zlib
@@ -31,7 +32,7 @@ MAGIC = 0x38424D53
 #: Ids in a frame, about; a document is never divided.
 FRAME = 1 << 18
 #: Entries of a worker's cache; beyond that it starts anew.
-CACHE = 200_000
+CACHE = 500_000
 
 _COUNT = np.array([1, *(k for k, _ in SELECTORS)], np.int64)
 _WIDTH = np.array([64, *(b for _, b in SELECTORS)], np.int64)
@@ -206,6 +207,12 @@ class Encoder:
         return self._chunk(head) + b"".join(found) if head else b"".join(found)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", name: str = "tokens") -> DataFrame:
     """Write docs in ascending order of id, nulls first; returns the list of files (part, file, docs, ids, start)."""
     folder = scratch.path(name)
@@ -216,7 +223,7 @@ def write(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scratch, id
 
         fs, at = filesystem(folder)
         fs.create_dir(at, recursive=True)
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         file, docs_n, ids_n = f"part-{part:06d}-{uuid.uuid4().hex}", 0, 0
         held: list = [[], [], []]
