@@ -13,6 +13,7 @@ a bounded cache.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import re
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's cache; beyond that it starts anew.
-CACHE = 150_000
+CACHE = 250_000
 #: Code points of text in a slice, and bytes of its new pieces in one recursive query.
 SLICE, QUERY_BYTES = 4 << 20, 400_000
 #: Longer pieces (bytes) have positions of their own kind of work: they are contracted one by one from a heap of pairs.
@@ -149,6 +150,12 @@ class Coder:
             yield b",".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
+@functools.lru_cache(maxsize=1)
+def coder_of(vocabulary: str, pattern: str) -> Coder:
+    """One for all tasks of a worker."""
+    return Coder(load_ranks(vocabulary), pattern)
+
+
 def chunked(text: str) -> list[str]:
     """The text cut before every space that is followed by what isn't white space."""
     if not text:
@@ -176,7 +183,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
     def run(batches):
-        coder = Coder(load_ranks(vocabulary), pattern)
+        coder = coder_of(vocabulary, pattern)
         for b in batches:
             at = 0
             while at < b.num_rows:
