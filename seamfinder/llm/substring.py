@@ -139,6 +139,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.shiftrightunsigned(F.xxhash64("digest"), 24).alias("key")
     halves = seen.where("id is not null").select(key, F.explode("halves").alias("h"))
     shared = halves.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h")
+    shared = s.keep(shared, "shared")  # a table of its own, so that hot keys of the join can be split
     candidates = s.keep(halves.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("halves")), "candidates")
     base = s.keep(seen.select("id", "n", "digest", "full"), "base")
     s.drop("profile")
@@ -150,6 +151,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     s.release()
     windows = wide.select("id", "row", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("x")).select("id", "row", "x.w1", "x.w2", "x.starts")
     least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
+    least = s.keep(least, "least")
     late = windows.join(least, ["w1", "w2"]).where("id > least").groupBy("row").agg(F.collect_set("starts").alias("late"))
     late = s.keep(late.withColumnRenamed("row", "at"), "late")
     s.release()
