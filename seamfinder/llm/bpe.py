@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache; beyond that it starts anew.
-CACHE = 250_000
+#: Entries of each of a worker's two caches; beyond that it starts anew.
+CACHE = 600_000
 #: Code points of text in a slice, and bytes of its new pieces in one recursive query.
 SLICE, QUERY_BYTES = 4 << 20, 400_000
 #: Longer pieces (bytes) have positions of their own kind of work: they are contracted one by one from a heap of pairs.
@@ -138,8 +138,10 @@ class Coder:
 
     def encode(self, texts: list[str]):
         """(ids joined by commas, decoded bytes) of each text."""
-        if len(self.chunks) > CACHE or len(self.pieces) > CACHE:
-            self.chunks, self.pieces = {}, {}
+        if len(self.chunks) > CACHE:
+            self.chunks = {}
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
         cut = [chunked(t) for t in texts]
         missing = {c for cs in cut for c in cs} - self.chunks.keys()
         if missing:
