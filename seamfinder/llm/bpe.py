@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each of a worker's two caches; beyond that it starts anew.
-CACHE = 600_000
+CACHE = 400_000
 #: Code points of text in a slice, and bytes of its new pieces in one recursive query.
 SLICE, QUERY_BYTES = 4 << 20, 400_000
 #: Longer pieces (bytes) have positions of their own kind of work: they are contracted one by one from a heap of pairs.
