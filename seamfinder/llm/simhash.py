@@ -211,7 +211,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, i, np.int32)), pa.array(key.astype("<u8").view(np.int64)), b.column(LANES), *b.columns[:LANES]], names=["turn", "key", "node", *lanes])
 
     def neighbours(batches):
-        held = None
+        held, top = None, {}
+
+        def find(x):
+            while (p := top.get(x, x)) != x:
+                top[x] = x = top.get(p, p)
+            return x
+
+        def tie(a, b):
+            a, b = find(a), find(b)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+            return a != b
+
         for b in batches:
             now = [np.asarray(c) for c in b.columns]
             old = 0 if held is None else len(held[0])
@@ -225,6 +237,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                 at = at[at + d >= old]
                 found.append(np.stack([np.minimum(node[at], node[at + d]), np.maximum(node[at], node[at + d])], 1))
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            pairs = pairs[[tie(a, b) for a, b in pairs.tolist()]] if len(pairs) else pairs  # a forest links the same
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             held = [x[-NEAR:] for x in now]
 
