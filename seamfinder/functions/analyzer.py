@@ -43,7 +43,7 @@ def tokenize(text: str | None, distinct: bool = True) -> list[str]:
         low = raw.lower()
         pieces = [low] if low in WHOLE else [p.lower() for p in _EDGES.split(raw) if p]
         for piece in pieces:
-            if piece in STOP_WORDS or piece in CODE_STOP_WORDS or (piece.isdigit() and int(piece) <= 10):
+            if piece in STOP_WORDS or piece in CODE_STOP_WORDS or (piece.isdecimal() and int(piece) <= 10):
                 continue
             for part in [piece] if piece in WHOLE else _compound(piece):
                 if part in STOP_WORDS:
