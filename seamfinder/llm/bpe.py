@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each of a worker's two caches; beyond that it starts anew.
+from .common import Recent
+
+#: Entries of each of a worker's two caches, about.
 CACHE = 400_000
 #: Code points of text in a slice, and bytes of its new pieces in one recursive query.
 SLICE, QUERY_BYTES = 4 << 20, 400_000
@@ -70,8 +72,7 @@ class Coder:
         self._load("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())}))
         self._load("tokens", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([b.hex() for b in ranks])}))
         self.by_id = {r: b for b, r in ranks.items()}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces, self.chunks = Recent(CACHE), Recent(CACHE)
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
@@ -117,36 +118,32 @@ class Coder:
     def learn(self, chunks: list[str]) -> None:
         """Put chunks into the cache."""
         split = [self.pattern.findall(c) for c in chunks]
-        new = list({p for ps in split for p in ps} - self.pieces.keys())
-        todo, size = [], 0
+        new = self.pieces.missing({p for ps in split for p in ps})
+        pieces, todo, size = self.pieces.now, [], 0
         for piece in [*new, None]:
             if piece is not None:
                 b = piece.encode("utf-8", "surrogatepass")
                 if b in self.ranks:
-                    self.pieces[piece] = (b"%d" % self.ranks[b], b)
+                    pieces[piece] = (b"%d" % self.ranks[b], b)
                 elif len(b) > LONG:
-                    self.pieces[piece] = self.long(b)
+                    pieces[piece] = self.long(b)
                 else:
                     todo.append((piece, b))
                     size += len(b)
             if todo and (piece is None or size >= QUERY_BYTES):
-                self.pieces.update(zip((x for x, _ in todo), self.words([b for _, b in todo])))
+                pieces.update(zip((x for x, _ in todo), self.words([b for _, b in todo])))
                 todo, size = [], 0
         for c, ps in zip(chunks, split):
-            found = [self.pieces[p] for p in ps]
-            self.chunks[c] = found[0] if len(found) == 1 else (b",".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+            found = [pieces[p] for p in ps]
+            self.chunks.now[c] = found[0] if len(found) == 1 else (b",".join([f[0] for f in found]), b"".join([f[1] for f in found]))
 
     def encode(self, texts: list[str]):
         """(ids joined by commas, decoded bytes) of each text."""
-        if len(self.chunks) > CACHE:
-            self.chunks = {}
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
         cut = [chunked(t) for t in texts]
-        missing = {c for cs in cut for c in cs} - self.chunks.keys()
+        missing = self.chunks.missing({c for cs in cut for c in cs})
         if missing:
             self.learn(list(missing))
-        get = self.chunks.__getitem__
+        get = self.chunks.now.__getitem__
         for cs in cut:
             found = list(map(get, cs))
             yield b",".join([f[0] for f in found]), b"".join([f[1] for f in found])

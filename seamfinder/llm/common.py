@@ -66,6 +66,22 @@ class Scratch:
             self._forget(self.path(name))
 
 
+class Recent:
+    """A cache of bounded size in two generations: what was used since the last change of generation outlives the next one."""
+
+    def __init__(self, size: int):
+        self.half, self.now, self.before = size // 2, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """What of keys isn't held; what is held is in ``now`` until the next call."""
+        if len(self.now) > self.half:
+            self.now, self.before = {}, self.now
+        out = keys.difference(self.now)
+        back = out.intersection(self.before)
+        self.now.update((k, self.before[k]) for k in back)
+        return out - back
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it; executors use it for binary files."""
     from pyarrow import fs
