@@ -13,7 +13,7 @@ words. Files are named by their place in the order.
 from __future__ import annotations
 
 import functools
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, filesystem
+from .bpe import chunked
+from .common import Recent, Scratch, filesystem
 
 #: Ids in a word and bits of each, for the selectors from 1 on.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -31,8 +32,10 @@ BLOCK = 128
 MAGIC = 0x38424D53
 #: Ids in a frame, about; a document is never divided.
 FRAME = 1 << 18
-#: Entries of a worker's cache; beyond that it starts anew.
+#: Entries of a worker's cache, about.
 CACHE = 500_000
+#: Code points of texts encoded at a time, and of new chunks joined in one call.
+SLICE, JOINED = 4 << 20, 1 << 13
 
 _COUNT = np.array([1, *(k for k, _ in SELECTORS)], np.int64)
 _WIDTH = np.array([64, *(b for _, b in SELECTORS)], np.int64)
@@ -159,52 +162,53 @@ class Encoder:
     """Whole texts through the tokenizers library, each distinct chunk once while the cache holds it.
 
     Chunks start at a space before what isn't white space, where the
-    tokenizer's own pre-tokenizer always divides. Strings of special tokens in
-    a text are ordinary text.
+    tokenizer's own pre-tokenizer always divides; so those that are new are
+    joined, encoded together and told apart by the bytes of their tokens.
+    Strings of special tokens in a text are ordinary text.
     """
 
-    _odd = re.compile(r" (?:\s|$)")
-    _cut = re.compile(r" (?=\S)")
-
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library's own only wait for it
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         if t.normalizer is not None:
             raise ValueError("a normalizer could reach over chunks")
-        self.pre, self.model = t.pre_tokenizer, t.model
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        if (found := self.pieces.get(piece)) is None:
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self._piece(p) for p, _ in self.pre.pre_tokenize_str(chunk)])
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self._odd.search(text):
-            at = [0, *(m.start() for m in self._cut.finditer(text) if m.start()), len(text)]
-            return b"".join([self._chunk(text[a:b]) for a, b in zip(at, at[1:])])
-        if len(self.chunks) > CACHE:
-            self.chunks = {}
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
-        head, *rest = text.split(" ")
-        found = list(map(self.chunks.get, rest))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    c = rest[i]
-                    if (x := self.chunks.get(c)) is None:
-                        x = self.chunks[c] = self._chunk(" " + c)
-                    found[i] = x
-        return self._chunk(head) + b"".join(found) if head else b"".join(found)
+        t.encode_special_tokens = True
+        vocabulary = t.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # byte-level: a character a byte
+        self.tokenizer, self.chunks = t, Recent(CACHE)
+
+    def _learn(self, chunks: set[str]) -> None:
+        groups, open_, size = [], [], 0
+        for c in chunks:
+            if len(c) > 1 and c[0] == " " and not c[1].isspace():
+                open_.append(c)
+                size += len(c)
+                if size >= JOINED:
+                    groups.append(open_)
+                    open_, size = [], 0
+            else:
+                groups.append([c])
+        groups.append(open_)
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends, want = np.cumsum(self.width[ids]), np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in group])
+            at = np.searchsorted(ends, want)
+            if len(group) and (ends[at] != want).any():
+                raise ValueError("a token reaches over chunks")
+            raw, at = ids.tobytes(), (4 * (at + 1)).tolist()
+            self.chunks.now.update(zip(group, [raw[a:z] for a, z in zip([0, *at], at)]))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [chunked(t) for t in texts]
+        if missing := self.chunks.missing({c for cs in cut for c in cs}):
+            self._learn(missing)
+        get = self.chunks.now.__getitem__
+        return (b"".join(map(get, cs)) for cs in cut)
 
 
 @functools.lru_cache(maxsize=1)
@@ -235,15 +239,22 @@ def write(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scratch, id
 
         out, size = None, 0
         for b in batches:
-            for i in range(b.num_rows):
+            first = 0
+            while first < b.num_rows:
                 out = out or fs.open_output_stream(f"{at}/{file}", compression=None)
-                raw = coder.encode(b.column(1)[i].as_py() or "") + tail
-                for x, v in zip(held, (b.column(0)[i].as_py(), len(raw) // 4, raw)):
-                    x.append(v)
-                docs_n, ids_n, size = docs_n + 1, ids_n + len(raw) // 4, size + len(raw) // 4
-                if size >= FRAME:
-                    flush()
-                    size = 0
+                texts, points = [], 0
+                while first + len(texts) < b.num_rows and points < SLICE:
+                    texts.append(b.column(1)[first + len(texts)].as_py() or "")
+                    points += len(texts[-1])
+                for i, raw in enumerate(coder.encode(texts), first):
+                    raw += tail
+                    for x, v in zip(held, (b.column(0)[i].as_py(), len(raw) // 4, raw)):
+                        x.append(v)
+                    docs_n, ids_n, size = docs_n + 1, ids_n + len(raw) // 4, size + len(raw) // 4
+                    if size >= FRAME:
+                        flush()
+                        size = 0
+                first += len(texts)
         if out is not None:
             if held[0]:
                 flush()
