@@ -16,6 +16,7 @@ which links just what differs in two bits or fewer, in linear space.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -128,127 +129,202 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(label, "fp").select("id", "fp", "component")
 
 
-# wide fingerprints, for texts that are similar rather than almost equal
+# texts that are similar rather than almost equal: an exact join of their shingle sets
 
-#: 64-bit lanes of a wide fingerprint, and neighbours that are compared in each order of its segments.
-LANES, NEAR = 4, 16
-#: Share of the pairs right at the wanted similarity that some order brings together.
-RECALL = 0.99
-#: Two standard errors of the share of equal bits, in bits: pairs at the wanted similarity lie within.
-SLACK = 4
-_LANE_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Texts from which the order of the shingles is taken, and how many of them a common shingle has at least. Both only set how many candidates there are.
+SAMPLED, COMMON = 20_000, 3
+#: Lists of texts up to this length are paired by shifts, longer ones group by group; the pairs are the same.
+SHORT = 64
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def wide_fingerprint(text: str | None, k: int = 5) -> np.ndarray:
-    """LANES words: the majority of each bit over the k-word shingles, hashed once and mixed anew for every lane."""
+def shingles(text: str | None, k: int = 5) -> np.ndarray:
+    """The sorted 64-bit hashes of the distinct k-word shingles; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(LANES, np.uint64)
-    n = max(1, len(words) - k + 1)
-    votes = np.zeros((LANES, 64), np.int64)
-    for at in range(0, n, 1 << 14):
-        part = words[at : min(n, at + (1 << 14)) + k - 1]
-        grams = [b" ".join(x) for x in zip(*(part[i:] for i in range(k)))] if len(words) >= k else [b" ".join(words)]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in grams), np.uint64, len(grams))
-        for lane in range(LANES):
-            if lane:
-                h = (h ^ (h >> np.uint64(32))) * np.uint64(_LANE_MIX[lane - 1])
-                h ^= h >> np.uint64(29)
-            votes[lane] += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return np.packbits(votes * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def bits_apart(similarity: float) -> tuple[float, int]:
-    """The expected share of unequal bits at a Jaccard similarity, and the largest distance of wide fingerprints that links."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return share, int(share * 64 * LANES) + SLACK
-
-
-def orders(n: int, similarity: float) -> int:
-    """How many orders of segments find a pair at the similarity with RECALL among n fingerprints.
-
-    Neighbours in an order agree on about log2(n / NEAR) leading segments.
+        return np.zeros(0, np.uint64)
+    h, k = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), min(k, len(words))
+    n = len(h) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out *= _M1
+        out += h[i : i + n]
+    out ^= out >> np.uint64(31)
+    out *= _M2
+    return np.unique(out ^ out >> np.uint64(29))
+
+
+def prefix(s: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the order of rare ones first: sets at the similarity share one of them.
+
+    common: sorted shingles that come after all others, by ``often``.
     """
-    share, _ = bits_apart(similarity)
-    met = (1 - share) ** max(1.0, np.log2(max(2, n) / NEAR))
-    return max(8, int(np.ceil(np.log(1 - RECALL) / np.log(1 - met))))
+    n = len(s)
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rank = np.where(common[at] == s, often[at], 0)
+    return s[np.lexsort((s, rank))[:most]] if n else s
+
+
+def _could(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets whose first common shingle is at these positions can be similar, by their sizes and what comes after it."""
+    need = np.ceil((n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-9)
+    return (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+
+
+def _jumps(token, node, n, pos, root, similarity):
+    """Pairs (i, j) at distances that are powers of two within the lists of equal tokens."""
+    d = 1
+    while d < len(token):
+        i = np.flatnonzero(token[d:] == token[:-d])
+        if not len(i):
+            break  # a list is one stretch of rows
+        yield i[_could(n, pos, i, i + d, similarity)], d
+        d *= 2
+
+
+def _across(token, node, n, pos, root, similarity):
+    """All pairs (i, j) within the lists of equal tokens whose roots differ; lists are sorted by size."""
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    length = np.diff(np.r_[start, len(token)])
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    small = mixed & (length <= SHORT)
+    i, d = np.flatnonzero(np.repeat(small, length)), 1
+    while len(i):
+        i = i[i + d < len(token)]
+        i = i[(token[i + d] == token[i]) & (n[i] >= n[i + d] * similarity - 1e-9)]  # once a row fails, it fails at every larger distance
+        yield i[(root[i] != root[i + d]) & _could(n, pos, i, i + d, similarity)], d
+        d += 1
+    for at, size in zip(start[mixed & ~small], length[mixed & ~small]):
+        rows = np.arange(at, at + size)
+        kinds, of, count = np.unique(root[rows], return_inverse=True, return_counts=True)
+        for i in rows[of != count.argmax()]:  # each pair has an end outside of the largest group
+            other = rows[root[rows] != root[i]]
+            yield i, other[_could(n, pos, np.full(len(other), i), other, similarity)] - i
+
+
+def _pairs(lists: DataFrame, how, similarity: float) -> DataFrame:
+    """Distinct candidates (a, b) of nodes from lists (token, node, n, pos[, root]), by ``how``."""
+
+    def run(batches):
+        for cols in _whole(batches):
+            token, node, n, pos = cols[:4]
+            root = cols[4] if len(cols) > 4 else node
+            held, made = [], 0
+            for i, d in how(token, node, n, pos, root, similarity):
+                x, y = np.broadcast_arrays(node[i], node[i + d])
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                made += len(x)
+                if made > 1 << 18:
+                    yield batch(held)
+                    held, made = [], 0
+            yield batch(held)
+
+    def batch(found):
+        p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        p = p[p[:, 0] < p[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    return lists.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _whole(batches):
+    """Columns of sorted batches as arrays, cut so that no list (rows of one token) is split."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [np.asarray(c) for c in b.columns]
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        if last:
+            yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in now])]
+            held = [[c[last:] for c in now]]
+        elif held and held[0][0][0] != now[0][0]:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = [now]
+        else:
+            held.append(now)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
-    """(id, component) for every row of docs: components of texts whose k-word shingles are similar.
-
-    Distances this large leave no selective grid of exact bounds over 64 bits,
-    so fingerprints are wider, segments are one bit, and the grid's cells are
-    refined as long as they are crowded: the vectors are sorted, in as many
-    orders of their segments as ``RECALL`` needs, and each is compared with the
-    NEAR next ones. The Manhattan distance is then exact. Null and empty texts
-    are one group; null ids get their group's smallest id.
+    """(id, component) for every row of docs: components of all pairs of texts whose sets of k-word shingles have that Jaccard similarity.
+
+    An exact join: sets at the similarity share a shingle among the first ones
+    of each in any common order (rare ones first here, so that boilerplate
+    makes no candidates), and every candidate is decided by its sets. Groups
+    of near copies would be quadratic in candidates; so lists of texts are
+    first linked at distances of powers of two, and then only pairs across the
+    components found by that are looked at. Null and empty texts are one
+    group; null ids get their group's smallest id.
     """
     s = scratch or Scratch(docs.sparkSession, "similar")
-    lanes = [f"f{i}" for i in range(LANES)]
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
-    def prints(batches):
+    def named(batches):
         for b in batches:
-            f = np.array([wide_fingerprint(t.as_py(), k) for t in b.column(1)], np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(LANES))], names=["id", *lanes])
+            node = [int.from_bytes(hashlib.blake2b(shingles(t.as_py(), k).tobytes(), digest_size=8).digest(), "little", signed=True) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], names=["id", "text", "node"])
 
-    fp = s.keep(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(prints, f"id {kind}, {', '.join(f'{x} long' for x in lanes)}"), "fp")
-    nodes = s.keep(fp.groupBy(*lanes).agg(F.min("id").alias("own")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    many, (_, limit) = orders(nodes.count(), similarity), bits_apart(similarity)
-    of = np.stack([np.random.default_rng(i).permutation(64 * LANES)[:64] for i in range(many)])
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(named, f"id {kind}, text string, node long")
+    given = s.keep(given.withColumn("row", F.monotonically_increasing_id()), "given")
+    nodes = s.keep(given.groupBy("node").agg(F.min("id").alias("own"), F.min("row").alias("rep")), "nodes")
 
-    def spread(batches):
+    def sets(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            f = np.ascontiguousarray(np.stack([np.asarray(c) for c in b.columns[:LANES]], 1))
-            bits = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
-            for i in range(many):
-                key = np.ascontiguousarray(np.packbits(bits[:, of[i]], axis=1)).view(">u8").ravel() ^ np.uint64(1 << 63)  # signed order is that of the bits
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, i, np.int32)), pa.array(key.astype("<u8").view(np.int64)), b.column(LANES), *b.columns[:LANES]], names=["turn", "key", "node", *lanes])
-
-    def neighbours(batches):
-        held, top = None, {}
-
-        def find(x):
-            while (p := top.get(x, x)) != x:
-                top[x] = x = top.get(p, p)
-            return x
-
-        def tie(a, b):
-            a, b = find(a), find(b)
-            if a != b:
-                top[max(a, b)] = min(a, b)
-            return a != b
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
+
+    one_in = max(1, nodes.count() // SAMPLED)
+    sample = given.where(F.pmod("node", F.lit(one_in)) == 0).join(nodes.select("rep"), F.col("row") == F.col("rep"), "left_semi").select("node", "text")
+    counted = sample.mapInArrow(sets, "node long, s array<long>").select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON)
+    table = counted.orderBy(F.desc("often"), "token").limit(10 * SAMPLED).toPandas()
+    common, often = table["token"].to_numpy(np.int64).view(np.uint64), table["often"].to_numpy(np.int64)
+    order = np.argsort(common)
+    common, often = common[order], often[order]
 
+    def listed(batches):
         for b in batches:
-            now = [np.asarray(c) for c in b.columns]
-            old = 0 if held is None else len(held[0])
-            if old:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            turn, node, f = now[0], now[2], np.ascontiguousarray(np.stack(now[3:], 1)).view(np.uint64)
-            found = []
-            for d in range(1, min(NEAR, len(turn) - 1) + 1):
-                apart = np.bitwise_count(f[d:] ^ f[:-d]).sum(1)
-                at = np.flatnonzero((apart <= limit) & (turn[d:] == turn[:-d]))
-                at = at[at + d >= old]
-                found.append(np.stack([np.minimum(node[at], node[at + d]), np.maximum(node[at], node[at + d])], 1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            pairs = pairs[[tie(a, b) for a, b in pairs.tolist()]] if len(pairs) else pairs  # a forest links the same
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            held = [x[-NEAR:] for x in now]
-
-    fields = ", ".join(f"{x} long" for x in lanes)
-    turned = nodes.select(*lanes, "node").mapInArrow(spread, f"turn int, key long, node long, {fields}").repartitionByRange("turn", "key", "node").sortWithinPartitions("turn", "key", "node")
-    edges = s.keep(turned.mapInArrow(neighbours, "a long, b long").distinct(), "edges")
-    root = components(edges, s).withColumnRenamed("node", "x")
-    group = nodes.join(root, nodes.node == root.x, "left").select(*lanes, "own", F.coalesce("root", "node").alias("root"))
+            for at in range(0, b.num_rows, 256):
+                made = []
+                for node, t in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256)):
+                    all_of = shingles(t.as_py(), k)
+                    first = prefix(all_of, similarity, common, often)
+                    made.append((first.view(np.int64), np.full(len(first), node, np.int64), np.full(len(first), len(all_of), np.int32), np.arange(len(first), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["token", "node", "n", "pos"])
+
+    def several(batches):
+        for cols in _whole(batches):
+            same = cols[0][1:] == cols[0][:-1]
+            more = np.r_[same, False] | np.r_[False, same]
+            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in cols], names=["token", "node", "n", "pos"])
+
+    fields = "token long, node long, n int, pos int"
+    reps = given.join(nodes.select("rep"), F.col("row") == F.col("rep"), "left_semi").select("node", "text")
+    lists = s.keep(reps.mapInArrow(listed, fields).repartition("token").sortWithinPartitions("token").mapInArrow(several, fields), "lists")
+    s.release()
+    met = lists.select("node").distinct()
+    texts = given.join(nodes.join(met, "node").select("rep"), F.col("row") == F.col("rep"), "left_semi").select("node", "text")
+    of = s.keep(texts.mapInArrow(sets, "node long, s array<long>"), "sets")
+
+    def alike(pairs):
+        x, y = of.select(F.col("node").alias("a"), F.col("s").alias("sa")), of.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+        return both.where(F.col("both") / (F.col("n") - F.col("both")) >= similarity).select("a", "b")
+
+    near = s.keep(alike(s.keep(_pairs(lists, _jumps, similarity), "jumps")), "near")
+    part = components(near, s, "part").withColumnRenamed("node", "x").withColumnRenamed("root", "r")
+    rooted = lists.join(part, lists.node == part.x, "left").select("token", "node", "n", "pos", F.coalesce("r", "node").alias("root"))
+    rest = s.keep(alike(s.keep(_pairs(rooted, _across, similarity), "across")), "rest")
+    root = components(near.unionByName(rest), s).withColumnRenamed("node", "x")
+    group = nodes.join(root, nodes.node == root.x, "left").select("node", "own", F.coalesce("root", "node").alias("root"))
     best = group.groupBy("root").agg(F.min("own").alias("component"))
-    label = s.keep(group.join(best, "root").select(*lanes, "component"), "label")
-    return fp.join(label, lanes).select("id", "component")
+    label = s.keep(group.join(best, "root").select("node", "component"), "label")
+    return given.select("id", "node").join(label, "node").select("id", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -81,3 +81,48 @@ def test_links_of_crowds(spark, paired, monkeypatch):
     want = {x: top(x) for x in parent}
     alone = {x for x in want if list(want.values()).count(want[x]) == 1}
     assert got == {(x, y) for x, y in want.items() if x not in alone}
+
+
+def jaccard_components(rows, k=5, similarity=0.8):
+    """Components of all pairs, by Python sets of word tuples."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if sets[x] == sets[y] or both and 5 * both >= 4 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((find(x), find(y)))
+                top[b] = a
+    return {rows[x][0]: rows[find(x)][0] for x in range(len(rows))}
+
+
+def changed(r, words, times):
+    """words with so many of them replaced, at random places."""
+    w = words[:]
+    for at in r.sample(range(len(w)), times):
+        w[at] = f"new{r.random()}"
+    return w
+
+
+def test_similar_is_exact_at_the_bar(spark):
+    r = random.Random(4)
+    rows = []
+    for _ in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(304)]
+        rows.append((len(rows), " ".join(base)))
+        at = r.randrange(20, 45)  # the end replaced: 300 - x of 300 + x shingles are shared, 0.8 is at 33
+        rows.append((len(rows), " ".join(base[:-at] + [f"z{r.random()}" for _ in range(at)])))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["one two", "One  TWO", "one two three", "a b c d e", "a b c d e f"])]
+    got = {x.id: x.component for x in S.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = jaccard_components(rows)
+    assert got == want
+    assert 10 < sum(want[i] != i for i in range(120)) < 50
