@@ -3,9 +3,10 @@
 A part that means little alone (an account name, an endpoint, a high-entropy
 token) is reported only where a complementary part lies near it in the same
 scope: tokens beside an identifier or an endpoint, identifiers and endpoints
-beside a secret. The link is a join of intervals: every part, widened by
-``REACH``, against the parts of complementary roles, over sorted starts and the
-running maximum of ends. A scope is a paragraph, as blank lines divide a text.
+beside a secret. The link is a join of intervals: the scope of every part
+against the parts of complementary roles, over sorted starts and the running
+maximum of ends. A scope is a whole paragraph, as blank lines divide a text.
+Parts may be of any length.
 """
 
 from __future__ import annotations
@@ -21,16 +22,14 @@ from pyspark.sql import functions as F
 
 #: The base kinds in their order, then those of the linked parts.
 KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
-#: Code points between two parts that still belong together.
-REACH = 200
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|(?:access_?)?key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9@._+-]{3,64})""", re.I | re.A)
-_ENDPOINT = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>|]{4,2048}", re.A)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|(?:access_?)?key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9@._+-]{3,})""", re.I | re.A)
+_ENDPOINT = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>|]{4,}", re.A)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 
 
 def base(text: str) -> list[tuple[int, int, int]]:
@@ -62,7 +61,7 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)
 
 
-def linked(text: str, known: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
+def linked(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The weak parts that complementary parts confirm; none overlaps a base span."""
     taken = Intervals([(s, e) for s, _, e in known])
     weak_ids = [(m.start(), m.end()) for m in _IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
@@ -80,12 +79,12 @@ def linked(text: str, known: list[tuple[int, int, int]], reach: int = REACH) ->
     def confirmed(parts, by):
         index = Intervals(by)
 
-        def near(s, e):
+        def near(s):
             i = bisect_right(breaks, s)
             low, high = breaks[i - 1] if i else 0, breaks[i] if i < len(breaks) else len(text)
-            return index.touch(max(low, s - reach), min(high, e + reach))
+            return index.touch(low, high)
 
-        return [x for x in parts if near(*x)]
+        return [x for x in parts if near(x[0])]
 
     places = ids + weak_ids + ends
     secrets = strong + tokens
@@ -96,7 +95,7 @@ def spell(spans: list[tuple[int, int, int]], kinds=KINDS) -> str:
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_spans, spans) for every row; spans as kind:start:end in code points.
 
     Null texts are empty and have no spans; repeated rows and null ids are kept
@@ -112,14 +111,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
             for t in b.column(1):
                 text = t.as_py() or ""
                 known = base(text)
-                made.append((*(sum(k == i for _, k, _ in known) for i in range(3)), spell(known), spell(known + linked(text, known, reach))))
+                made.append((*(sum(k == i for _, k, _ in known) for i in range(3)), spell(known), spell(known + linked(text, known))))
             cols = [pa.array([m[i] for m in made], pa.int64() if i < 3 else pa.string()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
 
-def redact(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of a text replaced by <SECRET>; null texts stay null, columns stay as they are."""
 
     def run(batches):
@@ -131,7 +130,7 @@ def redact(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataF
                 text = t.as_py()
                 if text:
                     known = base(text)
-                    spans, out, end = sorted(known + linked(text, known, reach)), [], 0
+                    spans, out, end = sorted(known + linked(text, known)), [], 0
                     for s, _, e in spans:
                         if s >= end:
                             out += [text[end:s], "<SECRET>"]

@@ -44,3 +44,13 @@ def test_scan_and_redact(spark):
     assert red.columns == df.columns
     assert {x.text for x in red.where("doc_id <= 3 or doc_id is null").collect()} == {"x <SECRET> y", None, "", "<SECRET>"}
     assert S.scan(df.limit(0)).count() == S.redact(df.limit(0)).count() == 0
+
+
+def test_parts_of_any_length_and_distance(spark):
+    long = "aB3" * 100
+    t = f"login: {'m' * 300}\n" + "word " * 500 + long + "\nsee https://db.example.com/" + "x" * 5000
+    end = len(t)
+    assert S.spell(S.linked(t, S.base(t))) == f"identifier:0:307,token:2808:3108,endpoint:3113:{end}"
+    (red,) = S.redact(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
+    assert red.text == "<SECRET>\n" + "word " * 500 + "<SECRET>\nsee <SECRET>"
+    assert S.linked(f"login: maria\n\n{long}", []) == []
