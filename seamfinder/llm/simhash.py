@@ -272,15 +272,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], names=["id", "text", "node"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(named, f"id {kind}, text string, node long")
-    given = s.keep(given.withColumn("row", F.monotonically_increasing_id()), "given")
-    nodes = s.keep(given.groupBy("node").agg(F.min("id").alias("own"), F.min("row").alias("rep")), "nodes")
+    given = s.keep(given, "given")
+    nodes = s.keep(given.groupBy("node").agg(F.min("id").alias("own")), "nodes")
 
     def sets(batches):
+        seen = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
+            for at in range(0, b.num_rows, 256):
+                made = {}
+                for node, t in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256)):
+                    if node not in seen:
+                        made[node] = shingles(t.as_py(), k).view(np.int64)
+                        seen.add(node)
+                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(list(made.values()), pa.list_(pa.int64()))], names=["node", "s"])
 
     one_in = max(1, nodes.count() // SAMPLED)
-    sample = given.where(F.pmod("node", F.lit(one_in)) == 0).join(nodes.select("rep"), F.col("row") == F.col("rep"), "left_semi").select("node", "text")
+    sample = given.where(F.pmod("node", F.lit(one_in)) == 0).select("node", "text").dropDuplicates(["node"])
     counted = sample.mapInArrow(sets, "node long, s array<long>").select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON)
     table = counted.orderBy(F.desc("often"), "token").limit(10 * SAMPLED).toPandas()
     common, often = table["token"].to_numpy(np.int64).view(np.uint64), table["often"].to_numpy(np.int64)
@@ -288,28 +295,33 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     common, often = common[order], often[order]
 
     def listed(batches):
+        seen = set()  # copies of a text give its shingles once a task; the rest goes in several()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 made = []
                 for node, t in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256)):
+                    if node in seen:
+                        continue
+                    seen.add(node)
                     all_of = shingles(t.as_py(), k)
                     first = prefix(all_of, similarity, common, often)
                     made.append((first.view(np.int64), np.full(len(first), node, np.int64), np.full(len(first), len(all_of), np.int32), np.arange(len(first), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["token", "node", "n", "pos"])
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["token", "node", "n", "pos"])
 
     def several(batches):
         for cols in _whole(batches):
+            new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+            cols = [c[new] for c in cols]
             same = cols[0][1:] == cols[0][:-1]
             more = np.r_[same, False] | np.r_[False, same]
             yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in cols], names=["token", "node", "n", "pos"])
 
     fields = "token long, node long, n int, pos int"
-    reps = given.join(nodes.select("rep"), F.col("row") == F.col("rep"), "left_semi").select("node", "text")
-    lists = s.keep(reps.mapInArrow(listed, fields).repartition("token").sortWithinPartitions("token").mapInArrow(several, fields), "lists")
+    lists = s.keep(given.select("node", "text").mapInArrow(listed, fields).repartition("token").sortWithinPartitions("token", "node").mapInArrow(several, fields), "lists")
+    s.release()
+    of = s.keep(given.select("node", "text").join(lists.select("node").distinct(), "node", "left_semi").mapInArrow(sets, "node long, s array<long>"), "sets")
     s.release()
-    met = lists.select("node").distinct()
-    texts = given.join(nodes.join(met, "node").select("rep"), F.col("row") == F.col("rep"), "left_semi").select("node", "text")
-    of = s.keep(texts.mapInArrow(sets, "node long, s array<long>"), "sets")
 
     def alike(pairs):
         x, y = of.select(F.col("node").alias("a"), F.col("s").alias("sa")), of.select(F.col("node").alias("b"), F.col("s").alias("sb"))

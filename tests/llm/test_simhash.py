@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from seamfinder.llm import simhash as S
@@ -126,3 +127,34 @@ def test_similar_is_exact_at_the_bar(spark):
     want = jaccard_components(rows)
     assert got == want
     assert 10 < sum(want[i] != i for i in range(120)) < 50
+
+
+def test_similar_in_crowds(spark):
+    r = random.Random(6)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    boilerplate, rows = own(228), []
+    for _ in range(150):  # all share three quarters; partners differ at the end
+        mine = own(76)
+        at = r.randrange(15, 40)
+        rows += [" ".join(boilerplate + mine), " ".join(boilerplate + mine[:-at] + own(at))]
+    base = own(300)
+    rows += [" ".join(changed(r, base, r.randrange(3, 12))) for _ in range(200)]  # many near copies, without their origin
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = jaccard_components(rows)
+    got = {x.id: x.component for x in S.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert len(rows) > len(set(want.values())) > 150
+
+
+@pytest.mark.parametrize("short", [1, 1000])
+def test_pairs_across_groups(short, monkeypatch):
+    monkeypatch.setattr(S, "SHORT", short)
+    r = np.random.default_rng(3)
+    token = np.sort(r.integers(0, 6, 300))
+    n, node = r.integers(80, 120, 300).astype(np.int32), r.permutation(300)
+    order = np.lexsort((node, n, token))
+    token, n, node, pos, root = token[order], n[order], node[order], np.zeros(300, np.int32), node[order] % 4
+    got = {tuple(sorted((x, y))) for i, d in S._across(token, node, n, pos, root, 0.8) for x, y in zip(*np.broadcast_arrays(node[i], node[i + d]))}
+    want = {tuple(sorted((node[i], node[j]))) for i in range(300) for j in range(i) if token[i] == token[j] and root[i] != root[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
+    assert got == want
