@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTEXT = 5
-#: Ordered limits look at this many rows at most, as the limit itself is over a global order.
+#: Results where no number of them is asked for.
 MOST_RESULTS = 1000
 
 
@@ -37,8 +37,11 @@ def contained(ranges: DataFrame, key: str = "path") -> DataFrame:
 
 
 def limited(ranked: DataFrame, order: list[str], max_results: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, skipped: bool = False) -> DataFrame:
-    """Rows up to the first that would pass a limit; or those after it. ranked has bytes and tokens; running totals are over MOST_RESULTS rows at most."""
-    rows = ranked.orderBy(*order).limit(min(MOST_RESULTS, max_results or MOST_RESULTS) if not skipped else MOST_RESULTS)
+    """Rows up to the first that would pass a limit, with running totals; or, as they are, all that sort after those.
+
+    ranked has bytes and tokens; order tells its rows apart. Without max_results the limit is MOST_RESULTS rows.
+    """
+    rows = ranked.orderBy(*order).limit(MOST_RESULTS if max_results is None else max_results)
     w = Window.orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = F.lit(False)
@@ -46,8 +49,11 @@ def limited(ranked: DataFrame, order: list[str], max_results: int | None = None,
     for col, most in (("rank", max_results), ("run_bytes", max_bytes), ("run_tokens", max_tokens)):
         if most is not None:
             over = over | (F.col(col) > most)
-    rows = rows.withColumn("over", F.max(over.cast("int")).over(run))
-    return rows.where(F.col("over") == (1 if skipped else 0)).drop("over")
+    kept = rows.withColumn("over", F.max(over.cast("int")).over(run)).where("over = 0").drop("over")
+    if not skipped:
+        return kept
+    last = kept.agg(F.max(F.struct(*order)).alias("last"))  # null where no row is kept
+    return ranked.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.struct(*order) > F.col("last"))).drop("last")
 
 
 def unseen_lines(hits: DataFrame, seen: DataFrame) -> DataFrame:
