@@ -126,14 +126,24 @@ BAG = f"{FILES}, w as (select path, unnest(ws) as term from files)"
 
 @query(f"with {BAG} select term, count(distinct path) as df from w group by term having count(distinct path) > 3")
 def doc_frequency(spark, d):
+    return doc_frequency_all(spark, d).where("df > 3")
+
+
+@query()
+def doc_frequency_all(spark, d):
     w = files_of(spark, d).select("path", F.explode(analyzer.terms(F.col("content"))).alias("term"))
-    return w.groupBy("term").agg(F.count("*").alias("df")).where("df > 3")
+    return w.groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"with {BAG} select path, term, count(*) as tf from w group by 1, 2 having count(*) >= 5")
 def term_frequency(spark, d):
+    return term_frequency_all(spark, d).where("tf >= 5")
+
+
+@query()
+def term_frequency_all(spark, d):
     w = files_of(spark, d).select("path", F.explode(analyzer.words(F.col("content"))).alias("term"))
-    return w.groupBy("path", "term").agg(F.count("*").alias("tf")).where("tf >= 5")
+    return w.groupBy("path", "term").agg(F.count("*").alias("tf"))
 
 
 @query(f"with {FILES} select round(avg(len(ws)), 6) as avgdl, count(*) as n from files")
@@ -143,9 +153,16 @@ def avg_doc_length(spark, d):
 
 @query(f"with {BAG}, n as (select count(*) as n from files) select term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from (select term, count(distinct path) as df from w group by term), n where df > 3")
 def idf(spark, d):
-    f = files_of(spark, d)
-    df = f.select("path", F.explode(analyzer.terms(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 3")
-    n = f.agg(F.count("*").alias("n"))
+    return _idf(spark, d, doc_frequency(spark, d))
+
+
+@query()
+def idf_all(spark, d):
+    return _idf(spark, d, doc_frequency_all(spark, d))
+
+
+def _idf(spark, d, df):
+    n = files_of(spark, d).agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", _round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
 
 

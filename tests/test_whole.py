@@ -1,6 +1,8 @@
 """Queries without SQL take in their whole table; held against Python over the same rows."""
 
 import json
+import math
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -26,3 +28,15 @@ def test_sinks_write_every_document(spark, files):
     for name, start in (("xml_rows_all", "<result><file>{}</file>"), ("markdown_rows_all", "## {}:1-")):
         rows = [x[0] for x in QUERIES[name](spark, DATA).collect()]
         assert len(rows) == len(files) and sum(any(x.startswith(start.format(p)) for x in rows) for p in files) == len(files)
+
+
+def test_every_term(spark, files):
+    import regex
+
+    tf = {(p, w): n for p, t in files.items() for w, n in Counter(w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w).items()}
+    df = Counter(w for _, w in tf)
+    assert min(df.values()) == min(tf.values()) == 1
+    assert {(x.path, x.term): x.tf for x in QUERIES["term_frequency_all"](spark, DATA).collect()} == tf
+    assert {x.term: x.df for x in QUERIES["doc_frequency_all"](spark, DATA).collect()} == df
+    idf = {x.term: x.idf for x in QUERIES["idf_all"](spark, DATA).collect()}
+    assert idf.keys() == df.keys() and all(abs(idf[w] - math.log(1 + (len(files) - n + 0.5) / (n + 0.5))) < 1e-5 for w, n in df.items())
