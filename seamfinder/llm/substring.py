@@ -1,4 +1,4 @@
-"""Substring dedup by level-wise doubling.
+"""Substring dedup by level-wise doubling, of which one step is made: from half the length to the full length.
 
 Level one looks at windows of half the length. Of these, every text gives only
 those that are the least (by hash) within some window of full length: what two
@@ -135,8 +135,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = seen.groupBy("digest").agg(F.min("id").alias("least"))
     role = s.keep(seen.select("id", "digest").distinct().join(first, "digest").select("id", "digest", (F.col("id") > F.col("least")).alias("copy")), "role")
 
-    # level one: half windows that two texts have; 40 bits of a digest stand for its text (texts they don't tell apart survive together)
-    key = F.shiftrightunsigned(F.xxhash64("digest"), 24).alias("key")
+    # level one: half windows that two texts have; 64 bits of a digest stand for its text (of two texts that share them, a passage that nobody else has would stay)
+    key = F.xxhash64("digest").alias("key")
     halves = seen.where("id is not null").select(key, F.explode("halves").alias("h"))
     shared = halves.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h")
     shared = s.keep(shared, "shared")  # a table of its own, so that hot keys of the join can be split

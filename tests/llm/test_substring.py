@@ -50,3 +50,10 @@ def test_like_brute_force(spark):
     assert sorted(((x.id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == [x[:4] for x in brute(rows)]
     assert all(x.kept is None if not x.n_removed else hashlib.sha256(x.kept.encode()).hexdigest() == x.kept_sha256 for x in got)
     assert S.deduplicate(df.limit(0)).count() == 0
+
+
+def test_texts_alike_in_40_bits_of_their_digests(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    rows = [(1, f"{passage} n1603527"), (2, f"{passage} n1920347")]  # found by search: the first 40 bits of xxhash64 of the digests are equal
+    got = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.id, x.n_removed) for x in got) == [(1, 0), (2, 13)]
