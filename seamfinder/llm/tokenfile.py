@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import chunked
-from .common import Recent, Scratch, filesystem
+from .common import Scratch, filesystem
+from .words import Pool, slices
 
 #: Ids in a word and bits of each, for the selectors from 1 on.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -32,13 +34,16 @@ BLOCK = 128
 MAGIC = 0x38424D53
 #: Ids in a frame, about; a document is never divided.
 FRAME = 1 << 18
-#: Entries of a worker's cache, about.
-CACHE = 500_000
-#: Code points of texts encoded at a time, and of new chunks joined in one call.
-SLICE, JOINED = 4 << 20, 1 << 13
+#: Words in a worker's table, about.
+CACHE = 600_000
+#: Bytes of texts encoded at a time, and words of letters that go to the library in one call.
+SLICE, JOINED = 8 << 20, 1 << 10
 
 _COUNT = np.array([1, *(k for k, _ in SELECTORS)], np.int64)
-_WIDTH = np.array([64, *(b for _, b in SELECTORS)], np.int64)
+_SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+#: How byte-level vocabularies spell the bytes that have no character of their own (in Latin 1): as those from 256 on.
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +56,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = ids
     padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    low = (padded & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    bits = np.frexp(low)[1].astype(np.uint8)  # exact below 2**53
-    high = padded >> np.uint64(32)
-    if high.any():
-        bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, bits).astype(np.uint8)
+    bits = _widths(padded)
     # most[k]: the width of the widest of k ids from here on
     most, selector = {1: bits}, np.where(bits <= 60, len(SELECTORS), 0).astype(np.uint8)[:, :BLOCK]
     for s, (k, width) in sorted(enumerate(SELECTORS, 1), key=lambda x: x[1][0]):
@@ -72,15 +73,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pos = np.zeros(blocks, np.int64)
     end = np.full(blocks, BLOCK)
     end[-1] = n - BLOCK * (blocks - 1)
-    at, active = [], np.arange(blocks)
-    while len(active):
-        s = selector[active, pos[active]]
-        at.append((active, pos[active].copy(), s))
-        pos[active] += _COUNT[s]
-        active = active[pos[active] < end[active]]
-    block, start, s = (np.concatenate(x) for x in zip(*at))
-    order = np.lexsort((start, block))
-    block, start, s = block[order], start[order], s[order]
+    every, taken = np.arange(blocks), []
+    while (open_ := pos < end).any():
+        taken.append(np.where(open_, pos, -1))
+        pos = np.where(open_, pos + _COUNT[selector[every, np.minimum(pos, BLOCK - 1)]], pos)
+    taken = np.stack(taken, 1)
+    block, step = np.nonzero(taken >= 0)
+    start = taken[block, step]
+    s = selector[block, start]
     size = 1 + (s == 0)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
@@ -95,6 +95,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, place[np.searchsorted(block, np.arange(blocks))].astype(np.uint32)
 
 
+def _widths(x: np.ndarray) -> np.ndarray:
+    """The bits that each of x (uint64) takes."""
+    if (most := int(x.max())) < len(_SMALL):
+        return _SMALL[x]
+    bits = np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)  # exact below 2**53
+    if most >> 32:
+        high = x >> np.uint64(32)
+        bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, bits).astype(np.uint8)
+    return bits
+
+
 def _widest(m: np.ndarray, other: np.ndarray, shift: int) -> np.ndarray:
     """max(m[i], other[i + shift]); past the end nothing is wider."""
     out = m.copy()
@@ -159,56 +170,55 @@ def frames(stream) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 
 
 class Encoder:
-    """Whole texts through the tokenizers library, each distinct chunk once while the cache holds it.
+    """Whole texts through the tokenizers library, each distinct word once while the table of words holds it.
 
-    Chunks start at a space before what isn't white space, where the
-    tokenizer's own pre-tokenizer always divides; so those that are new are
-    joined, encoded together and told apart by the bytes of their tokens.
-    Strings of special tokens in a text are ordinary text.
+    Words of Latin letters, being one piece, go to the library's model as they
+    are, many in a call; their ids are told apart by the bytes of their tokens.
+    All others, and whole texts that hold an added token such as
+    ``<|endoftext|>``, go through the library unchanged.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library's own only wait for it
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        if t.normalizer is not None:
-            raise ValueError("a normalizer could reach over chunks")
-        t.encode_special_tokens = True
-        vocabulary = t.get_vocab()
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("a normalizer could reach over words")
+        self.bare.pre_tokenizer = None
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(added) or None
+        vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # byte-level: a character a byte
-        self.tokenizer, self.chunks = t, Recent(CACHE)
-
-    def _learn(self, chunks: set[str]) -> None:
-        groups, open_, size = [], [], 0
-        for c in chunks:
-            if len(c) > 1 and c[0] == " " and not c[1].isspace():
-                open_.append(c)
-                size += len(c)
-                if size >= JOINED:
-                    groups.append(open_)
-                    open_, size = [], 0
-            else:
-                groups.append([c])
-        groups.append(open_)
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            ends, want = np.cumsum(self.width[ids]), np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in group])
-            at = np.searchsorted(ends, want)
-            if len(group) and (ends[at] != want).any():
-                raise ValueError("a token reaches over chunks")
-            raw, at = ids.tobytes(), (4 * (at + 1)).tolist()
-            self.chunks.now.update(zip(group, [raw[a:z] for a, z in zip([0, *at], at)]))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [chunked(t) for t in texts]
-        if missing := self.chunks.missing({c for cs in cut for c in cs}):
-            self._learn(missing)
-        get = self.chunks.now.__getitem__
-        return (b"".join(map(get, cs)) for cs in cut)
+        self.pool = Pool(self._learn, CACHE)
+
+    def _learn(self, letters: pa.Array, others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        mapped = [w.replace(" ", _BYTES[32]) if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in letters.to_numpy(zero_copy_only=False)]
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(mapped), JOINED):
+            own = mapped[at : at + JOINED]
+            (found,) = self.bare.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.int32))
+            ends, want = np.cumsum(self.width[ids[-1]]), np.cumsum([len(w) for w in own])
+            last = np.searchsorted(ends, want)
+            if (ends[last] != want).any():
+                raise ValueError("a token reaches over words")
+            lengths.append(np.diff(last, prepend=-1))
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        ids.append(np.array([i for own in rest for i in own], np.int32))
+        lengths.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        ids, ends = self.pool.encode(texts)
+        out = np.split(ids, ends[:-1])
+        if self.added:
+            for i in np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(texts, self.added), False))).tolist():
+                out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32)
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -220,7 +230,7 @@ def encoder(path: str) -> Encoder:
 def write(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", name: str = "tokens") -> DataFrame:
     """Write docs in ascending order of id, nulls first; returns the list of files (part, file, docs, ids, start)."""
     folder = scratch.path(name)
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    tail = np.array([] if end is None else [end], np.int32)
 
     def run(batches):
         from pyspark import TaskContext
@@ -233,28 +243,24 @@ def write(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scratch, id
         held: list = [[], [], []]
 
         def flush():
-            out.write(frame(held[0], held[1], np.frombuffer(b"".join(held[2]), "<u4")))
+            out.write(frame(held[0], held[1], np.concatenate(held[2])))
             for x in held:
                 x.clear()
 
         out, size = None, 0
         for b in batches:
-            first = 0
-            while first < b.num_rows:
+            keys = b.column(0).to_pylist()
+            for first, texts in slices(b.column(1), SLICE):
                 out = out or fs.open_output_stream(f"{at}/{file}", compression=None)
-                texts, points = [], 0
-                while first + len(texts) < b.num_rows and points < SLICE:
-                    texts.append(b.column(1)[first + len(texts)].as_py() or "")
-                    points += len(texts[-1])
-                for i, raw in enumerate(coder.encode(texts), first):
-                    raw += tail
-                    for x, v in zip(held, (b.column(0)[i].as_py(), len(raw) // 4, raw)):
-                        x.append(v)
-                    docs_n, ids_n, size = docs_n + 1, ids_n + len(raw) // 4, size + len(raw) // 4
+                for key, ids in zip(keys[first : first + len(texts)], coder.encode(texts)):
+                    held[0].append(key)
+                    held[1].append(len(ids) + len(tail))
+                    held[2] += (ids, tail)
+                    size += held[1][-1]
+                    docs_n, ids_n = docs_n + 1, ids_n + held[1][-1]
                     if size >= FRAME:
                         flush()
                         size = 0
-                first += len(texts)
         if out is not None:
             if held[0]:
                 flush()

@@ -35,9 +35,8 @@ def test_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     r = random.Random(7)
-    bits = ["the ", "tion", "é", " ", "  ", "\n", " \n", "\t", "über", "'ll", "12345", "!!", "　", "\u0085", "\x1c", "漢字", "\U0001f600", "<|endoftext|>", "aaaa", ".", " w", " x"]
+    bits = ["the ", "tion", "é", " ", "  ", "\n", " \n", "\t", "über", "'ll", "12345", "!!", "　", "\u0085", "\x1c", "漢字", "\U0001f600", "<|endoftext|>", "aaaa", ".", " w", " x", "ñandú", "É", "×", "A", "\n\n", "$$", "_", "it's", "9.5", "\x02", "\u00a0"]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(60)))) for i in range(300)]
     r.shuffle(rows)
     rows += [(1000, None), (1001, ""), (None, "first"), (1002, "word " * 100000), (5, "again")]
