@@ -5,9 +5,8 @@ query joins neighbouring tokens to the merge table, contracts the leftmost pair
 of least rank of every word, and goes on with the words that still have a pair,
 until none has. Ordered aggregation reads ids and decoded bytes off the rows.
 
-Texts are cut at a space before a character that isn't white space: the pattern
-always has a boundary there. What lies between cuts is encoded once and held in
-a bounded cache.
+Texts are cut into words where the pattern always has a boundary (``words``). A
+word is encoded once and held in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -16,25 +15,22 @@ import base64
 import functools
 import hashlib
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .words import Pool, slices, spread
 
-#: Entries of each of a worker's two caches, about.
-CACHE = 400_000
-#: Code points of text in a slice, and bytes of its new pieces in one recursive query.
-SLICE, QUERY_BYTES = 4 << 20, 400_000
+#: Words in a worker's table, about.
+CACHE = 600_000
+#: Bytes of text in a slice, and of its new pieces in one recursive query.
+SLICE, QUERY_BYTES = 8 << 20, 400_000
 #: Longer pieces (bytes) have positions of their own kind of work: they are contracted one by one from a heap of pairs.
 LONG = 1024
 
-_ODD = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r" (?=\S)")
-
 QUERY = """
 with recursive t(step, w, p, np, id, nx, k) as (
     select 0, w, p, np, id, nx, (rank::bigint << 16) | p from word_rows left join merges on pair = (id::bigint << 20) | nx
@@ -47,9 +43,9 @@ with recursive t(step, w, p, np, id, nx, k) as (
               from t join hit on t.w = hit.w where t.p <> gone)
     select step, w, p, np, id, nx, if(changed, (merges.rank::bigint << 16) | p, k)
     from moved left join merges on pair = if(changed, (id::bigint << 20) | nx, null)))
-select w, string_agg(id::varchar, ',' order by p) as ids, string_agg(hex, '' order by p) as bytes
+select w, list(id order by p) as ids, string_agg(hex, '' order by p) as bytes
 from t join (select w, max(step) as step from t group by w) using (w, step) join tokens using (id)
-group by w
+group by w order by w
 """
 
 
@@ -59,7 +55,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encodes pieces; holds the merge table and the cache of one Python worker."""
+    """Encodes texts; holds the merge table and the table of words of one Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
@@ -67,35 +63,39 @@ class Coder:
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # no spill to the worker's own disk: a query's rows are bounded by QUERY_BYTES
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(ranks[b[:i]] << 20 | ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self._load("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())}))
         self._load("tokens", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([b.hex() for b in ranks])}))
         self.by_id = {r: b for b, r in ranks.items()}
-        self.pieces, self.chunks = Recent(CACHE), Recent(CACHE)
+        top = max(ranks.values()) + 1
+        self.tokens, self.known = pa.array([self.by_id.get(i, b"") for i in range(top)], pa.binary()), pa.array(list(ranks), pa.binary())
+        self.known_id = np.array(list(ranks.values()), np.int32)
+        self.digits = pa.array([b"%d," % i for i in range(top)], pa.binary())
+        self.pool = Pool(self._learn, CACHE)
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
         self.db.execute(f"create table {name} as select * from given")
         self.db.unregister("given")
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids joined by commas, the bytes they decode to) of each word."""
-        n = np.array([len(w) for w in words])
-        data = np.frombuffer(b"".join(words), np.uint8)
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(ids, how many each has, the bytes they decode to) of binary words."""
+        n = np.asarray(pc.binary_length(words)).astype(np.int64)
+        data = np.frombuffer(b"".join(words.to_numpy(zero_copy_only=False)), np.uint8)
         p = (np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         ids, last = self.byte[data], np.cumsum(n) - 1
         nx, np_ = np.append(ids[1:], -1).astype(np.int32), p + 1
         nx[last] = np_[last] = -1
         self.db.register("word_rows", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "p": p, "np": np_.astype(np.int32), "id": ids, "nx": nx}))
-        got: list = [None] * len(words)
-        for w, i, b in self.db.execute(QUERY).fetchall():
-            got[w] = (i.encode(), bytes.fromhex(b))
+        got = self.db.execute(QUERY).to_arrow_table().combine_chunks()
         self.db.unregister("word_rows")
-        return got
+        ids = got["ids"].combine_chunks()
+        return np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets)).astype(np.int64), pa.array(map(bytes.fromhex, got["bytes"].to_pylist()), pa.binary())
 
-    def long(self, word: bytes) -> tuple[bytes, bytes]:
-        """The same for one word of any length, in n log n."""
+    def long(self, word: bytes) -> list[int]:
+        """The ids of one word of any length, in n log n."""
         ids, ranks = [int(self.byte[b]) for b in word], self.ranks
         nxt, prev = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         pair = lambda i: ranks.get(self.by_id[ids[i]] + self.by_id[ids[nxt[i]]]) if nxt[i] >= 0 else None
@@ -112,41 +112,55 @@ class Coder:
             for x in (prev[i], i):
                 if x >= 0 and (q := pair(x)) is not None:
                     heapq.heappush(heap, (q, x))
-        ids = [i for i in ids if i >= 0]
-        return ",".join(map(str, ids)).encode(), b"".join(self.by_id[i] for i in ids)
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put chunks into the cache."""
-        split = [self.pattern.findall(c) for c in chunks]
-        new = self.pieces.missing({p for ps in split for p in ps})
-        pieces, todo, size = self.pieces.now, [], 0
-        for piece in [*new, None]:
-            if piece is not None:
-                b = piece.encode("utf-8", "surrogatepass")
-                if b in self.ranks:
-                    pieces[piece] = (b"%d" % self.ranks[b], b)
-                elif len(b) > LONG:
-                    pieces[piece] = self.long(b)
-                else:
-                    todo.append((piece, b))
-                    size += len(b)
-            if todo and (piece is None or size >= QUERY_BYTES):
-                pieces.update(zip((x for x, _ in todo), self.words([b for _, b in todo])))
-                todo, size = [], 0
-        for c, ps in zip(chunks, split):
-            found = [pieces[p] for p in ps]
-            self.chunks.now[c] = found[0] if len(found) == 1 else (b",".join([f[0] for f in found]), b"".join([f[1] for f in found]))
-
-    def encode(self, texts: list[str]):
-        """(ids joined by commas, decoded bytes) of each text."""
-        cut = [chunked(t) for t in texts]
-        missing = self.chunks.missing({c for cs in cut for c in cs})
-        if missing:
-            self.learn(list(missing))
-        get = self.chunks.now.__getitem__
-        for cs in cut:
-            found = list(map(get, cs))
-            yield b",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        return [i for i in ids if i >= 0]
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(ids, how many each has, the bytes they decode to) of distinct binary pieces."""
+        found = pc.index_in(pieces, value_set=self.known)
+        whole = np.flatnonzero(np.asarray(pc.is_valid(found)))
+        size = np.array(pc.binary_length(pieces))
+        size[whole] = 0
+        far, rest = np.flatnonzero(size > LONG), np.flatnonzero((size > 0) & (size <= LONG))
+        ids, lengths, raw, order = [self.known_id[np.asarray(found.drop_null())]], [np.ones(len(whole), np.int64)], [pieces.take(pa.array(whole))], [whole, rest, far]
+        part = np.cumsum(size[rest]) // QUERY_BYTES
+        for own in np.split(rest, np.flatnonzero(np.diff(part)) + 1) if len(rest) else []:
+            for x, y in zip((ids, lengths, raw), self.words(pieces.take(pa.array(own)))):
+                x.append(y)
+        for i in far.tolist():
+            ids.append(np.array(self.long(pieces[i].as_py()), np.int32))
+            lengths.append([len(ids[-1])])
+            raw.append(pa.array([b"".join([self.by_id[i] for i in ids[-1].tolist()])], pa.binary()))
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate(order)] = np.arange(len(pieces))
+        lengths = np.concatenate(lengths).astype(np.int64)
+        ends = np.cumsum(lengths)
+        return spread(np.concatenate(ids), (ends - lengths)[place], lengths[place]), lengths[place], pa.concat_arrays(raw).take(pa.array(place))
+
+    def _learn(self, letters: pa.Array, others: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        split = [self.pattern.findall(c) for c in others]
+        every = pa.concat_arrays([letters, pa.array([p.encode("utf-8", "surrogatepass") for ps in split for p in ps], pa.binary()).cast(pa.string())]).cast(pa.binary()).dictionary_encode()
+        ids, lengths, raw = self.pieces(every.dictionary)
+        at = np.asarray(every.indices).astype(np.int64)
+        ends = np.cumsum(lengths)
+        last = len(letters) + np.cumsum([len(ps) for ps in split], dtype=np.int64)  # the pieces of a word end here
+        last = np.concatenate([np.arange(1, len(letters) + 1), last])
+        total = np.append(0, np.cumsum(lengths[at]))[last]
+        return spread(ids, (ends - lengths)[at], lengths[at]), np.diff(total, prepend=0), joined(raw.take(pa.array(at)), last)
+
+    def encode(self, texts: pa.Array):
+        """(ids, ids joined by commas, decoded bytes) of each text; null is empty."""
+        rows, ends = self.pool.slice(texts)
+        ids, of_rows = self.pool.gather(rows)
+        at = np.append(0, of_rows)[ends]
+        csv, raw = joined(self.digits.take(pa.array(ids)), at), joined(self.pool.more.take(pa.array(rows)), ends)
+        for i, c, r in zip(np.split(ids, at[:-1]), csv, raw):
+            yield i, c.as_py()[:-1], r.as_py()
+
+
+def joined(parts: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Binary parts put together: an entry for each of ends, the parts from the end before to it."""
+    offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(offsets[0], offsets[ends]).astype(np.int32)), parts.buffers()[2] or pa.py_buffer(b"")])
 
 
 @functools.lru_cache(maxsize=1)
@@ -155,21 +169,6 @@ def coder_of(vocabulary: str, pattern: str) -> Coder:
     return Coder(load_ranks(vocabulary), pattern)
 
 
-def chunked(text: str) -> list[str]:
-    """The text cut before every space that is followed by what isn't white space."""
-    if not text:
-        return []
-    if _ODD.search(text):
-        parts, at = [], 0
-        for m in _CUT.finditer(text):
-            if m.start() > at:
-                parts.append(text[at : m.start()])
-                at = m.start()
-        return [*parts, text[at:]]
-    head, *rest = text.split(" ")
-    return ([head] if head else []) + [" " + x for x in rest]
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>, decoded]) for every row of docs.
 
@@ -184,19 +183,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         coder = coder_of(vocabulary, pattern)
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                texts, size = [], 0
-                while at + len(texts) < b.num_rows and size < SLICE and len(texts) < 4096:
-                    texts.append(b.column(1)[at + len(texts)].as_py() or "")
-                    size += len(texts[-1])
-                made = []
-                for csv, raw in coder.encode(texts):
-                    row = (csv.count(b",") + 1 if csv else 0, hashlib.sha256(csv).hexdigest(), hashlib.sha256(raw).hexdigest())
-                    made.append(row + ((np.array(csv.split(b",") if csv else [], np.int32), raw.decode("utf-8", "replace")) if with_ids else ()))
+            for at, texts in slices(b.column(1), SLICE):
+                made = [(len(ids), hashlib.sha256(csv).hexdigest(), hashlib.sha256(raw).hexdigest(), *((ids, raw.decode("utf-8", "replace")) if with_ids else ())) for ids, csv, raw in coder.encode(texts)]
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *(pa.array([m[i] for m in made], kinds[i]) for i in range(len(names) - 1))], names=names)
-                at += len(texts)
 
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)

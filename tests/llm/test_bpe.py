@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -26,7 +27,8 @@ def test_like_the_library(own, monkeypatch):
     monkeypatch.setattr(B, "LONG", 400)
     coder = B.Coder(B.load_ranks(P.path(VOCABULARY)), P.PATTERN)
     given = texts()
-    for t, (csv, raw) in zip(given, coder.encode(given)):
+    for t, (ids, csv, raw) in zip(given, coder.encode(pa.array(given)), strict=True):
+        assert csv.decode() == ",".join(map(str, ids.tolist()))
         assert csv.decode() == ",".join(map(str, own.encode_ordinary(t))), t[:80]
         assert raw == t.encode()
 
