@@ -3,12 +3,14 @@
 The model is fitted here, in numpy, on generated sentences whose spans are known.
 It reads windows of ``WIDTH`` code points that overlap by half. Its tags are
 decided per document: at every code point the window in whose middle it lies
-most decides, and runs of one tag are spans. A span must hold a digit or an @, so
-windows without either can give none and aren't decoded; that loses nothing.
+most decides, and runs of one tag are spans. A span must hold a digit or an @; so
+only the windows that decide one, and those that a run with one reaches, are
+decoded. The spans are those of decoding all windows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -63,7 +65,7 @@ def base(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, sorted."""
     found = [(s, 0, e) for s, e in emails(text)]
     if _TRIGGER.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() <= 40 and 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
                 found.append((m.start(), 2, m.end()))
@@ -250,47 +252,64 @@ def train(n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED, batch: int
     return model
 
 
-def windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @."""
-    at = {m.start() // STRIDE for m in _TRIGGER.finditer(text)}
-    return [k * STRIDE for k in sorted(at | {k - 1 for k in at if k})]
-
-
-def decide(length: int, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the runs of one tag, after windows that overlap are reconciled."""
-    runs: list[list[int]] = []
-    centre = np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1])
-    i = 0
-    while i < len(starts):  # stretches of windows that overlap
-        j = i + 1
-        while j < len(starts) and starts[j] - starts[j - 1] < WIDTH:
-            j += 1
-        low, high = starts[i], min(length, starts[j - 1] + WIDTH)
-        best, tag = np.full(high - low, -1), np.zeros(high - low, np.int64)
-        for s, g in zip(starts[i:j], tags[i:j]):
-            n = min(WIDTH, high - s)
-            own = slice(s - low, s - low + n)
-            # a text's first and last window have no neighbour on that side
-            better = centre[:n] > best[own]
-            tag[own] = np.where(better, g[:n], tag[own])
-            best[own] = np.where(better, centre[:n], best[own])
-        edges = np.flatnonzero(np.diff(tag)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(tag)]):
-            if a < b and tag[a]:
-                runs.append([low + a, int(tag[a]) - 1, low + b])
-        i = j
-    return [tuple(r) for r in runs]
-
-
-def learned(texts: list[str], known: list[list], model: Tagger) -> list[list[tuple[int, int, int]]]:
+def owner(at: int) -> int:
+    """The window that decides a code point: of the two it lies in, the one whose middle is nearer."""
+    return at // STRIDE - (at >= STRIDE and at % STRIDE < STRIDE // 2)
+
+
+def owned(window: int, length: int) -> tuple[int, int]:
+    """The code points that a window decides."""
+    return (window * STRIDE + STRIDE // 2 if window else 0), min(length, window * STRIDE + 3 * STRIDE // 2)
+
+
+def runs(length: int, tags: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the runs of one tag over the code points that the given windows decide."""
+    found: list[list[int]] = []
+    for w in sorted(tags):
+        s, e = owned(w, length)
+        own = tags[w][s - w * STRIDE : e - w * STRIDE]
+        edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(edges, edges[1:]):
+            if own[a]:
+                if found and found[-1][2] == s + a and found[-1][1] == own[a] - 1:
+                    found[-1][2] = s + b
+                else:
+                    found.append([s + a, int(own[a]) - 1, s + b])
+    return [tuple(r) for r in found]
+
+
+def decided(texts: list[str], model: Tagger, every: bool = False) -> list[list[tuple[int, int, int]]]:
+    """The runs of each text that hold a digit or an @ (and some others), as decoding every window gives them.
+
+    First the windows that decide a digit or an @ are decoded, then, again and
+    again, those that such a run reaches. every: all windows, for tests.
+    """
+    at = [[m.start() for m in _TRIGGER.finditer(t)] for t in texts]
+    tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    new = [(i, w) for i, (t, ps) in enumerate(zip(texts, at)) for w in (range(owner(len(t) - 1) + 1 if t else 0) if every else sorted({owner(p) for p in ps}))]
+    out: list[list] = [[] for _ in texts]
+    while new:
+        ids = [np.pad(codes(t := texts[i][w * STRIDE : w * STRIDE + WIDTH]), (0, WIDTH - len(t)), constant_values=19) for i, w in new]
+        for k in range(0, len(ids), BATCH):
+            for (i, w), g in zip(new[k : k + BATCH], model.decode(np.stack(ids[k : k + BATCH]))):
+                tags[i][w] = g
+        changed, new = sorted({i for i, _ in new}), []
+        for i in changed:
+            out[i], n = runs(len(texts[i]), tags[i]), len(texts[i])
+            more = set()
+            for s, _, e in out[i]:
+                if (p := bisect.bisect_left(at[i], s)) < len(at[i]) and at[i][p] < e:
+                    more |= {owner(x) for x in (s - 1, e) if 0 <= x < n}
+            new += [(i, w) for w in sorted(more) if w not in tags[i]]
+    return out
+
+
+def learned(texts: list[str], known: list[list], model: Tagger, every: bool = False) -> list[list[tuple[int, int, int]]]:
     """The spans that the model adds to each text; none overlaps a base span."""
-    at = [windows(t) for t in texts]
-    ids = [np.pad(codes(t[s : s + WIDTH]), (0, max(0, WIDTH - len(t) + s)), constant_values=19) for t, ss in zip(texts, at) for s in ss]
-    tags = np.concatenate([model.decode(np.stack(ids[i : i + BATCH])) for i in range(0, len(ids), BATCH)]) if ids else np.zeros((0, WIDTH), np.int64)
-    out, done = [], 0
-    for t, ss, base_spans in zip(texts, at, known):
+    out = []
+    for t, found_runs, base_spans in zip(texts, decided(texts, model, every), known):
         found = []
-        for s, k, e in decide(len(t), ss, tags[done : done + len(ss)]):
+        for s, k, e in found_runs:
             while s < e and not (t[s].isalnum() or t[s] in "+("):
                 s += 1
             while e > s and not t[e - 1].isalnum():
@@ -300,7 +319,6 @@ def learned(texts: list[str], known: list[list], model: Tagger) -> list[list[tup
             fits = ("@" in part, digits >= 4 and part.count(".") == 3, digits >= 13, 7 <= digits <= 15)[k]
             if e - s >= SHORTEST and fits and not any(s < y and x < e for x, _, y in base_spans):
                 found.append((s, k, e))
-        done += len(ss)
         out.append(found)
     return out
 

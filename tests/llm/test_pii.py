@@ -50,6 +50,48 @@ def test_held_out():
     assert hit / found > 0.9 and hit / there > 0.9
 
 
+def test_long_numbers():
+    for t in ("0" * 5000 + ".1.2.3", "9" * 5000 + ".1.2.3", "1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "7"):
+        m = re.fullmatch(r"0*([0-9]*)\.1\.2\.3|1\.2\.3\.0*([0-9]*)", t)
+        assert P.base(t) == ([(0, 1, len(t))] if len(m[1] or m[2] or "") <= 3 else [])
+
+
+def test_like_decoding_every_window():
+    r, model = random.Random(21), P.train()
+    texts = ["", "x", "7", "@"]
+    for i in range(250):
+        parts = []
+        while sum(map(len, parts)) < r.choice([30, 120, 700]):
+            long_name = "".join(r.choice("abcdefgh.") for _ in range(r.randint(40, 200)))
+            parts.append(r.choice([P._sentence(r)[0], "words without any of them " * r.randint(1, 6), long_name + "@mail.org ", "(" * r.randint(1, 90), "4" * r.randint(1, 150)]))
+        texts.append("".join(parts))
+    known = [P.base(t) for t in texts]
+    assert P.learned(texts, known, model) == P.learned(texts, known, model, every=True)
+    # what decides a code point, by the rule itself
+    for n in (1, 15, 16, 33, 64, 100, 333):
+        for q in range(n):
+            near = max((min(q - 32 * w, 63 - q + 32 * w), -w) for w in range(n // 32 + 1) if 0 <= q - 32 * w < 64)
+            assert P.owner(q) == -near[1]
+            s, e = P.owned(P.owner(q), n)
+            assert s <= q < e
+
+
+def test_recall_on_documents():
+    """Labelled spans in long texts, of forms that the base patterns miss."""
+    r, model, hit, there, wrong = random.Random(31), P.train(), 0, 0, 0
+    for _ in range(60):
+        text, spans = "", []
+        for _ in range(12):
+            text += " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(5, 60))) + " "
+            part = r.choice([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}"])
+            spans.append((len(text), 3, len(text) + len(part)))
+            text += part + r.choice([". ", ", ", " "])
+        got = P.learned([text], [P.base(text)], model)[0]
+        hit, there, wrong = hit + len(set(got) & set(spans)), there + len(spans), wrong + len(set(got) - set(spans))
+    print("recall", hit / there, "wrong", wrong / there)
+    assert hit / there > 0.9 and wrong / there < 0.1
+
+
 def test_reconciled():
     model = P.train()
     t = "call Maria any time on (743) 555-3824 or leave word with " * 40
