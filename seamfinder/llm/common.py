@@ -22,11 +22,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset (tests, local
-    mode) the driver's own temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it. Where that is unset, local mode has the
+    driver's own temporary folder instead; on a cluster it is an error, as
+    executors don't see each other's folders.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = "file://" + os.path.join(tempfile.gettempdir(), "seamfinder-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,22 +69,6 @@ class Scratch:
             self._forget(self.path(name))
 
 
-class Recent:
-    """A cache of bounded size in two generations: what was used since the last change of generation outlives the next one."""
-
-    def __init__(self, size: int):
-        self.half, self.now, self.before = size // 2, {}, {}
-
-    def missing(self, keys: set) -> set:
-        """What of keys isn't held; what is held is in ``now`` until the next call."""
-        if len(self.now) > self.half:
-            self.now, self.before = {}, self.now
-        out = keys.difference(self.now)
-        back = out.intersection(self.before)
-        self.now.update((k, self.before[k]) for k in back)
-        return out - back
-
-
 def filesystem(uri: str):
     """A pyarrow file system and the path in it; executors use it for binary files."""
     from pyarrow import fs
