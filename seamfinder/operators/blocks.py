@@ -1,134 +1,132 @@
-"""Source files to blocks: light segmenters by braces, indentation and end keywords, run over Arrow batches.
-
-No grammar is at hand, so a block is what a header line and its body make: a
-declaration by keyword, with the comment lines right above it. Structural
-patterns are matched on tokens with balanced brackets.
-"""
+"""Blocks of source files as a table, what lies in them, and what a target asks to be taken out."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.corpus import LANGUAGES
+from . import spans
+from .segment import segment
 
-SCHEMA = "path string, block_id int, start int, end int, node_type string, name string, parent string, is_test boolean, code string"
-_BRACE = re.compile(
-    r"^\s*(?:(?:pub(?:\([a-z]+\))?|export|default|async|static|public|private|protected|internal|abstract|final|override|unsafe|virtual|open|extern)\s+)*"
-    r"(?:(?P<type>class|struct|enum|trait|interface|impl|protocol|extension|namespace|mod)\s+(?:<[^>]*>\s*)?(?P<tn>\w+)"
-    r"|type\s+(?P<gt>\w+)\s+(?:struct|interface)"
-    r"|(?:fn|func|function|fun)\s*\*?\s*(?:\([^)]*\)\s*)?(?P<fn>\w+)"
-    r"|(?:const|let|var)\s+(?P<vn>\w+)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|\{)"
-    r"|(?!(?:if|for|while|switch|return|else|do|catch|match|new|throw)\b)[\w<>\[\],:*&?~ ]*?(?P<mn>\w+)\s*\([^;]*\)[^;=]*\{)")
-_PYTHON = re.compile(r"^(?P<i>\s*)(?:async\s+)?(?P<k>def|class)\s+(?P<n>\w+)")
-_RUBY = re.compile(r"^\s*(?P<k>def|class|module)\s+(?:self\.)?(?P<n>[\w?!]+)")
-_COMMENT = re.compile(r"^\s*(//|/\*|\*|#(?!\[|include|define)|--)")
-_TEST = re.compile(r"^test|^Test|_test$|Test$")
-_KEYWORDS = frozenset("if for while switch return else do catch match new throw sizeof".split())
-
-
-def _bare(line: str) -> str:
-    """Without strings and comments, as far as one line tells."""
-    return re.sub(r"//.*$", "", re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`", '""', line))
-
-
-def _brace_end(lines: list[str], at: int) -> int | None:
-    depth, opened = 0, False
-    for i in range(at, len(lines)):
-        for c in _bare(lines[i]):
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-            elif c == ";" and not opened:
-                return None
-        if opened and depth <= 0:
-            return i
-    return len(lines) - 1 if opened else None
-
-
-def segment(content: str, ext: str) -> list[tuple[int, int, str, str, str | None, bool]]:
-    """(start, end, kind, name, parent, is_test), lines from 1, in order."""
-    lines, found = content.split("\n"), []
-    for i, line in enumerate(lines):
-        if ext in LANGUAGES["python"]:
-            if m := _PYTHON.match(line):
-                own, end = len(m["i"].expandtabs()), i
-                for j in range(i + 1, len(lines)):
-                    if lines[j].strip():
-                        if len(lines[j].expandtabs()) - len(lines[j].expandtabs().lstrip()) <= own:
-                            break
-                        end = j
-                found.append((i, end, "class" if m["k"] == "class" else "function", m["n"]))
-        elif ext in LANGUAGES["ruby"]:
-            if m := _RUBY.match(line):
-                indent = len(line) - len(line.lstrip())
-                end = next((j for j in range(i + 1, len(lines)) if re.match(rf"^\s{{{indent}}}end\b", lines[j])), len(lines) - 1)
-                found.append((i, end, "function" if m["k"] == "def" else "class", m["n"]))
-        elif any(ext in x for x in LANGUAGES.values()) and (m := _BRACE.match(line)) and not _COMMENT.match(line):
-            name = m["tn"] or m["gt"] or m["fn"] or m["vn"] or m["mn"]
-            if name not in _KEYWORDS and (end := _brace_end(lines, i)) is not None:
-                found.append((i, end, "class" if m["tn"] or m["gt"] else "function" if m["fn"] or m["mn"] else "variable_declaration", name))
-    out = []
-    for s, e, kind, name in found:
-        parents = [x for x in found if x[0] <= s and x[1] >= e and (x[0], x[1]) != (s, e)]
-        parent = min(parents, key=lambda x: x[1] - x[0])[3] if parents else None
-        first = s
-        while first > 0 and (_COMMENT.match(lines[first - 1]) or re.match(r"^\s*(@\w|#\[)", lines[first - 1])):
-            first -= 1
-        head = "\n".join(lines[first : s + 1])
-        out.append((first + 1, e + 1, kind, name, parent, bool(_TEST.search(name) or re.search(r"#\[(?:\w+::)?test|@Test\b|\[Test|\[Fact", head))))
-    return out
+SCHEMA = "path string, block_id int, start int, end int, first int, node_type string, name string, parent string, parent_type string, parent_start int, parent_end int, is_test boolean, code string"
+#: Lines shown around a line that is in no block.
+AROUND = 10
+
+
+def line_count(content: Column) -> Column:
+    """Lines of a text; a newline at its end begins none. Null has one, as an empty text has."""
+    text = F.coalesce(content, F.lit(""))
+    return F.greatest(F.lit(1), F.size(F.split(text, "\n", -1)) - F.when(text.endswith("\n"), 1).otherwise(0))
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """Blocks of files(path, ext, content); files of other languages have none."""
+    """Blocks of files(path, ext, content); files of unknown languages and null texts have none.
+
+    start and end are the declaration's lines, first where the comments and
+    attributes above it begin; parent is the declaration around it. Repeated
+    files give their blocks each time; other columns aren't read.
+    """
 
     def run(batches):
         for pdf in batches:
             rows = []
             for path, ext, content in zip(pdf["path"], pdf["ext"], pdf["content"]):
-                lines = (content or "").split("\n")
-                rows += [(path, i, s, e, k, n, p, t, "\n".join(lines[s - 1 : e])) for i, (s, e, k, n, p, t) in enumerate(segment(content or "", ext or ""))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+                lines, found = (content or "").split("\n"), segment(content or "", ext or "")
+                for i, b in enumerate(found):
+                    up = found[b.parent] if b.parent >= 0 else None
+                    rows.append((path, i, b.start, b.end, b.first, b.kind, b.name, up and up.name, up and up.kind, up and up.start, up and up.end, b.is_test, "\n".join(lines[b.start - 1 : b.end])))
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield out.astype({"parent_start": "Int32", "parent_end": "Int32"})
 
     return files.select("path", "ext", "content").mapInPandas(run, SCHEMA)
 
 
 def enclosing(hits: DataFrame, found: DataFrame) -> DataFrame:
-    """For each hit (path, line_no) the smallest block that holds it."""
-    b = found.select(F.col("path").alias("p"), "block_id", "start", "end", "node_type", "name")
-    j = hits.join(b, (F.col("path") == F.col("p")) & F.col("line_no").between(F.col("start"), F.col("end")))
-    return j.groupBy("path", "line_no").agg(F.min_by(F.struct("block_id", "start", "end", "node_type", "name"), F.struct(F.col("end") - F.col("start"), F.col("block_id"))).alias("b")).select("path", "line_no", "b.*")
+    """For each hit (path, line_no) the smallest block that holds it, comments above it included.
 
+    A hit above a declaration takes in the comments; a type declared inside a
+    function is widened to the function.
+    """
+    b = found.select(F.col("path").alias("p"), "block_id", "start", "end", "first", "node_type", "name", "parent_type", "parent_start", "parent_end", "is_test")
+    j = hits.join(b, (F.col("path") == F.col("p")) & F.col("line_no").between(F.col("first"), F.col("end")))
+    local = (F.col("node_type") == "type_declaration") & F.coalesce(F.col("parent_type").isin("function_declaration", "method_declaration"), F.lit(False))
+    start = F.when(local, F.col("parent_start")).when(F.col("line_no") < F.col("start"), F.col("first")).otherwise(F.col("start"))
+    own = F.struct("block_id", start.alias("start"), F.when(local, F.col("parent_end")).otherwise(F.col("end")).alias("end"), F.when(local, F.col("parent_type")).otherwise(F.col("node_type")).alias("node_type"), "name", "is_test")
+    return j.groupBy("path", "line_no").agg(F.min_by(own, F.struct(F.col("end") - F.col("first"), F.col("block_id"))).alias("b")).select("path", "line_no", "b.*")
 
-def symbol(found: DataFrame, name: str, files: DataFrame | None = None) -> DataFrame:
-    """Blocks by name or Parent.name; if there are none and files are given, the first line that has the text."""
+
+def _unknown(ext: str) -> Column:
+    """Whether no segmenter knows an extension."""
+    return ~F.coalesce(F.lower(ext).isin(*[x for xs in LANGUAGES.values() for x in xs]), F.lit(False))
+
+
+def _lines_of(content: Column, start: Column, end: Column) -> Column:
+    return F.array_join(F.slice(F.split(F.coalesce(content, F.lit("")), "\n", -1), start, end - start + 1), "\n")
+
+
+def symbol(found: DataFrame, name: str, files: DataFrame | None = None, around: int = AROUND) -> DataFrame:
+    """Blocks by name or Parent.name. Files (if given) without such a block give the lines around the first that has the text; those of unknown languages are given whole."""
     parent, _, own = name.rpartition(".")
-    hit = found.where((F.col("name") == own) & (F.col("parent") == parent if parent else F.lit(True)))
-    if files is None or not hit.isEmpty():
-        return hit.select("path", "start", "end", "node_type", "code")
-    rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "code")).where(F.col("code").contains(own))
-    return rows.groupBy("path").agg(F.min("pos").alias("pos"), F.min_by("code", "pos").alias("code")).select("path", (F.col("pos") + 1).alias("start"), (F.col("pos") + 1).alias("end"), F.lit("text_search").alias("node_type"), "code")
-
-
-def extract(files: DataFrame, found: DataFrame, wanted: DataFrame, around: int = 10) -> DataFrame:
-    """wanted(path, start, end) -> the blocks that a line or range lies in, merged; else the lines around it, within the file."""
-    n = files.select("path", F.size(F.split("content", "\n")).alias("n"))
-    w = wanted.join(n, "path").select("path", F.least("start", "n").alias("ws"), F.least(F.coalesce("end", "start"), F.col("n")).alias("we"), "n")
-    b = found.select(F.col("path").alias("p"), "start", "end")
-    inner = w.join(b, (F.col("path") == F.col("p")) & (F.col("start") <= F.col("we")) & (F.col("end") >= F.col("ws")), "left")
-    single = F.col("ws") == F.col("we")
-    g = inner.groupBy("path", "ws", "we", "n").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.min_by("start", F.col("end") - F.col("start")).alias("ls"), F.min_by("end", F.col("end") - F.col("start")).alias("le"))
-    return g.select("path", F.coalesce(F.when(single, F.col("ls")).otherwise(F.least("lo", "ws")), F.when(single, F.greatest(F.lit(1), F.col("ws") - around)).otherwise(F.col("ws"))).alias("start"),
-                    F.coalesce(F.when(single, F.col("le")).otherwise(F.greatest("hi", "we")), F.when(single, F.least("n", F.col("we") + around)).otherwise(F.col("we"))).alias("end"),
-                    F.when(F.col("lo").isNull(), F.when(single, "context").otherwise("range")).otherwise(F.when(single, "merged_ast_line").otherwise("merged_ast_range")).alias("node_type"))
-
-
-_WORD = re.compile(r"\s+|[A-Za-z_]\w*|\d[\w.]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[^\w\s]")
+    hit = found.where((F.col("name") == own) & (F.col("parent") == parent if parent else F.lit(True))).select("path", "start", "end", "node_type", "code")
+    if files is None:
+        return hit
+    rest = files.select("path", "ext", "content").join(hit.select("path").distinct(), "path", "left_anti").where(F.col("content").contains(own))
+    at = F.size(F.split(F.substring_index("content", own, 1), "\n", -1))
+    n = line_count(F.col("content"))
+    whole = _unknown("ext")
+    rest = rest.select("path", "content", F.when(whole, 1).otherwise(F.greatest(F.lit(1), at - around)).alias("start"), F.when(whole, n).otherwise(F.least(n, at + around)).alias("end"), F.when(whole, "file").otherwise("text_search").alias("node_type"))
+    return hit.unionByName(rest.select("path", "start", "end", "node_type", _lines_of(F.col("content"), F.col("start"), F.col("end")).alias("code")))
+
+
+def extract(files: DataFrame, found: DataFrame, wanted: DataFrame, around: int = AROUND, distinct: bool = False) -> DataFrame:
+    """wanted(path, start[, end, symbol, lines]) -> (path, start, end, node_type, code).
+
+    By what a target has: a symbol, a range (start and end), a line (start), a
+    set of lines, or a whole file. Lines are moved into the file. Ranges, lines
+    and sets give one piece that covers the smallest blocks around each of
+    their lines; where there is no block, a range gives its own lines, and a
+    line or a set those around it. distinct: pieces inside of others go.
+    Targets of files that aren't there give nothing, repeated targets one
+    piece; null texts count as empty.
+    """
+    kinds = {"start": "int", "end": "int", "symbol": "string", "lines": "array<int>"}
+    w = wanted.select("path", *[F.col(c).cast(t) if c in wanted.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).distinct()
+    text = files.select("path", "ext", F.coalesce("content", F.lit("")).alias("content"), line_count(F.col("content")).alias("n"))
+    ask = F.when(F.col("symbol").isNotNull(), "symbol").when(F.col("end").isNotNull() & F.col("start").isNotNull(), "range").when(F.col("start").isNotNull(), "line").when(F.size(F.coalesce("lines", F.array())) > 0, "lines").otherwise("file")
+    into = lambda c: F.greatest(F.lit(1), F.least(c, F.col("n")))
+    asked = w.withColumn("ask", ask).join(text.select("path", "n"), "path").withColumn("ws", F.when(F.col("start").isNotNull(), into(F.col("start")))).withColumn("we", F.when(F.col("end").isNotNull(), F.greatest(F.col("ws"), into(F.col("end")))))
+    extra = F.transform(F.coalesce("lines", F.array().cast("array<int>")), into)
+    own = F.when(F.col("ask") == "range", F.sequence("ws", "we")).when(F.col("ask") == "line", F.array("ws")).otherwise(F.array().cast("array<int>"))
+    key = ["path", "ask", "start", "end", "lines", "ws", "we", "n"]
+    per = asked.where(F.col("ask").isin("range", "line", "lines")).select(*key, F.explode(F.array_distinct(F.concat(own, extra))).alias("line_no"))
+    near = enclosing(per.select("path", "line_no").distinct(), found).select("path", "line_no", F.col("start").alias("bs"), F.col("end").alias("be"))
+    g = per.join(near, ["path", "line_no"], "left").groupBy(*key).agg(F.min("bs").alias("bs"), F.max("be").alias("be"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
+    block, is_range = F.col("bs").isNotNull(), F.col("ask") == "range"
+    kind = F.when(block, F.when(is_range, "merged_ast_range").when(F.col("ask") == "line", "merged_ast_line").otherwise("merged_ast_specific_lines")) \
+        .otherwise(F.when(is_range, "range").when(F.col("ask") == "line", "context").otherwise("specific_lines"))
+    lo, hi = F.when(F.col("ask") == "lines", F.col("lo")).otherwise(F.col("ws")), F.when(F.col("ask") == "lines", F.col("hi")).otherwise(F.coalesce("we", "ws"))
+    pad = F.when(is_range, 0).otherwise(around)
+    placed = g.select("path", F.when(block, F.col("bs")).otherwise(into(lo - pad)).alias("start"), F.when(block, F.least("be", "n")).otherwise(into(hi + pad)).alias("end"), kind.alias("node_type"))
+    placed = placed.unionByName(asked.where("ask = 'file'").select("path", F.lit(1).alias("start"), F.col("n").alias("end"), F.lit("file").alias("node_type")))
+
+    s = asked.where("ask = 'symbol'").select("path", "symbol", "n", F.substring_index("symbol", ".", -1).alias("own"), F.when(F.col("symbol").contains("."), F.element_at(F.split("symbol", r"\."), -2)).alias("above"))
+    b = found.select(F.col("path").alias("p"), F.col("start").alias("bs"), F.col("end").alias("be"), F.col("node_type").alias("kind"), "name", "parent")
+    named = s.join(b, (F.col("path") == F.col("p")) & (F.col("own") == F.col("name")) & (F.col("above").isNull() | (F.col("above") == F.col("parent"))), "left")
+    hit = named.where("bs is not null").select("path", F.col("bs").alias("start"), F.col("be").alias("end"), F.col("kind").alias("node_type"))
+    miss = named.where("bs is null").select("path", "own", "n").join(text.select("path", "ext", "content"), "path").where(F.expr("contains(content, own)"))
+    at, whole = F.expr(r"size(split(substring_index(content, own, 1), '\n', -1))"), _unknown("ext")
+    miss = miss.select("path", F.when(whole, 1).otherwise(into(at - around)).alias("start"), F.when(whole, F.col("n")).otherwise(into(at + around)).alias("end"), F.when(whole, "file").otherwise("text_search").alias("node_type"))
+    pieces = placed.unionByName(hit).unionByName(miss).distinct()
+    if distinct:
+        pieces = pieces.join(spans.contained(pieces.select("path", "start", "end")), ["path", "start", "end"]).dropDuplicates(["path", "start", "end"])
+    return pieces.join(text.select("path", "content"), "path").select("path", "start", "end", "node_type", _lines_of(F.col("content"), F.col("start"), F.col("end")).alias("code"))
+
+
+_WORD = re.compile(r"\s+|(?<=[<&])'[A-Za-z_]\w*(?!')|[A-Za-z_]\w*|\d[\w.]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[^\w\s]")
 _PATTERN = re.compile(r"\s+|\$\$\$[A-Z_]\w*|\$[A-Z_]\w*|[A-Za-z_]\w*|\d[\w.]*|\"(?:\\.|[^\"\\])*\"|[^\w\s]")
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
@@ -144,18 +142,31 @@ def match_pattern(content: str, pattern: str) -> list[tuple[int, int]]:
         elif t in _PAIRS.values() and stack and _PAIRS[toks[stack[-1]][0]] == t:
             close[stack.pop()] = i
     text = lambda a, b: content[toks[a][1] : toks[b - 1][2]] if b > a else ""
+    failed: set = set()  # without it and runs, each $$$ would multiply the work
+    runs: set = set()
 
     def go(p: int, i: int, bound: dict) -> int | None:
+        key = (p, i, tuple(sorted(bound.items())))
+        if key in failed:
+            return None
+        end = walk(p, i, bound)
+        if end is None:
+            failed.add(key)
+        return end
+
+    def walk(p: int, i: int, bound: dict) -> int | None:
         while p < len(pat):
             t = pat[p]
             if t.startswith("$$$"):
-                j = i
-                while True:
+                j, names = i, tuple(sorted(bound.items()))
+                while (p, j, names) not in runs:
+                    runs.add((p, j, names))  # a run from here was tried, and will have failed
                     if (end := go(p + 1, j, bound)) is not None:
                         return end
                     if j >= len(toks) or toks[j][0] in _PAIRS.values():
                         return None
                     j = close[j] + 1 if j in close else j + 1
+                return None
             if i >= len(toks):
                 return None
             if t.startswith("$"):
@@ -172,8 +183,11 @@ def match_pattern(content: str, pattern: str) -> list[tuple[int, int]]:
 
     out = []
     for i in range(len(toks)):
-        if (end := go(0, i, {})) is not None and end > i:
-            out.append((toks[i][1], toks[end - 1][2]))
+        end = go(0, i, {})
+        if end is not None:
+            runs.clear()  # it holds places of a run that went well
+            if end > i:
+                out.append((toks[i][1], toks[end - 1][2]))
     return out
 
 
