@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -9,15 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lexicon import CODE_STOP_WORDS, PARTS, STOP_WORDS, WHOLE, stem
+from .lexicon import CODE_STOP_WORDS, PARTS, STOP_WORDS, WHOLE
+from .porter import stem
 
 SPLIT = r"[^\p{L}\p{N}]+"
+_RUNS, _NEGATED = re.compile(r"[^\W_]+"), re.compile(r"(?:^|\s)-(\w+)")
 _EDGES = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
 def words(text: Column) -> Column:
     """All words in order, lower case, repeats included; null text has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), "")
 
 
 def terms(text: Column) -> Column:
@@ -25,6 +28,28 @@ def terms(text: Column) -> Column:
     return F.array_distinct(words(text))
 
 
+def count_words(text: Column) -> Column:
+    """How many words a text has; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
+
+
+def _whole(word: str) -> str:
+    # the word comes first, so that places without its first letter fail at once
+    return rf"{re.escape(word)}(?<![\p{{L}}\p{{N}}]{re.escape(word)})(?![\p{{L}}\p{{N}}])"
+
+
+def has_word(text: Column, word: str) -> Column:
+    """Whether a text has a word, whatever the case; no array of words is made."""
+    low = F.lower(text)
+    return F.coalesce(low.contains(word) & low.rlike(_whole(word)), F.lit(False))
+
+
+def count_word(text: Column, word: str) -> Column:
+    """How often a text has a word."""
+    low = F.lower(text)
+    return F.when(low.contains(word), F.regexp_count(low, F.lit(_whole(word)))).otherwise(0)
+
+
 def _compound(word: str, parts=PARTS) -> list[str]:
     """The fewest known parts that make up the word, else the word."""
     best: list = [[]] + [None] * len(word)
@@ -35,21 +60,32 @@ def _compound(word: str, parts=PARTS) -> list[str]:
     return best[-1] if best[-1] and len(best[-1]) > 1 else [word]
 
 
-def tokenize(text: str | None, distinct: bool = True) -> list[str]:
-    """Split, divide camel case and compounds, drop stop words and the integers to 10, stem; words that are never split also stay as they are."""
+@functools.lru_cache(maxsize=400_000)
+def _tokens(raw: str) -> tuple[str, ...]:
+    """What one run of letters and digits becomes, wherever it stands."""
     out: list[str] = []
-    negated = {stem(w.lower()) for w in re.findall(r"(?:^|\s)-(\w+)", text or "")}
-    for raw in re.findall(r"[^\W_]+", text or ""):
-        low = raw.lower()
-        pieces = [low] if low in WHOLE else [p.lower() for p in _EDGES.split(raw) if p]
-        for piece in pieces:
-            if piece in STOP_WORDS or piece in CODE_STOP_WORDS or (piece.isdecimal() and int(piece) <= 10):
+    low = raw.lower()
+    for piece in [low] if low in WHOLE else [p.lower() for p in _EDGES.split(raw) if p]:
+        if piece in STOP_WORDS or piece in CODE_STOP_WORDS or (piece.isdecimal() and len(piece) < 3 and int(piece) <= 10):
+            continue
+        for part in [piece] if piece in WHOLE else _compound(piece):
+            if part in STOP_WORDS:
                 continue
-            for part in [piece] if piece in WHOLE else _compound(piece):
-                if part in STOP_WORDS:
-                    continue
-                out += [part, stem(part)] if part in WHOLE else [stem(part)]
-    out = [t for t in out if t not in negated]
+            out += [part, stem(part)] if part in WHOLE else [stem(part)]
+    return tuple(out)
+
+
+def tokenize(text: str | None, distinct: bool = True) -> list[str]:
+    """Split, divide camel case and compounds, drop stop words and the integers to 10, stem; words that are never split also stay as they are.
+
+    Null text has no tokens. A word's tokens don't depend on what stands around
+    it, so that each distinct word is analysed once; words after a minus sign
+    are taken out.
+    """
+    text = text or ""
+    out = [t for raw in _RUNS.findall(text) for t in _tokens(raw)]
+    if "-" in text and (negated := {stem(w.lower()) for w in _NEGATED.findall(text)}):
+        out = [t for t in out if t not in negated]
     return list(dict.fromkeys(out)) if distinct else out
 
 

@@ -8,31 +8,3 @@ CODE_STOP_WORDS = frozenset("fn func function def class struct let var const ret
 WHOLE = frozenset("oauth oauth2 graphql postgresql javascript typescript github ipv4 ipv6 middleware".split())
 #: Parts that compound words are divided into.
 PARTS = frozenset("white list black ip error handler data base file name user time out key word end point back front code block request response client server auth log in out token parse test case config".split())
-
-_VOWELS = "aeiouy"
-
-
-def stem(word: str) -> str:
-    """A light English stemmer: plural, -ed, -ing, -ly and a final y, where a vowel stays before them."""
-    if len(word) < 4 or not word.isascii():
-        return word
-    has_vowel = lambda w: any(c in _VOWELS for c in w)
-    if word.endswith("sses"):
-        word = word[:-2]
-    elif word.endswith(("ied", "ies")):
-        word = word[:-2] if len(word) > 4 else word[:-1]
-    elif word.endswith("s") and not word.endswith(("us", "ss", "is")) and has_vowel(word[:-2]):
-        word = word[:-1]
-    for end in ("ingly", "edly", "ing", "ed", "ly"):
-        body = word[: -len(end)]
-        if word.endswith(end) and len(body) > 2 and has_vowel(body):
-            word = body
-            if end in ("ing", "ed", "ingly", "edly"):
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 3 and word[-1] == word[-2] and word[-1] in "bdfgmnprt":
-                    word = word[:-1]
-            break
-    if word.endswith("y") and len(word) > 2 and word[-2] not in _VOWELS:
-        word = word[:-1] + "i"
-    return word

@@ -111,7 +111,7 @@ class _Parser:
         if kind not in ("word", "quoted"):
             raise QueryError(f"a term is missing before {value!r}")
         exact = kind == "quoted"
-        keywords = (value.lower(),) if exact else tuple(self.analyze(value))
+        keywords = (value.lower(),) if exact or mark == "-" else tuple(self.analyze(value))  # what is excluded stays as it is written
         return Term(keywords, mark == "+", mark == "-", exact, field)
 
 
