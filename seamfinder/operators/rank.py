@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import analyzer
 from ..plans.query import Expr, compile_match, compile_score, keywords, leaves
 
 K1, B = 1.5, 0.5
@@ -17,32 +20,38 @@ def occurrences(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == F.lit(term)))
 
 
-def frequencies(tokens: Column, terms: list[str]) -> list[Column]:
-    return [occurrences(tokens, t).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]
-
-
-def bm25(blocks: DataFrame, e: Expr, tokens: str = "tokens", text: str | None = None, k1: float = K1, b: float = B, set_tf: bool = False, corpus_wide: bool = False) -> DataFrame:
+def bm25(blocks: DataFrame, e: Expr, tokens: str | None = "tokens", text: str | None = None, k1: float = K1, b: float = B, set_tf: bool = False, corpus_wide: bool = False) -> DataFrame:
     """blocks that match, with a score.
 
     Candidates are blocks with some keyword (all blocks if the query only
     excludes); N, df and the mean length are over candidates, or over all
-    blocks if corpus_wide. set_tf: a repeated word counts once. One pass makes
-    the statistics; they are one row and are joined back to every block.
+    blocks if corpus_wide. tokens: a column of words; None counts the words of
+    ``text`` where they stand. set_tf: a repeated word counts once. Null texts
+    have no words, repeated blocks count as often as they are there, and an
+    empty table gives an empty result. The counts are generated columns, made
+    once a row; statistics are one row and are joined back to every block.
     """
     terms = keywords(e)
     if len(terms) > MOST_KEYWORDS:
         raise ValueError(f"a query may have {MOST_KEYWORDS} keywords")
-    bag = F.array_distinct(F.col(tokens)) if set_tf else F.col(tokens)
-    raw = blocks.select("*", F.size(bag).cast("double").alias("dl"), *frequencies(bag, terms))
+    only_excludes = all(t.excluded for t in leaves(e))
+    exact = {k for t in leaves(e) if t.exact for k in t.keywords}
+    given = blocks
+    if tokens:
+        bag = F.array_distinct(F.col(tokens)) if set_tf else F.col(tokens)
+        written = {k for t in leaves(e) if t.excluded for k in t.keywords} if text else set()  # these aren't analysed, so the text has them as they are
+        counts = [F.size(bag).cast("double").alias("dl"), *[(analyzer.count_word(F.col(text), t) if t in written else occurrences(bag, t)).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]]
+    else:
+        if not only_excludes and not corpus_wide:
+            given = blocks.where(some_of([F.lower(F.col(text)).contains(t) for t in terms]))
+        counts = [analyzer.count_words(F.col(text)).cast("double").alias("dl"), *[analyzer.count_word(F.col(text), t).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]]
+    raw = given.select("*", F.inline(F.array(F.struct(*counts, *[F.coalesce(F.lower(F.col(text)).contains(k), F.lit(False)).alias(f"in_{i}") for i, k in enumerate(terms) if text and k in exact]))))
 
     def has(k: str, exact: bool) -> Column:
-        return F.lower(F.col(text)).contains(k) if exact and text else F.col(f"tf_{terms.index(k)}") > 0
+        return F.col(f"in_{terms.index(k)}") if exact and text else F.col(f"tf_{terms.index(k)}") > 0
 
     some = compile_match(e, has)
-    only_excludes = all(t.excluded for t in leaves(e))
-    any_hit = F.lit(only_excludes)
-    for i in range(len(terms)):
-        any_hit = any_hit | (F.col(f"tf_{i}") > 0)
+    any_hit = F.lit(only_excludes) | some_of([F.col(f"tf_{i}") > 0 for i in range(len(terms))])
     candidates = raw if corpus_wide else raw.where(any_hit)
     stats = candidates.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), *[F.count(F.when(F.col(f"tf_{i}") > 0, 1)).cast("double").alias(f"df_{i}") for i in range(len(terms))])
     joined = raw.where(any_hit & some).crossJoin(F.broadcast(stats))  # one row
@@ -56,14 +65,36 @@ def bm25(blocks: DataFrame, e: Expr, tokens: str = "tokens", text: str | None =
     return joined.withColumn("score", compile_score(e, score)).select(*blocks.columns, "score")
 
 
-#: Factors of the kinds of blocks.
-BOOSTS = {"function": 2.0, "class": 1.8, "variable_declaration": 1.3, "control_flow": 1.1, "import": 0.7, "comment": 0.5}
+def some_of(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
-def boost(kind: Column) -> Column:
-    out = F.lit(1.0)
-    for k, v in BOOSTS.items():
-        out = F.when(kind == k, v).otherwise(out)
+# The factor of each kind of node.
+BOOSTS = {
+    2.0: "function_item function_declaration method_declaration function_definition function_expression arrow_function method_definition method singleton_method constructor_declaration",
+    1.8: "impl_item struct_item class_declaration type_definition interface_declaration class_specifier struct_specifier struct_declaration interface_type protocol_declaration type_alias_declaration typealias_declaration",
+    1.6: "enum_item trait_item enum_declaration enum_specifier type_declaration type_spec trait_declaration extension_declaration delegate_declaration",
+    1.4: "module mod_item namespace namespace_declaration namespace_definition module_declaration package_declaration",
+    1.3: "property_declaration event_declaration const_declaration var_declaration variable_declaration constant_declaration const_spec var_spec",
+    1.1: "export_statement declare_statement declaration",
+    0.5: "line_comment comment // /* */",
+}
+#: Comments of more lines than this above their first are documentation, with a factor of their own.
+DOC_LINES, DOC_BOOST, TEST_BOOST = 3, 1.2, 0.7
+
+
+def boost(kind: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """The factor of a kind of node. Long documentation is told by its lines, tests by their name; other kinds have 1."""
+    out = F.when(kind.contains("test") | kind.contains("Test"), TEST_BOOST).otherwise(1.0)
+    out = F.when(kind.isin(*BOOSTS[0.5].split()), 0.5).otherwise(out)
+    for factor, kinds in BOOSTS.items():
+        if factor != 0.5:
+            out = F.when(kind.isin(*kinds.split()), factor).otherwise(out)
+    if start is not None:
+        out = F.when(kind.isin("doc_comment", "block_comment") & (end - start > DOC_LINES), DOC_BOOST).otherwise(out)
     return out
 
 
@@ -73,16 +104,55 @@ def top(scored: DataFrame, n: int, *ties: str, by: str = "score") -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(by).desc_nulls_last(), *ties)))
 
 
-def early_scores(hits: DataFrame, n_terms: int) -> DataFrame:
-    """hits(path, term, tf, dl) -> (path, score): the sum of idf by saturated tf, raised with the share of the query's terms."""
-    df = hits.groupBy("term").agg(F.countDistinct("path").alias("df"))
-    all_of = hits.select("path", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    w = hits.join(df, "term").crossJoin(F.broadcast(all_of))
-    idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
+#: A file is taken to be this much longer than its last hit.
+MORE_LINES = 100
+
+
+def match_stats(tokens: Column, terms: list[str]) -> list[Column]:
+    """The query's terms that a block has, sorted, and their number; both counters of matches are that number."""
+    there = F.array_sort(F.array_intersect(F.array(*map(F.lit, sorted(set(terms)))), tokens))
+    return [there.alias("matched_keywords"), F.size(there).alias("block_unique_terms"), F.size(there).alias("block_total_matches")]
+
+
+#: What the idf of a term in a file's name counts for.
+NAME_BOOST = 2.0
+
+
+def early_scores(hits: DataFrame, n_terms: int, named: DataFrame | None = None) -> DataFrame:
+    """hits(path, term, tf, dl), a row for each path and term at most -> (path, score).
+
+    The sum of idf by saturated tf, raised with the share of the query's terms.
+    named(path, term): terms in the names of files; each adds its idf doubled.
+    N and the mean length are over paths with a hit; df of a term without hits is 1.
+    """
+    rows = hits.select("path", "term", "tf", "dl", F.lit(False).alias("name"))
+    if named is not None:
+        rows = rows.unionByName(named.select("path", "term", F.lit(None).alias("tf"), F.lit(None).alias("dl"), F.lit(True).alias("name")))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    all_of = hits.groupBy("path").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    w = rows.join(F.broadcast(df), "term", "left").crossJoin(F.broadcast(all_of))  # a row for each term of the query, and one row
+    idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(1)) + 1))
     part = idf * F.col("tf") * (EARLY_K1 + 1) / (F.col("tf") + EARLY_K1 * (1 - EARLY_B + EARLY_B * F.col("dl") / F.col("avgdl")))
+    part = F.when(F.col("name"), NAME_BOOST * idf).otherwise(part)
     return w.groupBy("path").agg(F.sum(part).alias("s"), F.count("*").alias("c")).select("path", (F.col("s") * (1 + 0.5 * F.col("c") / n_terms)).alias("score"))
 
 
+#: Fixed values of the estimate of how many files a search has to look at.
+FILES_LEAST, RESULTS_A_FILE, ROOM, RESULTS_DEFAULT, TOKENS_A_RESULT = 20, 2.5, 1.5, 1000, 250
+
+
+def files_needed(max_results: int | None = None, max_tokens: int | None = None, tokens_a_result: int = TOKENS_A_RESULT) -> int:
+    """How many of the files with the best early scores give enough results, with room to spare."""
+
+    def files(results: int) -> int:
+        return math.ceil(math.ceil(results * ROOM) / RESULTS_A_FILE)
+
+    n = files(RESULTS_DEFAULT if max_results is None else max_results)
+    if max_tokens is not None:
+        n = min(n, files(max_tokens // max(1, tokens_a_result)))
+    return max(FILES_LEAST, n)
+
+
 def rerank(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Order by the dot product with a query's vector: the hook for a stronger scorer."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -19,28 +19,17 @@ def plain(word: str) -> list[str]:
     return [w for w in regex.split(analyzer.SPLIT, word.lower()) if w]
 
 
-def prefilter(content: Column, terms: list[str]) -> Column:
-    """Cheap test that a text may have one of the terms."""
-    low, out = F.lower(content), F.lit(False)
-    for t in terms:
-        out = out | low.contains(t)
-    return out
-
-
 def search_documents(files: DataFrame, query: str, n: int = 10, exact: bool = False, **how) -> DataFrame:
     """The best n files for a query, whole files as blocks: (path, score, rank)."""
     e = parse(query, plain, exact)
-    terms = keywords(e)
-    some = files if all(t.excluded for t in leaves(e)) else files.where(prefilter(F.col("content"), terms))
-    found = rank.bm25(some.withColumn("tokens", analyzer.words(F.col("content"))), e, text="content", **how)
+    found = rank.bm25(files, e, None, text="content", **how)
     return rank.top(found.select("path", "score"), n, "path")
 
 
 def file_filter(files: DataFrame, query: str, files_level: bool = True) -> DataFrame:
     """Files that match, by the words of the whole file."""
     e = parse(query, plain)
-    t = analyzer.terms(F.col("content"))
-    has = lambda k, exact: F.lower(F.col("content")).contains(k) if exact else F.array_contains(t, k)
+    has = lambda k, exact: F.lower(F.col("content")).contains(k) if exact else analyzer.has_word(F.col("content"), k)
     return files.where(compile_match(e, has, files_level))
 
 
@@ -56,13 +45,15 @@ def search(files: DataFrame, query: str, n: int = 10, max_bytes: int | None = No
     """Ranked blocks of source files: declarations that match, and the context of hits outside of any."""
     e = parse(query, analyzer.tokenize)
     terms = keywords(e)
-    found = B.blocks(files if tests else files.where(~corpus.is_test(F.col("path"))))
+    files = files if tests else files.where(~corpus.is_test(F.col("path")))
+    files = files.where(rank.some_of([F.lower(F.col("content")).contains(t) for t in terms]))  # other files have no hits
+    found = B.blocks(files)
     found = found if tests else found.where("not is_test")
     hits = line_hits(files, terms).select("path", "line_no").distinct()
     if seen is not None:
         hits = spans.unseen_lines(hits, seen)
     inside = B.enclosing(hits, found).select("path", "start", "end", "node_type").distinct()
-    b = found.select(F.col("path").alias("p"), F.col("start").alias("s"), F.col("end").alias("e"))
+    b = found.select(F.col("path").alias("p"), F.col("first").alias("s"), F.col("end").alias("e"))
     outside = hits.join(b, (F.col("path") == F.col("p")) & F.col("line_no").between(F.col("s"), F.col("e")), "left_anti")
     lengths = files.select("path", F.size(F.split("content", "\n")).alias("n_lines"))
     context = spans.context_windows(outside, lengths).select("path", "start", "end", F.lit("context").alias("node_type"))
@@ -70,7 +61,7 @@ def search(files: DataFrame, query: str, n: int = 10, max_bytes: int | None = No
     every = inside.unionByName(context)
     text = every.join(spans.block_text(every, lines), ["path", "start", "end"])
     ranked = rank.bm25(text.withColumn("tokens", analyzer.full_terms(F.concat_ws("\n", "path", "code"))), e, text="code", set_tf=True)
-    ranked = ranked.withColumn("score", F.col("score") * rank.boost(F.col("node_type"))).drop("tokens") \
+    ranked = ranked.withColumn("score", F.col("score") * rank.boost(F.col("node_type"), F.col("start"), F.col("end"))).drop("tokens") \
         .withColumns({"bytes": F.octet_length("code"), "tokens": F.greatest(F.lit(1), F.floor(F.octet_length("code") / 4))})
     kept = spans.limited(ranked.withColumn("minus", -F.col("score")), ["minus", "path", "start"], n, max_bytes, max_tokens)
     if merge_gap is None:

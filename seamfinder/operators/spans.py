@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTEXT = 5
-#: Results where no number of them is asked for.
-MOST_RESULTS = 1000
+#: Parts that running totals are divided into.
+PARTS = 200
 
 
 def islands(ranges: DataFrame, key: str = "path", gap: int | str = 0) -> DataFrame:
@@ -39,17 +39,38 @@ def contained(ranges: DataFrame, key: str = "path") -> DataFrame:
 def limited(ranked: DataFrame, order: list[str], max_results: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, skipped: bool = False) -> DataFrame:
     """Rows up to the first that would pass a limit, with running totals; or, as they are, all that sort after those.
 
-    ranked has bytes and tokens; order tells its rows apart. Without max_results the limit is MOST_RESULTS rows.
+    ranked has bytes and tokens, null counting as none; order, whose first
+    column is a number, tells its rows apart, ties are in any order. With a limit
+    on results a top-k comes first. Without one, running totals are over the
+    whole table: it is cut at quantiles of the first column, and each part adds
+    its own totals to those of the parts before, so that no task sees all rows.
     """
-    rows = ranked.orderBy(*order).limit(MOST_RESULTS if max_results is None else max_results)
-    w = Window.orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = F.lit(False)
-    rows = rows.withColumns({"rank": F.row_number().over(w), "run_bytes": F.sum("bytes").over(run), "run_tokens": F.sum("tokens").over(run)})
-    for col, most in (("rank", max_results), ("run_bytes", max_bytes), ("run_tokens", max_tokens)):
-        if most is not None:
-            over = over | (F.col(col) > most)
-    kept = rows.withColumn("over", F.max(over.cast("int")).over(run)).where("over = 0").drop("over")
+    def over(rows: DataFrame) -> Column:
+        out = F.lit(False)
+        for col, most in (("rank", max_results), ("run_bytes", max_bytes), ("run_tokens", max_tokens)):
+            if most is not None:
+                out = out | (F.col(col) > most)
+        return out
+
+    size = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("bytes", "tokens")}
+    if max_results is not None:
+        w = Window.orderBy(*order)
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = ranked.orderBy(*order).limit(max_results).withColumns({"rank": F.row_number().over(w), "run_bytes": F.sum(size["bytes"]).over(run), "run_tokens": F.sum(size["tokens"]).over(run)})
+        kept = rows.withColumn("over", F.max(over(rows).cast("int")).over(run)).where("over = 0").drop("over")
+    else:
+        first = F.col(order[0]).cast("double")
+        bounds = ranked.agg(F.coalesce(F.percentile_approx(first, [i / PARTS for i in range(1, PARTS)], 10_000), F.array().cast("array<double>")).alias("bounds"))  # one row
+        placed = ranked.crossJoin(F.broadcast(bounds)).withColumn("part", F.size(F.filter("bounds", lambda b: b < first))).drop("bounds")
+        per = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum(size["bytes"]).alias("b"), F.sum(size["tokens"]).alias("t"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+        ahead = per.select(F.col("part").alias("of"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "nbt"])
+        ahead = ahead.where(F.lit(True) if max_bytes is None else F.col("b_before") <= max_bytes).where(F.lit(True) if max_tokens is None else F.col("t_before") <= max_tokens)
+        own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = placed.join(F.broadcast(ahead), F.col("part") == F.col("of")).withColumns({
+            "rank": (F.col("n_before") + F.count("*").over(own)).cast("int"), "run_bytes": F.col("b_before") + F.sum(size["bytes"]).over(own), "run_tokens": F.col("t_before") + F.sum(size["tokens"]).over(own)})
+        # totals never fall, so what passes a limit is a tail of the order
+        kept = rows.where(~over(rows)).drop("part", "of", "n_before", "b_before", "t_before")
     if not skipped:
         return kept
     last = kept.agg(F.max(F.struct(*order)).alias("last"))  # null where no row is kept
@@ -77,7 +98,7 @@ def diff_lines(diff: DataFrame, order: str = "pos", text: str = "line", key: str
     """Added lines of unified diffs: (key, path, line_no), from running state over the lines of each diff."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hunk = F.when(F.col(text).rlike(r"^@@ -\d+(,\d+)? \+\d+"), F.regexp_extract(text, r"\+(\d+)", 1).cast("int"))
-    rows = diff.withColumn("path", F.last(F.when(F.col(text).startswith("+++ b/"), F.substring(text, 7, 4096)), ignorenulls=True).over(w)) \
+    rows = diff.withColumn("path", F.last(F.when(F.col(text).startswith("+++ b/"), F.expr(f"substring({text}, 7)")), ignorenulls=True).over(w)) \
         .withColumn("from", F.last(hunk, ignorenulls=True).over(w)).withColumn("hunk", F.count(hunk).over(w))
     own = Window.partitionBy(key, "path", "hunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = F.when(hunk.isNull() & ~F.col(text).startswith("-") & ~F.col(text).startswith("+++") & ~F.col(text).startswith("\\"), 1).otherwise(0)
