@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import os
 import re
-from fnmatch import fnmatch
+from fnmatch import fnmatchcase
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Larger files and longer lines aren't searched (bytes).
 FILE_BYTES, LINE_BYTES, SHOWN_BYTES = 1 << 20, 2000, 500
-#: Globs of what isn't source text.
-IGNORED = ("node_modules", "target", "dist", "build", ".git", ".idea", "vendor", "__pycache__", "*.json", "*.yml", "*.yaml", "*.lock", "*.min.js", "*.png", "*.jpg", "*.conf", "go.sum")
+# Names that are never searched, and those that are not when tests are left out.
+IGNORED = (
+    "node_modules", "vendor", "target", "dist", "build", ".git", ".svn", ".hg", ".idea", ".vscode", "__pycache__", "*.pyc", "*.pyo", "*.class", "*.o", "*.obj", "*.a", "*.lib", "*.so", "*.dylib", "*.dll", "*.exe", "*.out", "*.app",
+    "*.jar", "*.war", "*.ear", "*.zip", "*.tar.gz", "*.rar", "*.log", "*.tmp", "*.temp", "*.swp", "*.swo", "*.bak", "*.orig", "*.DS_Store", "Thumbs.db", "*.yml", "*.yaml", "*.json", "*.tconf", "*.conf", "go.sum",
+)
+TEST_FILES = (
+    "*_test.rs", "*_tests.rs", "test_*.rs", "tests.rs", "*.spec.js", "*.test.js", "*.spec.ts", "*.test.ts", "*.spec.jsx", "*.test.jsx", "*.spec.tsx", "*.test.tsx", "test_*.py", "*_test.go", "test_*.c", "*_test.c", "*_test.cpp",
+    "*_test.cc", "*_test.cxx", "*Test.java", "*_test.rb", "test_*.rb", "*_spec.rb", "*Test.php", "test_*.php",
+)
+TEST_FOLDERS = ("tests", "test", "__tests__", "__test__", "spec", "specs")
 #: Extensions of each language, and other names of it.
 LANGUAGES = {"rust": ("rs",), "javascript": ("js", "jsx"), "typescript": ("ts", "tsx"), "python": ("py",), "go": ("go",), "c": ("c", "h"), "cpp": ("cc", "cpp", "cxx", "hpp", "hxx"), "java": ("java",), "ruby": ("rb",), "php": ("php",), "swift": ("swift",), "csharp": ("cs",)}
 TEST_PATH = r"(?i)(^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*$|_(test|spec)\.[^./]+$|\.(test|spec)\.[^./]+$"
@@ -28,33 +37,82 @@ def is_test(path: Column) -> Column:
     return path.rlike(TEST_PATH)
 
 
-def ignored(path: Column, globs=IGNORED) -> Column:
-    """A part of the path matches one of the globs."""
-    parts = ["[^/]*".join(re.escape(p) for p in g.split("*")) for g in globs]
-    return path.rlike("(^|/)(" + "|".join(parts) + ")(/|$)")
+def _globs(globs) -> str:
+    return "|".join("[^/]*".join(re.escape(p) for p in g.split("*")) for g in globs)
 
 
-def files(spark: SparkSession, root: str, globs=IGNORED, tests: bool = True, language: str | None = None) -> DataFrame:
-    """(path, ext, size, content) below a folder, which the driver lists so that folders with a leading underscore count too."""
-    found = []
+def ignored(path: Column, globs=IGNORED, more=(), tests: bool = True) -> Column:
+    """A part of the path matches a glob; more are globs beside the usual ones. tests=False: names and folders of tests are ignored too."""
+    out = path.rlike(f"(^|/)({_globs((*globs, *more))})(/|$)")
+    return out if tests else out | path.rlike(f"(^|/)({_globs(TEST_FILES)})(/|$)|(^|/)({_globs(TEST_FOLDERS)})/")
+
+
+class GitIgnore:
+    """The rules of .gitignore files, as they hold below the folders that have them; the last rule that matches decides."""
+
+    def __init__(self):
+        self.rules: list[tuple[str, re.Pattern, bool, bool]] = []
+
+    def read(self, folder: str, text: str) -> None:
+        for raw in text.splitlines():
+            line = re.sub(r"(?<!\\)\s+$", "", raw)
+            if not line or line.startswith("#"):
+                continue
+            keep, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+            only_dirs, line = line.endswith("/"), line.rstrip("/")
+            fixed = "/" in line
+            self.rules.append((folder, re.compile(("" if fixed else "(?:.*/)?") + self._pattern(line.lstrip("/"))), keep, only_dirs))
+
+    @staticmethod
+    def _pattern(glob: str) -> str:
+        out = ""
+        for m in re.finditer(r"\*\*/|/\*\*$|\*|\?|\[[^\]]+\]|\\?.", glob):
+            t = m[0]
+            out += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(t) or ("[" + t[1:-1].replace("!", "^", 1) + "]" if t[0] == "[" and len(t) > 2 else re.escape(t.removeprefix("\\") or "\\"))
+        return out
+
+    def __call__(self, path: str, is_dir: bool) -> bool:
+        for folder, pattern, keep, only_dirs in reversed(self.rules):
+            own = path[len(folder) :].lstrip("/") if path.startswith(folder) else None
+            if own and (is_dir or not only_dirs) and pattern.fullmatch(own):
+                return not keep
+        return False
+
+
+def files(spark: SparkSession, root: str, globs=IGNORED, tests: bool = True, language: str | None = None, more=(), gitignore: bool = True) -> DataFrame:
+    """(path, ext, size, content) below a folder.
+
+    The driver lists it, so that folders with a leading underscore count too;
+    Spark reads what is listed. Rules of .gitignore files hold unless switched
+    off, more are globs beside the usual ones, and files over FILE_BYTES and
+    those that aren't regular are left out. An empty folder gives an empty table.
+    """
+    found, rules, globs = [], GitIgnore(), (*globs, *more, *(() if tests else (*TEST_FILES, *TEST_FOLDERS)))
+    root = os.path.abspath(root)
     for top, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not any(fnmatch(d, g) for g in globs))
-        found += [os.path.join(top, n) for n in sorted(names) if not any(fnmatch(n, g) for g in globs) and os.path.getsize(os.path.join(top, n)) <= FILE_BYTES]
-    if language:
-        found = [f for f in found if f.rsplit(".", 1)[-1] in extensions(language)]
+        if gitignore and ".gitignore" in names:
+            with open(os.path.join(top, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                rules.read(top, f.read())
+        ok = lambda n, is_dir: not any(fnmatchcase(n, g) for g in globs) and not rules(os.path.join(top, n), is_dir)  # noqa: B023, E731
+        dirs[:] = sorted(d for d in dirs if ok(d, True))
+        for n in sorted(names):
+            full = os.path.join(top, n)
+            if ok(n, False) and os.path.isfile(full) and os.path.getsize(full) <= FILE_BYTES and (not language or n.rsplit(".", 1)[-1] in extensions(language)):
+                found.append(full)
     if not found:
         return spark.createDataFrame([], "path string, ext string, size long, content string")
-    raw = spark.read.text([f"file://{f}" for f in found], wholetext=True)
-    path = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"), "^" + os.path.abspath(root).rstrip("/") + "/", "")
-    out = raw.select(F.url_decode(path).alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
-    out = out.select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"), "size", "content")
-    return out if tests else out.where(~is_test(F.col("path")))
+    raw = spark.read.text([f"file://{quote(f)}" for f in found], wholetext=True)
+    path = F.substring(F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), r"\+", "%2B")), len(root.rstrip("/")) + 2, 1 << 20)
+    out = raw.select(path.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
+    return out.select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"), "size", "content")
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
-    """(path, ext, size, content) of the table of documents."""
-    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return docs.select(path.alias("path"), F.lit("txt").alias("ext"), F.octet_length("text").alias("size"), F.col("text").alias("content"), "doc_id").where(F.col("size") <= FILE_BYTES)
+    """(path, ext, size, content) of the table of documents; null texts are empty files, and a null source or language is a folder named ``-``."""
+    part = lambda c: F.coalesce(F.col(c), F.lit("-"))
+    path = F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/doc_"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(path.alias("path"), F.lit("txt").alias("ext"), F.octet_length(text).alias("size"), text.alias("content"), "doc_id").where(F.col("size") <= FILE_BYTES)
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:
