@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
@@ -15,9 +15,9 @@ ORACLE_SQL: dict = {}
 
 # SQL that queries share
 WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
-FILES = f"files as (select doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' as path, text as content, {WORDS.format('text')} as ws from documents where strlen(text) <= 1048576)"
+FILES = f"files as (select doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/doc_' || coalesce(doc_id::varchar, '-') || '.txt' as path, coalesce(text, '') as content, {WORDS.format("coalesce(text, '')")} as ws from documents where strlen(coalesce(text, '')) <= 1048576)"
 LINES = "raw_lines as (select doc_id, path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from files)"
-TERMS = ("the", "mail1", "password")
+TERMS = ("the", "scum", "thre")
 
 
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def _round(c) -> F.Column:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_documents(files_of(spark, sf_dir), '+the (password OR token) -scum', 10)
+    return search.search_documents(files_of(spark, sf_dir), '+the (thre OR token) -scum', 10)
 
 
 # scans and projections
@@ -55,21 +55,37 @@ def filter_lang_source(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").where(F.col("lang").isin("en", "de") & F.col("source").isin("src1", "src2")).select("doc_id", "source")
 
 
-_PATHS = "case doc_id % 6 when 0 then 'src/main_' || doc_id || '.rs' when 1 then 'node_modules/a/x' || doc_id || '.js' when 2 then 'tests/test_' || doc_id || '.py' when 3 then 'conf/x' || doc_id || '.json' when 4 then 'lib/go.sum' else '_gen/x_test.go' end"
+# Names that globs are tried on.
+NAMES = (
+    "src/main.rs node_modules/a/x.js vendor/x.go target/y.rs dist/a.js build/a.c .git/HEAD .svn/x .hg/x .idea/a.xml .vscode/s.txt __pycache__/m.py m.pyc m.pyo A.class a.o a.obj a.a a.lib a.so a.dylib a.dll a.exe a.out x.app/y a.jar a.war a.ear a.zip "
+    "a.tar.gz a.rar a.log a.tmp a.temp a.swp a.swo a.bak a.orig .DS_Store Thumbs.db ci.yml ci.yaml package.json a.tconf nginx.conf lib/go.sum targets/a.rs distant.js builder/a.py a.jsonl go.summary a_test.rs a_tests.rs test_a.rs tests.rs a.spec.js a.test.js "
+    "a.spec.ts a.test.ts a.spec.jsx a.test.jsx a.spec.tsx a.test.tsx test_a.py a_test.go test_a.c a_test.c a_test.cpp a_test.cc a_test.cxx FooTest.java a_test.rb test_a.rb a_spec.rb FooTest.php test_a.php tests/a.rs x/test/a.rs __tests__/a.js __test__/a.js spec/a.rb specs/a.rb "
+    "attest.rs latest/a.rs contest.go a_test.py respec/a.js _underscore/a.rs"
+).split()
+_PATHS = "'p' || doc_id || '/' || element_at(split('{0}', ' '), cast(doc_id % {1} as int) + 1)".format(" ".join(NAMES), len(NAMES))
+_SQL_PATHS = "'p' || doc_id || '/' || (string_split('{0}', ' '))[doc_id % {1} + 1]".format(" ".join(NAMES), len(NAMES))
+_any_glob = lambda globs: " or ".join(f"c glob '{g}'" for g in globs)
 
 
-@query(f"select doc_id, {_PATHS} as path, regexp_matches({_PATHS}, '(?i)(^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*$|_(test|spec)\\.[^./]+$|\\.(test|spec)\\.[^./]+$') as is_test from documents where doc_id % 6 not in (1, 3, 4)")
+@query(f"select doc_id, path from (select doc_id, {_SQL_PATHS} as path from documents) where len(list_filter(string_split(path, '/'), lambda c: {_any_glob(corpus.IGNORED)})) = 0")
 def path_ignore_globs(spark, d):
     df = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_PATHS).alias("path"))
-    return df.where(~corpus.ignored(F.col("path"))).withColumn("is_test", corpus.is_test(F.col("path")))
+    return df.where(~corpus.ignored(F.col("path")))
 
 
-@query(f"with {FILES}, {LINES} select path, line_no::int as line_no, term from raw_lines, (select unnest(['the', 'mail1', 'password']) as term) where strlen(line) <= 2000 and contains(lower(line), term)")
+@query(f"""select doc_id, path, regexp_matches(path, '(?i)(^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*$|_(test|spec)\\.[^./]+$|\\.(test|spec)\\.[^./]+$') as is_test from (select doc_id, {_SQL_PATHS} as path from documents)
+where len(list_filter(string_split(path, '/'), lambda c: {_any_glob(corpus.IGNORED + corpus.TEST_FILES + ('p7',))})) = 0 and len(list_filter(string_split(path, '/')[:-2], lambda c: c in ('tests', 'test', '__tests__', '__test__', 'spec', 'specs'))) = 0""")
+def path_test_globs(spark, d):
+    df = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_PATHS).alias("path"))
+    return df.where(~corpus.ignored(F.col("path"), more=("p7",), tests=False)).withColumn("is_test", corpus.is_test(F.col("path")))
+
+
+@query(f"with {FILES}, {LINES} select path, line_no::int as line_no, term from raw_lines, (select unnest(['the', 'scum', 'thre']) as term) where strlen(line) <= 2000 and contains(lower(line), term)")
 def line_match_terms(spark, d):
     return search.line_hits(files_of(spark, d), list(TERMS))
 
 
-@query(f"with {FILES}, {LINES} select path, term, count(*) as n_lines, min(line_no)::int as first_line, max(line_no)::int as last_line from raw_lines, (select unnest(['the', 'mail1', 'password']) as term) where strlen(line) <= 2000 and contains(lower(line), term) group by 1, 2")
+@query(f"with {FILES}, {LINES} select path, term, count(*) as n_lines, min(line_no)::int as first_line, max(line_no)::int as last_line from raw_lines, (select unnest(['the', 'scum', 'thre']) as term) where strlen(line) <= 2000 and contains(lower(line), term) group by 1, 2")
 def lines_by_term(spark, d):
     return search.line_hits(files_of(spark, d), list(TERMS)).groupBy("path", "term").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
@@ -86,15 +102,15 @@ def _match(name: str, text: str, where: str, files_level: bool = False):
 
 
 _h = lambda w: f"list_contains(ws, '{w}')"
-_match("match_and", "the AND password", f"{_h('the')} and {_h('password')}")
-_match("match_or", "password der", f"{_h('password')} or {_h('der')}")
-_match("match_required_optional", "+the password token", _h("the"))
+_match("match_and", "the AND thre", f"{_h('the')} and {_h('thre')}")
+_match("match_or", "thre der", f"{_h('thre')} or {_h('der')}")
+_match("match_required_optional", "+the thre token", _h("the"))
 _match("match_excluded", "the -scum", f"{_h('the')} and not {_h('scum')}")
 _match("match_only_excluded", "-the", f"not {_h('the')}")
-_match("match_nested", "(password OR token) AND (the OR der) -scum", f"({_h('password')} or {_h('token')}) and ({_h('the')} or {_h('der')}) and not {_h('scum')}")
-_match("match_left_to_right", "password der AND the", f"({_h('password')} or {_h('der')}) and {_h('the')}")
+_match("match_nested", "(thre OR tion) AND (the OR der) -scum", f"({_h('thre')} or {_h('tion')}) and ({_h('the')} or {_h('der')}) and not {_h('scum')}")
+_match("match_left_to_right", "thre der AND the", f"({_h('thre')} or {_h('der')}) and {_h('the')}")
 _match("match_exact_phrase", '"of the"', "contains(lower(content), 'of the')")
-_match("match_parts", "the_password", f"{_h('the')} and {_h('password')}")
+_match("match_parts", "the_thre", f"{_h('the')} and {_h('thre')}")
 _match("match_file_level", "the -scum", f"{_h('the')}", True)
 _match("match_empty", "qqqq AND zzzz", "false")
 
@@ -106,15 +122,15 @@ def match_conversations(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").where(compile_match(e, lambda k, _: F.array_contains(t, k))).select("conv_id", "turn")
 
 
-@query(f"with {FILES} select path, 'file' as node_type, 1 as start, 1 as \"end\" from files where {_h('password')}")
+@query(f"with {FILES} select path, 'file' as node_type, 1 as start, 1 as \"end\" from files where {_h('thre')}")
 def files_only(spark, d):
-    return search.file_filter(files_of(spark, d), "password").select("path", F.lit("file").alias("node_type"), F.lit(1).alias("start"), F.lit(1).alias("end")).distinct()
+    return search.file_filter(files_of(spark, d), "thre").select("path", F.lit("file").alias("node_type"), F.lit(1).alias("start"), F.lit(1).alias("end")).distinct()
 
 
 @query(f"with {FILES} select path from files where not {_h('en')} and len(list_filter({WORDS.format('path')}, lambda w: contains(w, 'en') or contains('en', w))) > 0")
 def match_filename(spark, d):
     f = files_of(spark, d)
-    by_content = f.where(F.array_contains(analyzer.terms(F.col("content")), "en")).select("path")
+    by_content = f.where(analyzer.has_word(F.col("content"), "en")).select("path")
     named = f.where(F.exists(analyzer.terms(F.col("path")), lambda w: w.contains("en") | F.lit("en").contains(w)))
     return named.join(by_content, "path", "left_anti").select("path")
 
@@ -124,24 +140,14 @@ def match_filename(spark, d):
 BAG = f"{FILES}, w as (select path, unnest(ws) as term from files)"
 
 
-@query(f"with {BAG} select term, count(distinct path) as df from w group by term having count(distinct path) > 3")
+@query(f"with {BAG} select term, count(distinct path) as df from w group by term")
 def doc_frequency(spark, d):
-    return doc_frequency_all(spark, d).where("df > 3")
-
-
-@query()
-def doc_frequency_all(spark, d):
     w = files_of(spark, d).select("path", F.explode(analyzer.terms(F.col("content"))).alias("term"))
     return w.groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query(f"with {BAG} select path, term, count(*) as tf from w group by 1, 2 having count(*) >= 5")
+@query(f"with {BAG} select path, term, count(*) as tf from w group by 1, 2")
 def term_frequency(spark, d):
-    return term_frequency_all(spark, d).where("tf >= 5")
-
-
-@query()
-def term_frequency_all(spark, d):
     w = files_of(spark, d).select("path", F.explode(analyzer.words(F.col("content"))).alias("term"))
     return w.groupBy("path", "term").agg(F.count("*").alias("tf"))
 
@@ -151,29 +157,42 @@ def avg_doc_length(spark, d):
     return files_of(spark, d).agg(_round(F.avg(F.size(analyzer.words(F.col("content"))))).alias("avgdl"), F.count("*").alias("n"))
 
 
-@query(f"with {BAG}, n as (select count(*) as n from files) select term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from (select term, count(distinct path) as df from w group by term), n where df > 3")
+@query(f"with {BAG}, n as (select count(*) as n from files) select term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from (select term, count(distinct path) as df from w group by term), n")
 def idf(spark, d):
-    return _idf(spark, d, doc_frequency(spark, d))
+    df = doc_frequency(spark, d)
+    n = files_of(spark, d).agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", _round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
 
 
-@query()
-def idf_all(spark, d):
-    return _idf(spark, d, doc_frequency_all(spark, d))
+EARLY = f"""with {FILES}, {LINES}, l as (select path, line_no, term from raw_lines, (select unnest(['the', 'scum', 'thre']) as term) where strlen(line) <= 2000 and contains(lower(line), term)),
+hits as (select path, term, count(*) as tf, max(max(line_no)) over (partition by path) + 100 as dl from l group by 1, 2), d as (select term, count(*) as df from hits group by 1), a as (select count(*) as n, avg(dl) as avgdl from (select distinct path, dl from hits)),
+parts as (select path, ln((n + 1) / (df + 1)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) as part from hits join d using (term), a
+union all select path, 2.0 * ln((n + 1) / (coalesce(df, 1) + 1)) from files, (select unnest(['the', 'scum', 'thre']) as term) left join d using (term), a where contains(lower(path), term)),
+s as (select path, round(sum(part) * (1 + 0.5 * count(*) / 3), 6) as score from parts group by path)"""
 
 
-def _idf(spark, d, df):
-    n = files_of(spark, d).agg(F.count("*").alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("term", _round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+def _early(spark, d):
+    f = files_of(spark, d)
+    l = search.line_hits(f, list(TERMS)).groupBy("path", "term").agg(F.count("*").alias("tf"), F.max("line_no").alias("last"))
+    hits = l.withColumn("dl", F.max("last").over(Window.partitionBy("path")) + rank.MORE_LINES).drop("last")
+    named = f.select("path", F.explode(F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.lower("path").contains(t))).alias("term"))
+    return rank.early_scores(hits, 3, named).select("path", _round("score").alias("score"))
 
 
-@query(f"""with {FILES}, h as (select path, term, len(list_filter(ws, lambda x: x = term)) as tf, len(ws) as dl from files, (select unnest(['the', 'mail1', 'password']) as term)),
-hits as (select * from h where tf > 0), d as (select term, count(distinct path) as df from hits group by 1), a as (select count(*) as n, avg(dl) as avgdl from (select distinct path, dl from hits))
-select path, round(sum(ln((n + 1) / (df + 1)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) * (1 + 0.5 * count(*) / 3), 6) as score from hits join d using (term), a group by path""")
+@query(EARLY + " select path, score from s")
 def early_score(spark, d):
-    f = files_of(spark, d).withColumn("ws", analyzer.words(F.col("content"))).withColumn("dl", F.size("ws"))
-    t = f.select("path", "dl", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), rank.occurrences(F.col("ws"), t).alias("tf")) for t in TERMS])).alias("h"))
-    hits = t.select("path", "h.term", "h.tf", "dl").where("tf > 0")
-    return rank.early_scores(hits, 3).select("path", _round("score").alias("score"))
+    return _early(spark, d)
+
+
+@query(EARLY + " select path, score, row_number() over (order by score desc, path)::int as rank from s order by score desc, path limit 24")
+def early_files(spark, d):
+    """The files that a search for 40 results looks at."""
+    return rank.top(_early(spark, d), rank.files_needed(40), "path")
+
+
+@query(f"with {FILES} select path, list_sort(list_filter(['the', 'scum', 'thre'], lambda t: list_contains(ws, t))) as matched_keywords, len(list_filter(['the', 'scum', 'thre'], lambda t: list_contains(ws, t)))::int as block_unique_terms, len(list_filter(['the', 'scum', 'thre'], lambda t: list_contains(ws, t)))::int as block_total_matches from files")
+def match_stats(spark, d):
+    return files_of(spark, d).select("path", *rank.match_stats(analyzer.words(F.col("content")), list(TERMS)))
 
 
 def _bm25_sql(where: str, cols: list[str], score: str, bag: str = "ws", any_of: str | None = None, more: str = "") -> str:
@@ -186,23 +205,23 @@ def _bm25_sql(where: str, cols: list[str], score: str, bag: str = "ws", any_of:
 
 def _bm25(name: str, text: str, sql: str, set_tf: bool = False):
     def run(spark, d):
-        f = files_of(spark, d).withColumn("tokens", analyzer.words(F.col("content")))
-        return rank.bm25(f, parse(text, search.plain), text="content", set_tf=set_tf).select("path", _round("score").alias("score"))
+        f = files_of(spark, d)
+        f = f.withColumn("tokens", analyzer.words(F.col("content"))) if set_tf else f
+        return rank.bm25(f, parse(text, search.plain), "tokens" if set_tf else None, text="content", set_tf=set_tf).select("path", _round("score").alias("score"))
 
     run.__name__ = name
     query(sql)(run)
 
 
-_bm25("bm25_should", "password der", _bm25_sql("true", ["der", "password"], "s0 + s1"))
-_bm25("bm25_must", "+password the", _bm25_sql("tf0 > 0", ["password", "the"], "s0 + s1"))
+_bm25("bm25_should", "thre der", _bm25_sql("true", ["der", "thre"], "s0 + s1"))
+_bm25("bm25_must", "+thre the", _bm25_sql("tf1 > 0", ["the", "thre"], "s0 + s1"))
 _bm25("bm25_must_not", "the -scum", _bm25_sql("tf1 > 0 and tf0 = 0", ["scum", "the"], "s1"))
-_bm25("bm25_set_tf", "password der", _bm25_sql("true", ["der", "password"], "s0 + s1", "list_distinct(ws)"), True)
+_bm25("bm25_set_tf", "thre der", _bm25_sql("true", ["der", "thre"], "s0 + s1", "list_distinct(ws)"), True)
 
 
-@query("with s as (" + _bm25_sql("true", ["der", "password"], "s0 + s1") + ") select path, score, row_number() over (order by score desc, path)::int as rank from s order by score desc, path limit 25")
+@query("with s as (" + _bm25_sql("true", ["der", "thre"], "s0 + s1") + ") select path, score, row_number() over (order by score desc, path)::int as rank from s order by score desc, path limit 25")
 def ranked_top(spark, d):
-    f = files_of(spark, d).withColumn("tokens", analyzer.words(F.col("content")))
-    s = rank.bm25(f, parse("password der", search.plain), text="content").select("path", _round("score").alias("score"))
+    s = rank.bm25(files_of(spark, d), parse("thre der", search.plain), None, text="content").select("path", _round("score").alias("score"))
     return rank.top(s, 25, "path")
 
 
@@ -215,7 +234,7 @@ def node_type_fallback(spark, d):
     return corpus.lines(files_of(spark, d)).select("path", "line_no", corpus.node_type(F.col("line")).alias("node_type")).where("node_type <> 'code'")
 
 
-@query(f"with {FILES}, {LINES}, k as (select path, line_no, {_LINE_KIND} as node_type from (select *, lower(trim(line, ' ')) as t from raw_lines)) select node_type, count(*) as n, round(sum((case node_type when 'function' then 2.0 when 'class' then 1.8 when 'variable_declaration' then 1.3 when 'control_flow' then 1.1 when 'import' then 0.7 when 'comment' then 0.5 else 1.0 end)::double), 6) as boosted from k group by 1")
+@query(f"with {FILES}, {LINES}, k as (select path, line_no, {_LINE_KIND} as node_type from (select *, lower(trim(line, ' ')) as t from raw_lines)) select node_type, count(*) as n, round(sum((case when node_type = 'variable_declaration' then 1.3 when node_type = 'comment' then 0.5 else 1.0 end)::double), 6) as boosted from k group by 1")
 def boosted_rank(spark, d):
     k = corpus.lines(files_of(spark, d)).select(corpus.node_type(F.col("line")).alias("node_type"))
     return k.groupBy("node_type").agg(F.count("*").alias("n"), _round(F.sum(rank.boost(F.col("node_type")))).alias("boosted"))
@@ -223,13 +242,13 @@ def boosted_rank(spark, d):
 
 # line ranges
 
-HITS = f"{FILES}, {LINES}, hits as (select distinct path, line_no from raw_lines where strlen(line) <= 2000 and contains(lower(line), 'mail1')), len as (select path, len(string_split(content, chr(10))) as n_lines from files)"
+HITS = f"{FILES}, {LINES}, hits as (select distinct path, line_no from raw_lines where strlen(line) <= 2000 and contains(lower(line), 'scum')), len as (select path, len(string_split(content, chr(10))) as n_lines from files)"
 ISLANDS = "m as (select path, start, \"end\", sum(new) over (partition by path order by start, \"end\") as island from (select *, case when before is null or start > before + 1 + apart then 1 else 0 end as new from (select *, max(\"end\") over (partition by path order by start, \"end\" rows between unbounded preceding and 1 preceding) as before from r)))"
 
 
 def _hit_lines(spark, d):
     f = files_of(spark, d)
-    return f, search.line_hits(f, ["mail1"]).select("path", "line_no")
+    return f, search.line_hits(f, ["scum"]).select("path", "line_no")
 
 
 @query(f"with {HITS}, r as (select path, greatest(1, line_no - 5) as start, least(n_lines, line_no + 5) as \"end\", case when count(*) over (partition by path) > 10 then 8 when count(*) over (partition by path) > 5 then 6 else 1 end as apart from hits join len using (path)), {ISLANDS} select path, min(start)::int as start, max(\"end\")::int as \"end\", count(*) as parts from m group by path, island")
@@ -270,7 +289,7 @@ def containment_dedup(spark, d):
     return spans.contained(_ranges(spark, d).select("path", "start", "end"))
 
 
-_LIMIT = f"with {FILES}, b as (select path, strlen(content) as bytes, greatest(1, strlen(content) // 4) as tokens from files order by bytes, path limit 1000), t as (select *, row_number() over w as rank, sum(bytes) over w as run_bytes, sum(tokens) over w as run_tokens from b window w as (order by bytes, path rows between unbounded preceding and current row)) "
+_LIMIT = f"with {FILES}, b as (select path, strlen(content) as bytes, greatest(1, strlen(content) // 4) as tokens from files), t as (select *, row_number() over w as rank, sum(bytes) over w as run_bytes, sum(tokens) over w as run_tokens from b window w as (order by bytes, path rows between unbounded preceding and current row)) "
 
 
 def _sized(spark, d):
@@ -343,18 +362,8 @@ def _results(spark, d):
     return files_of(spark, d).select("doc_id", "path", F.lit(1).alias("start"), F.size(F.split("content", "\n")).alias("end"), F.col("content").alias("code"))
 
 
-def _tenth(spark, d):
-    """The part of the results that the SQL of three sinks asks for."""
-    return _results(spark, d).where("doc_id % 10 = 3")
-
-
-@query(f"with {FILES} select count(*) as count, sum(strlen(content))::bigint as total_bytes, sum(greatest(1, strlen(content) // 4))::bigint as total_tokens from files where doc_id % 10 = 3")
+@query(f"with {FILES} select count(*) as count, sum(strlen(content))::bigint as total_bytes, sum(greatest(1, strlen(content) // 4))::bigint as total_tokens from files")
 def output_summary(spark, d):
-    return sinks.summary(_tenth(spark, d))
-
-
-@query()
-def output_summary_all(spark, d):
     return sinks.summary(_results(spark, d))
 
 
@@ -363,23 +372,13 @@ def json_rows(spark, d):
     return sinks.json_rows(_results(spark, d).drop("doc_id"))
 
 
-@query(f"with {FILES} select '<result><file>' || path || '</file><lines>1-' || len(string_split(content, chr(10))) || '</lines><code><![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></code></result>' as xml from files where doc_id % 10 = 3")
+@query(f"with {FILES} select '<result><file>' || path || '</file><lines>1-' || len(string_split(content, chr(10))) || '</lines><code><![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></code></result>' as xml from files")
 def xml_rows(spark, d):
-    return sinks.xml_rows(_tenth(spark, d))
-
-
-@query()
-def xml_rows_all(spark, d):
     return sinks.xml_rows(_results(spark, d))
 
 
-@query(f"with {FILES} select '## ' || path || ':1-' || len(string_split(content, chr(10))) || chr(10) || '```txt' || chr(10) || content || chr(10) || '```' as markdown from files where doc_id % 10 = 3")
+@query(f"with {FILES} select '## ' || path || ':1-' || len(string_split(content, chr(10))) || chr(10) || '```' || chr(10) || content || chr(10) || '```' as markdown from files")
 def markdown_rows(spark, d):
-    return sinks.markdown_rows(_tenth(spark, d))
-
-
-@query()
-def markdown_rows_all(spark, d):
     return sinks.markdown_rows(_results(spark, d))
 
 
@@ -391,55 +390,218 @@ def analyzer_full(spark, d):
     return files_of(spark, d).select("path", analyzer.full_terms(F.col("content")).alias("terms"))
 
 
+#: Source texts by extension, and the blocks they hold, written down by hand: (start, end, kind, name, parent, is it a test).
 SOURCES = [
-    ("src/list.rs", "rs", "// keeps addresses\npub struct IpList {\n    items: Vec<String>,\n}\n\nimpl IpList {\n    /// is it there\n    pub fn contains(&self, x: &str) -> bool {\n        self.items.iter().any(|i| i == x)\n    }\n}\n\n#[test]\nfn test_contains() {\n    assert!(true);\n}\n"),
-    ("src/app.js", "js", "import x from 'y';\n\n// loads users\nasync function loadUsers(db) {\n  const rows = await db.query('select 1');\n  return rows;\n}\n\nconst handler = (req, res) => {\n  res.send(loadUsers(req.db));\n};\n"),
-    ("lib/tool.py", "py", "class Loader:\n    # reads a file\n    def load(self, path):\n        with open(path) as f:\n            return f.read()\n\n    def close(self):\n        pass\n\n\ndef test_load():\n    assert Loader().load('x')\n"),
-    ("main.go", "go", "package main\n\nfunc main() {\n\tprintln(\"ip whitelist\")\n}\n\ntype Config struct {\n\tName string\n}\n"),
-    ("a.rb", "rb", "class Greeter\n  def hello(name)\n    puts name\n  end\nend\n"),
-    ("README.md", "md", "How to load users\n\nUse the loader.\n"),
+    ("rs", """// keeps addresses
+pub struct IpList {
+    items: Vec<String>,
+}
+
+struct Unit;
+
+impl Keep for IpList {
+    /// is it there
+    pub fn contains<'a>(&self, x: &'a str) -> bool
+    {
+        if x == "}" { return true; }
+        self.items.iter().any(|i| { i == x })
+    }
+}
+
+#[cfg(test)]
+mod tests {
+    #[test]
+    fn check() {
+        load_users("fn none() {");
+    }
+}
+""", [(2, 4, "struct_item", "IpList", None, False), (6, 6, "struct_item", "Unit", None, False), (8, 15, "impl_item", "IpList", None, False), (10, 14, "function_item", "contains", "IpList", False), (18, 23, "mod_item", "tests", None, True), (20, 22, "function_item", "check", "tests", True)]),
+    ("js", """import x from 'y';
+
+// loads users
+async function loadUsers(db) {
+  const rows = await db.query('select {');
+  for (let i = 0; i < 3; i++) { x(i); }
+  return rows;
+}
+
+const handler = (req, res) => {
+  res.send(loadUsers(req.db));
+};
+
+class Store extends Base {
+  constructor(x) { this.x = x; }
+  async go(a, b) {
+    later(function () { return 1; });
+  }
+}
+""", [(4, 8, "function_declaration", "loadUsers", None, False), (10, 12, "arrow_function", "handler", None, False), (14, 19, "class_declaration", "Store", None, False), (15, 15, "method_definition", "constructor", "Store", False), (16, 18, "method_definition", "go", "Store", False)]),
+    ("py", """class Loader:
+    # reads a file
+    def load(self, path):
+        with open(path) as f:
+            return f.read()
+
+    def close(self):
+        pass
+
+
+@slow
+def test_load():
+    assert Loader().load('loadUsers')
+""", [(1, 8, "class_definition", "Loader", None, False), (3, 5, "function_definition", "load", "Loader", False), (7, 8, "function_definition", "close", "Loader", False), (12, 13, "function_definition", "test_load", None, True)]),
+    ("go", """package main
+
+func main() {
+\tprintln("ip {")
+}
+
+type Config struct {
+\tName string
+}
+
+func (c *Config) Load(a int) (string, error) {
+\treturn c.Name, nil
+}
+
+func TestLoad(t *testing.T) {
+\ttype row struct {
+\t\ta int
+\t}
+}
+""", [(3, 5, "function_declaration", "main", None, False), (7, 9, "type_declaration", "Config", None, False), (11, 13, "method_declaration", "Load", None, False), (15, 19, "function_declaration", "TestLoad", None, True), (16, 18, "type_declaration", "row", "TestLoad", True)]),
+    ("c", """#include <a.h>
+#define OPEN {
+int main(int a)
+{
+  if (a) { return 1; }
+  return 0;
+}
+
+struct pair { int a; };
+static char *name_of(void) {
+  return 0;
+}
+""", [(3, 7, "function_definition", "main", None, False), (9, 9, "struct_specifier", "pair", None, False), (10, 12, "function_definition", "name_of", None, False)]),
+    ("java", """package a;
+
+public class Loader<T> extends Base {
+  private int x;
+  public Loader(int x) { this.x = x; }
+  @Test
+  public void load() throws E {
+    for (int i = 0; i < 3; i++) { go(); }
+  }
+}
+""", [(3, 10, "class_declaration", "Loader", None, False), (5, 5, "constructor_declaration", "Loader", "Loader", False), (6, 9, "method_declaration", "load", "Loader", True)]),
+    ("rb", """class Greeter
+  def hello(name)
+    if name
+      puts name
+    end
+    [1].each do |x|
+      p x
+    end
+  end
+
+  def self.make
+    loadUsers
+  end
+end
+""", [(1, 14, "class", "Greeter", None, False), (2, 9, "method", "hello", "Greeter", False), (11, 13, "singleton_method", "make", "Greeter", False)]),
+    ("md", """How to load users
+
+Call loadUsers with a database.
+""", []),
 ]
+_quoted = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+_rows = lambda rows: ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
+#: Every document stands for a source text, by turns, with up to three empty lines above it.
+_SOURCE_SQL = f"""with texts(k, ext, content) as (values {_rows([(k, e, c) for k, (e, c, _) in enumerate(SOURCES)])}),
+sources as (select 'src/m' || doc_id || '.' || ext as path, ext, k, (doc_id // {len(SOURCES)} % 4)::int as s, repeat(chr(10), (doc_id // {len(SOURCES)} % 4)::int) || content as content from documents join texts on doc_id % {len(SOURCES)} = k),
+blocks(k, "start", "end", node_type, name, parent, is_test) as (values {_rows([(k, *b) for k, (_, _, bs) in enumerate(SOURCES) for b in bs])})"""
+_SHIFTED = 'b."start"::int + s as "start", b."end"::int + s as "end"'
+_CODE = """array_to_string((string_split(content, chr(10)))["start":"end"], chr(10)) as code"""
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "path string, ext string, content string")
+def sources_of(spark: SparkSession, d: str) -> DataFrame:
+    texts = spark.createDataFrame([(k, e, c) for k, (e, c, _) in enumerate(SOURCES)], "k long, ext string, text string")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % len(SOURCES)).alias("k"))
+    lines = (F.floor(F.col("doc_id") / len(SOURCES)) % 4).cast("int")
+    return docs.join(F.broadcast(texts), "k").select(F.concat(F.lit("src/m"), F.col("doc_id"), F.lit("."), F.col("ext")).alias("path"), "ext", F.concat(F.expr("repeat('\n', cast(floor(doc_id / {}) % 4 as int))".format(len(SOURCES))), F.col("text")).alias("content"), lines.alias("s"))  # a text for each entry of SOURCES
 
 
-@query()
+def _wanted(spark, d, kinds: dict) -> DataFrame:
+    """Targets by extension: (start, end, lines) in the unshifted text."""
+    rows = spark.createDataFrame([(e, *v) for e, v in kinds.items()], "ext string, start int, end int, lines array<int>")
+    moved = sources_of(spark, d).select("path", "ext", "s").join(F.broadcast(rows), "ext")  # as many as there are extensions
+    return moved.select("path", (F.col("start") + F.col("s")).alias("start"), (F.col("end") + F.col("s")).alias("end"), F.transform("lines", lambda x: x + F.col("s")).alias("lines"))
+
+
+def _extract_sql(pieces: list[tuple]) -> str:
+    """pieces: (k, start, end, kind), the lines before they are moved; ends that say 'n' are the file's."""
+    return _SOURCE_SQL + f""", pieces(k, lo, hi, node_type) as (values {_rows(pieces)}),
+p as (select path, content, s, node_type, greatest(1, lo + case when node_type = 'file' then 0 else s end)::int as "start", least(len(string_split(content, chr(10))) - 1, hi + s)::int as "end" from sources join pieces using (k))
+select path, "start", "end", node_type, {_CODE} from p"""
+
+
+@query(_SOURCE_SQL + f" select path, {_SHIFTED}, node_type, name, parent, is_test from sources join blocks b using (k)")
 def blocks_by_language(spark, d):
-    return blocks.blocks(_sources(spark)).drop("code")
+    return blocks.blocks(sources_of(spark, d)).select("path", "start", "end", "node_type", "name", "parent", "is_test")
 
 
-@query()
+@query(_extract_sql([(1, 4, 8, "function_declaration"), (2, 3, 99, "text_search"), (6, 2, 99, "text_search"), (7, 1, 99, "file")]))
 def symbol_lookup(spark, d):
-    return blocks.symbol(blocks.blocks(_sources(spark)), "loadUsers")
+    f = sources_of(spark, d)
+    return blocks.symbol(blocks.blocks(f), "loadUsers", f)
 
 
-@query()
+@query(_extract_sql([(2, 3, 5, "function_definition"), (5, 6, 9, "method_declaration")]))
 def nested_symbol(spark, d):
-    return blocks.symbol(blocks.blocks(_sources(spark)), "Loader.load")
+    return blocks.symbol(blocks.blocks(sources_of(spark, d)), "Loader.load")
 
 
-@query()
+@query(_extract_sql([(0, 10, 14, "merged_ast_line"), (1, 3, 8, "merged_ast_line"), (2, 1, 8, "merged_ast_line"), (3, 15, 19, "merged_ast_line"), (4, -9, 11, "context"), (7, -9, 11, "context")]))
 def extract_line(spark, d):
-    wanted = spark.createDataFrame([("lib/tool.py", 4, None), ("README.md", 1, None)], "path string, start int, end int")
-    return blocks.extract(_sources(spark), blocks.blocks(_sources(spark)), wanted)
+    f = sources_of(spark, d)
+    return blocks.extract(f, blocks.blocks(f), _wanted(spark, d, {"rs": (12, None, None), "js": (3, None, None), "py": (6, None, None), "go": (17, None, None), "c": (1, None, None), "md": (1, None, None)}))
 
 
-@query()
+@query(_extract_sql([(0, 2, 15, "merged_ast_range"), (3, 1, 2, "range"), (7, 1, 3, "range"), (1, 10, 19, "merged_ast_range")]))
 def extract_range(spark, d):
-    wanted = spark.createDataFrame([("src/list.rs", 3, 9), ("README.md", 1, 99)], "path string, start int, end int")
-    return blocks.extract(_sources(spark), blocks.blocks(_sources(spark)), wanted)
+    f = sources_of(spark, d)
+    return blocks.extract(f, blocks.blocks(f), _wanted(spark, d, {"rs": (3, 11, None), "go": (1, 2, None), "md": (1, 99, None), "js": (11, 17, None)}))
 
 
-@query()
+@query(_extract_sql([(1, 4, 15, "merged_ast_specific_lines"), (4, -9, 12, "specific_lines"), (7, 1, 99, "file")]))
+def extract_lines(spark, d):
+    f = sources_of(spark, d)
+    return blocks.extract(f, blocks.blocks(f), _wanted(spark, d, {"js": (None, None, [5, 15]), "c": (None, None, [1, 2]), "md": (None, None, None)}))
+
+
+@query(_extract_sql([(2, 3, 5, "function_definition"), (0, 20, 22, "function_item"), (7, 1, 99, "file")]))
+def extract_symbols(spark, d):
+    """Targets by symbol, among them one inside another, which goes."""
+    f = sources_of(spark, d)
+    rows = spark.createDataFrame([("py", "Loader.load"), ("rs", "tests.check"), ("md", "loadUsers")], "ext string, symbol string")
+    return blocks.extract(f, blocks.blocks(f), f.join(F.broadcast(rows), "ext").select("path", F.lit(None).cast("int").alias("start"), "symbol"), distinct=True)
+
+
+@query(_SOURCE_SQL + """ select path, s + 10 as line_start, s + 14 as line_end, 8 as column_start, 5 as column_end, array_to_string((string_split(content, chr(10)))[s + 10 : s + 14], chr(10))[9:] as matched_text from sources where k = 0
+union all select path, s + 20, s + 22, 4, 5, array_to_string((string_split(content, chr(10)))[s + 20 : s + 22], chr(10))[5:] from sources where k = 0""")
 def structural_pattern(spark, d):
-    return blocks.structural(_sources(spark), "fn $NAME($$$ARGS) $$$REST { $$$BODY }")
+    return blocks.structural(sources_of(spark, d), "fn $NAME$$$REST { $$$BODY }")
 
 
 @query()
 def search_sources(spark, d):
-    return search.search(_sources(spark), "load users", 5)
+    return search.search(sources_of(spark, d), "load users", 40)
+
+
+@query()
+def search_blocks(spark, d):
+    """The whole search over the documents: hits outside of any block give the lines around them."""
+    return search.search(files_of(spark, d), "scum AND thre", 25)
 
 
 @query()
