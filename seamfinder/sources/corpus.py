@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from fnmatch import fnmatchcase
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,8 +83,8 @@ def files(spark: SparkSession, root: str, globs=IGNORED, tests: bool = True, lan
 
     The driver lists it, so that folders with a leading underscore count too;
     Spark reads what is listed. Rules of .gitignore files hold unless switched
-    off, more are globs beside the usual ones, and files over FILE_BYTES and
-    those that aren't regular are left out. An empty folder gives an empty table.
+    off, more are globs beside the usual ones, and files over FILE_BYTES, hidden
+    ones and those that aren't regular are left out. An empty folder gives an empty table.
     """
     found, rules, globs = [], GitIgnore(), (*globs, *more, *(() if tests else (*TEST_FILES, *TEST_FOLDERS)))
     root = os.path.abspath(root)
@@ -93,7 +92,7 @@ def files(spark: SparkSession, root: str, globs=IGNORED, tests: bool = True, lan
         if gitignore and ".gitignore" in names:
             with open(os.path.join(top, ".gitignore"), encoding="utf-8", errors="replace") as f:
                 rules.read(top, f.read())
-        ok = lambda n, is_dir: not any(fnmatchcase(n, g) for g in globs) and not rules(os.path.join(top, n), is_dir)  # noqa: B023, E731
+        ok = lambda n, is_dir: not n.startswith(".") and not any(fnmatchcase(n, g) for g in globs) and not rules(os.path.join(top, n), is_dir)  # noqa: B023, E731
         dirs[:] = sorted(d for d in dirs if ok(d, True))
         for n in sorted(names):
             full = os.path.join(top, n)
@@ -101,7 +100,7 @@ def files(spark: SparkSession, root: str, globs=IGNORED, tests: bool = True, lan
                 found.append(full)
     if not found:
         return spark.createDataFrame([], "path string, ext string, size long, content string")
-    raw = spark.read.text([f"file://{quote(f)}" for f in found], wholetext=True)
+    raw = spark.read.text(["file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in found], wholetext=True)
     path = F.substring(F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), r"\+", "%2B")), len(root.rstrip("/")) + 2, 1 << 20)
     out = raw.select(path.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
     return out.select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"), "size", "content")
