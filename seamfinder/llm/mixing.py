@@ -82,60 +82,90 @@ def _tilts(hist: DataFrame, wanted: DataFrame, scratch: Scratch, limit: int) ->
     return state
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixed documents: docs' columns, a row for each copy; a cut copy has the first words only, joined by a space."""
-    mixed = mix(docs, id_col, text_col, source_col, with_row=True, **how)
-    copies = mixed.where("taken > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") + F.when(F.col("cut") > 0, 1).otherwise(0))))
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
+    """The mixed documents: docs' columns, a row for each copy; a cut copy has the first words only, joined by a space.
+
+    Null and empty texts have no words and aren't in the mix. Otherwise as
+    ``mix``: repeated rows are decided one by one, null ids and null sources
+    are kept, an empty table gives an empty result, and columns of any names
+    pass through. Whole rows are scanned and given copies where they lie; only
+    the few that tie with a source's last document are moved.
+    """
+    sc = scratch or Scratch(docs.sparkSession, "mixing")
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    narrow = row.select("id", "source", size_of("text").alias("size"))
+    plan = _plan(narrow, sc, weights, limit, seed)
+    mixed = _decided(row.withColumn("size", size_of("text")), plan, "row").where("copies > 0 or cut > 0")
+    copies = mixed.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") + F.when(F.col("cut") > 0, 1).otherwise(0))))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit(f"({WORD})"), F.lit(1)), 1, F.col("cut").cast("int")), " ")
     text = F.when(F.col("k") > F.col("copies"), first).otherwise(F.col("row")[text_col])
     return copies.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 7, with_row: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """(id, source, size, source_size, target, copies, cut, taken) for every row of docs.
-
-    with_row adds the whole row as the struct ``row``. copies: whole copies that the mix takes; cut: words of one more, cut, copy
-    (at most one row of a source has one); taken = copies * size + cut.
-
-    Null texts have size 0, a null source is a source of its own, after the
-    others. Repeated rows count as often as they are there, and rows with a
-    null id are kept; rows that tie in everything are told apart by nothing
-    else, so which of them is cut doesn't matter. An empty table gives an
-    empty result. Other columns aren't read. Reruns agree.
-    """
-    sc = scratch or Scratch(docs.sparkSession, "mixing")
-    sized = sc.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size")), "sized")
+def _plan(narrow: DataFrame, sc: Scratch, weights, limit: int, seed: int) -> tuple:
+    """What decides a row of (id, source, size): the tilts and the last document of each source, and the columns made of them."""
+    sized = sc.keep(narrow, "sized")
     wanted = sc.keep(targets(sized, weights, limit), "wanted")
     hist = sc.keep(sized.where("size > 0").groupBy(F.col("source").alias("key"), "size").agg(F.count("*").alias("docs")), "hist")
-    tilt = _tilts(hist, wanted, sc, limit).select(F.col("source").alias("of"), "s", "n", "target", "lam", "mean", "full")
+    tilt = sc.keep(_tilts(hist, wanted, sc, limit).select(F.col("source").alias("of"), "s", "n", "target", "lam", "mean", "full"), "tilt")
 
     rate = F.when((F.col("size") == 0) | (F.col("target") <= 0), 0.0).when(F.col("full"), float(limit)).otherwise(F.least(F.lit(float(limit)), F.exp(F.col("lam") * F.col("size") / F.col("mean"))))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11) + 1) / F.lit(float(1 << 53))
     bins = F.greatest(F.lit(1.0), F.col("n") / PER_BIN)
 
-    def rated_of(df: DataFrame) -> DataFrame:
+    def rated(df: DataFrame) -> DataFrame:
         return df.join(tilt, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).withColumn("base", F.floor("rate")) \
             .withColumn("turn", F.when(F.col("rate") > F.col("base"), u / (F.col("rate") - F.col("base")))) \
             .withColumn("bin", F.floor(F.least(F.col("turn"), F.lit(8.0)) * bins)).drop("of")
 
-    rated = rated_of(sized)
     # one row per source and bin; base rows (bin null) come first
-    per = rated.groupBy("source", "bin").agg(F.sum(F.col("base") * F.col("size")).alias("given"), F.sum("size").alias("more"), F.first("target").alias("target"))
+    own = rated(sized)
+    per = own.groupBy("source", "bin").agg(F.sum(F.col("base") * F.col("size")).alias("given"), F.sum("size").alias("more"), F.first("target").alias("target"))
     whole = Window.partitionBy("source")
     ordered = whole.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     due = per.withColumn("due", F.col("target") - F.sum("given").over(whole)).withColumn("more", F.when(F.col("bin").isNull(), 0).otherwise(F.col("more"))) \
         .withColumn("before", F.coalesce(F.sum("more").over(ordered), F.lit(0)))
-    cut_bin = sc.keep(due.where((F.col("before") <= F.col("due")) & (F.col("before") + F.col("more") > F.col("due")) & F.col("bin").isNotNull())
-                      .select(F.col("source").alias("of"), F.col("bin").alias("last"), "due", "before"), "cut")
     # without such a bin, all documents of the source with a fraction are taken once more
-    if with_row:
-        rated = rated_of(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size")))
-    joined = rated.join(cut_bin, F.col("source").eqNullSafe(F.col("of")), "left")
-    plain = joined.where(F.col("last").isNull() | F.col("bin").isNull() | (F.col("bin") != F.col("last"))) \
-        .withColumn("extra", F.when(F.col("bin").isNull(), 0).when(F.col("last").isNull() | (F.col("bin") < F.col("last")), 1).otherwise(0)).withColumn("cut", F.lit(0).cast("long"))
+    cut_bin = sc.keep(due.where((F.col("before") <= F.col("due")) & (F.col("before") + F.col("more") > F.col("due")) & F.col("bin").isNotNull())
+                      .select(F.col("source").alias("of"), F.col("bin").alias("at"), (F.col("due") - F.col("before")).alias("rest")), "bins")
+    # the bin's documents, equal ones together: the first lot with which the source has enough
+    lots = own.join(cut_bin, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at"))).groupBy("source", "turn", "id", "size").agg(F.count("*").alias("equal"), F.first("rest").alias("rest"))
     turn = Window.partitionBy("source").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.where(F.col("bin") == F.col("last")).withColumn("rest", F.col("due") - F.col("before") - F.coalesce(F.sum("size").over(turn), F.lit(0))) \
-        .withColumn("extra", F.when(F.col("rest") >= F.col("size"), 1).otherwise(0)) \
-        .withColumn("cut", F.when((F.col("rest") > 0) & (F.col("rest") < F.col("size")), F.round("rest").cast("long")).otherwise(F.lit(0).cast("long")))
-    cols = ["id", "source", "size", F.col("s").alias("source_size"), "target", (F.col("base") + F.col("extra")).cast("long").alias("copies"), "cut", *["row"] * with_row]
-    return plain.select(*cols).unionByName(edge.select(*cols)).withColumn("taken", F.col("copies") * F.col("size") + F.col("cut"))
+    left = lots.withColumn("rest", F.col("rest") - F.coalesce(F.sum(F.col("equal") * F.col("size")).over(turn), F.lit(0)))
+    edge = left.where((F.col("rest") >= 0) & (F.col("rest") < F.col("equal") * F.col("size"))) \
+        .select(F.col("source").alias("of"), F.struct("turn", "id", "size").alias("last"), F.floor(F.col("rest") / F.col("size")).alias("whole"), F.round(F.pmod("rest", F.col("size"))).cast("long").alias("part"))
+    return rated, sc.keep(edge, "edge")
+
+
+def _decided(rows: DataFrame, plan: tuple, *more: str) -> DataFrame:
+    """rows (id, source, size, more) with source_size, target, copies and cut."""
+    rated, edge = plan
+    joined = rated(rows).join(edge, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("own", F.struct("turn", "id", "size"))
+    none = F.lit(0).cast("long")
+    extra = F.when(F.col("turn").isNull() | (F.col("own") > F.col("last")), 0).otherwise(1)
+    tied = F.col("turn").isNotNull() & F.col("own").eqNullSafe(F.col("last"))
+    plain = joined.where(~tied).withColumn("extra", extra).withColumn("cut", none)
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.lit(0)))
+    last = joined.where(tied).withColumn("place", place) \
+        .withColumn("extra", F.when(F.col("place") <= F.col("whole"), 1).otherwise(0)).withColumn("cut", F.when(F.col("place") == F.col("whole") + 1, F.col("part")).otherwise(none))
+    cols = ["id", "source", "size", F.col("s").alias("source_size"), "target", (F.col("base") + F.col("extra")).cast("long").alias("copies"), "cut", *more]
+    return plain.select(*cols).unionByName(last.select(*cols))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies, cut, taken) for every row of docs.
+
+    copies: whole copies that the mix takes; cut: words of one more, cut, copy
+    (at most one row of a source has one); taken = copies * size + cut.
+
+    Null texts have size 0, a null source is a source of its own, after the
+    others. Repeated rows count as often as they are there, and rows with a
+    null id are kept; rows that tie in everything are told apart by nothing
+    else, so which of them is cut doesn't matter. An empty table gives an
+    empty result. Other columns aren't read. Reruns agree.
+    """
+    sc = scratch or Scratch(docs.sparkSession, "mixing")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
+    plan = _plan(narrow, sc, weights, limit, seed)
+    sized = docs.sparkSession.read.schema(narrow.schema).parquet(sc.path("sized"))
+    return _decided(sized, plan).withColumn("taken", F.col("copies") * F.col("size") + F.col("cut"))
