@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
 from .words import Pool, slices, spread
 
 #: Words in a worker's table, about.
-CACHE = 600_000
+CACHE = 300_000
 #: Bytes of text in a slice, and of its new pieces in one recursive query.
-SLICE, QUERY_BYTES = 8 << 20, 400_000
+SLICE, QUERY_BYTES = 4 << 20, 100_000
 #: Longer pieces (bytes) have positions of their own kind of work: they are contracted one by one from a heap of pairs.
 LONG = 1024
 
@@ -61,18 +63,25 @@ class Coder:
         import duckdb
         import regex
 
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         # no spill to the worker's own disk: a query's rows are bounded by QUERY_BYTES
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        pairs = [(ranks[b[:i]] << 20 | ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
-        self._load("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())}))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        # every way to cut a token into two
+        pair, rank = array("q"), array("i")
+        for b, r in ranks.items():
+            for i in range(1, len(b)):
+                if (x := ranks.get(b[:i])) is not None and (y := ranks.get(b[i:])) is not None:
+                    pair.append(x << 20 | y)
+                    rank.append(r)
+        self._load("merges", pa.table({"pair": np.frombuffer(pair, np.int64), "rank": np.frombuffer(rank, np.int32)}))
+        by_id = {r: b for b, r in ranks.items()}
+        top = max(by_id) + 1
+        self.tokens, self.known = pa.array([by_id.get(i, b"") for i in range(top)], pa.binary()), pa.array(list(ranks), pa.binary())
         self._load("tokens", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([b.hex() for b in ranks])}))
-        self.by_id = {r: b for b, r in ranks.items()}
-        top = max(ranks.values()) + 1
-        self.tokens, self.known = pa.array([self.by_id.get(i, b"") for i in range(top)], pa.binary()), pa.array(list(ranks), pa.binary())
         self.known_id = np.array(list(ranks.values()), np.int32)
         self.digits = pa.array([b"%d," % i for i in range(top)], pa.binary())
+        self.ranks = ranks
         self.pool = Pool(self._learn, CACHE)
 
     def _load(self, name: str, table: pa.Table) -> None:
@@ -89,16 +98,16 @@ class Coder:
         nx, np_ = np.append(ids[1:], -1).astype(np.int32), p + 1
         nx[last] = np_[last] = -1
         self.db.register("word_rows", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "p": p, "np": np_.astype(np.int32), "id": ids, "nx": nx}))
-        got = self.db.execute(QUERY).to_arrow_table().combine_chunks()
+        got = self.db.sql(QUERY).to_arrow_table().combine_chunks()
         self.db.unregister("word_rows")
         ids = got["ids"].combine_chunks()
         return np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets)).astype(np.int64), pa.array(map(bytes.fromhex, got["bytes"].to_pylist()), pa.binary())
 
     def long(self, word: bytes) -> list[int]:
         """The ids of one word of any length, in n log n."""
-        ids, ranks = [int(self.byte[b]) for b in word], self.ranks
+        ids, ranks, tokens = [int(self.byte[b]) for b in word], self.ranks, self.tokens.to_pylist()
         nxt, prev = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        pair = lambda i: ranks.get(self.by_id[ids[i]] + self.by_id[ids[nxt[i]]]) if nxt[i] >= 0 else None
+        pair = lambda i: ranks.get(tokens[ids[i]] + tokens[ids[nxt[i]]]) if nxt[i] >= 0 else None
         heap = [(r, i) for i in range(len(ids)) if (r := pair(i)) is not None]
         heapq.heapify(heap)
         while heap:
@@ -129,7 +138,7 @@ class Coder:
         for i in far.tolist():
             ids.append(np.array(self.long(pieces[i].as_py()), np.int32))
             lengths.append([len(ids[-1])])
-            raw.append(pa.array([b"".join([self.by_id[i] for i in ids[-1].tolist()])], pa.binary()))
+            raw.append(pa.array([b"".join(self.tokens.take(pa.array(ids[-1])).to_pylist())], pa.binary()))
         place = np.empty(len(pieces), np.int64)
         place[np.concatenate(order)] = np.arange(len(pieces))
         lengths = np.concatenate(lengths).astype(np.int64)
@@ -189,4 +198,4 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *(pa.array([m[i] for m in made], kinds[i]) for i in range(len(names) - 1))], names=names)
 
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(arrow, run, schema)

@@ -69,6 +69,35 @@ class Scratch:
             self._forget(self.path(name))
 
 
+#: Bytes of an Arrow batch that goes to Python, about; a session's own setting goes before.
+BATCH_BYTES = 4 << 20
+
+
+def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with batches bounded in bytes, as texts may be long; a worker gives its memory back when a task is done."""
+    limit, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if int(spark.conf.get(limit, None) or 2**31 - 1) == 2**31 - 1:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Free what the allocators of Arrow and C hold without need; workers live on, and other stages need the room."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it; executors use it for binary files."""
     from pyarrow import fs

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 #: Kinds in their order; the model's tags are "nothing" and these.
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE = 64, 32
@@ -347,4 +349,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 made = [(*(sum(k == i for _, k, _ in x) for i in range(4)), spell(x), spell(x + y)) for x, y in zip(known, learned(texts, known, model))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *(pa.array([m[i] for m in made], pa.int64() if i < 4 else pa.string()) for i in range(6))], names=names)
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_spans string, spans string")
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(arrow, run, f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_spans string, spans string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Most labelled documents that the trees are fitted on: those with the smallest hash of their id.
@@ -87,7 +87,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             base = [pa.array([m[0][i] for m in made], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(0), *base, pa.array([m[1] for m in made], pa.list_(pa.float64()))], names=["id", *BASE, "features"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, {', '.join(f'{x} long' for x in BASE)}, features array<double>")
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(arrow, run, f"id {kind}, {', '.join(f'{x} long' for x in BASE)}, features array<double>")
 
 
 @dataclass
@@ -195,7 +195,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", *BASE)), pa.array(failed), pa.array(scores), pa.array(~failed & (scores >= bar))], names=["id", *BASE, "base_failed", "score", "kept"])
 
     kind = dict(measured.dtypes)["id"]
-    return measured.mapInArrow(run, f"id {kind}, {', '.join(f'{x} long' for x in BASE)}, base_failed boolean, score double, kept boolean")
+    return measured.transform(arrow, run, f"id {kind}, {', '.join(f'{x} long' for x in BASE)}, base_failed boolean, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
@@ -218,4 +218,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 scores = trees.score(np.array([m[1] for m in made]))
                 yield b.filter(pa.array([m[0][0] >= 10 and 100 * m[0][4] <= 20 * m[0][0] and bool(x >= bar) for m, x in zip(made, scores)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 #: The base kinds in their order, then those of the linked parts.
 KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
 
@@ -115,7 +117,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             cols = [pa.array([m[i] for m in made], pa.int64() if i < 3 else pa.string()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string")
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(arrow, run, f"id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -139,7 +141,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 texts.append(text)
             yield b.set_column(at, text_col, pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)
 
 
 def sha256(text: str) -> str:

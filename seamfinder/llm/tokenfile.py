@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, filesystem
+from .common import Scratch, arrow, filesystem
 from .words import Pool, slices
 
 #: Ids in a word and bits of each, for the selectors from 1 on.
@@ -35,9 +35,9 @@ MAGIC = 0x38424D53
 #: Ids in a frame, about; a document is never divided.
 FRAME = 1 << 18
 #: Words in a worker's table, about.
-CACHE = 600_000
+CACHE = 400_000
 #: Bytes of texts encoded at a time, and words of letters that go to the library in one call.
-SLICE, JOINED = 8 << 20, 1 << 10
+SLICE, JOINED = 4 << 20, 1 << 10
 
 _COUNT = np.array([1, *(k for k, _ in SELECTORS)], np.int64)
 _SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -268,7 +268,7 @@ def write(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scratch, id
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file]), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64())], names=["part", "file", "docs", "ids"])
 
     placed = docs.select(F.col(id_col).cast("long").alias("id"), text_col).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    files = scratch.keep(placed.mapInArrow(run, "part int, file string, docs long, ids long"), f"{name}-list")
+    files = scratch.keep(placed.transform(arrow, run, "part int, file string, docs long, ids long"), f"{name}-list")
     # one row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -295,7 +295,7 @@ def scan(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
                     raise ValueError(f"{file}: {seen} of {count} documents")
 
     n = max(1, files.count())
-    return files.select("file", "start", "docs").repartition(n).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return files.select("file", "start", "docs").repartition(n).transform(arrow, run, "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int | None = 2, with_ids: bool = False, scratch: Scratch | None = None, **columns) -> DataFrame:

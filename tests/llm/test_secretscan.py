@@ -54,3 +54,37 @@ def test_parts_of_any_length_and_distance(spark):
     (red,) = S.redact(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
     assert red.text == "<SECRET>\n" + "word " * 500 + "<SECRET>\nsee <SECRET>"
     assert S.linked(f"login: maria\n\n{long}", []) == []
+
+
+def test_links_like_brute_force():
+    """Every part against every other, paragraph by paragraph."""
+    import random
+    import re
+
+    meet = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    r = random.Random(17)
+    bits = ["login: maria", "user = bob99", "aB3dE5gH7jK9mN1pQ", "AKIA" + "Q7" * 8, "https://db.example.com/x", "password: hunter22", "plain words", "0123456789abcdef01234567", "\n\n", "\n \t\n", "\n", " ", "Zz9" * 9, "="]
+    some = 0
+    for _ in range(1500):
+        text = " ".join(r.choice(bits) for _ in range(r.randrange(14)))
+        known = S.base(text)
+        taken = [(s, e) for s, _, e in known]
+        clear = lambda xs, by: [x for x in xs if not any(meet(x, y) for y in by)]
+        ids = clear([m.span() for m in S._IDENTIFIER.finditer(text)], taken)
+        ends = clear([m.span() for m in S._ENDPOINT.finditer(text)], taken)
+        tokens = [x for x in clear([m.span() for m in S._TOKEN.finditer(text)], taken + ids + ends) if S._mixed(text[slice(*x)])]
+        breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+        edges = [0, *breaks, len(text)]
+
+        def confirmed(xs, by):
+            out = []
+            for x in xs:
+                i = sum(b <= x[0] for b in breaks)
+                out += [x] if any(meet((edges[i], edges[i + 1]), y) for y in by) else []
+            return out
+
+        places, secrets = [(s, e) for s, k, e in known if k == 1] + ids + ends, [(s, e) for s, k, e in known if k != 1] + tokens
+        want = sorted([(s, 3, e) for s, e in confirmed(ids, secrets)] + [(s, 4, e) for s, e in confirmed(tokens, places)] + [(s, 5, e) for s, e in confirmed(ends, secrets)])
+        assert sorted(S.linked(text, known)) == want, text
+        some += len(want)
+    assert some > 500
