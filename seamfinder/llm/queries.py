@@ -81,4 +81,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_bpe, op5_embeddings, op6_quality, op7_secrets, op8_pii, op9_substring, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+#: The same in DuckDB, for what SQL can say.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+with p as (select page_id, coalesce(html, '') as body from pages), d as (select page_id, strlen(body)::bigint as n, sha1(body) as digest from p),
+top as (select digest, max(page_id) as kept from d where n >= 1000 group by digest),
+r as (select d.*, case when page_id < kept then kept end as other from d left join top on d.digest = top.digest and n >= 1000)
+select page_id, n as payload_bytes, digest as payload_digest, case when other is null then 'response' else 'revisit' end as record_type, other as refers_to from r""",
+    "op5_embeddings": """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+u as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from reach group by a), n as (select a as vec_id, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v join c using (vec_id) left join n using (vec_id)""",
+    "op9_substring": """
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from w, unnest(range(1, greatest(1, len(ws) - 11))) as t(i)),
+least as (select g, min(doc_id) as m from win group by g),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from win join least using (g) where m < doc_id),
+lists as (select doc_id, list(p) as ps, count(*) as n_removed from gone group by doc_id),
+k as (select w.doc_id, ws, coalesce(ps, []) as ps, coalesce(n_removed, 0) as n_removed from w left join lists using (doc_id))
+select doc_id, len(ws)::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: not list_contains(ps, i)), ' ')) as kept_sha256 from k""",
+}
