@@ -27,8 +27,9 @@ def bm25(blocks: DataFrame, e: Expr, tokens: str | None = "tokens", text: str |
     excludes); N, df and the mean length are over candidates, or over all
     blocks if corpus_wide. tokens: a column of words; None counts the words of
     ``text`` where they stand. set_tf: a repeated word counts once. Null texts
-    have no words, repeated blocks count as often as they are there, and an
-    empty table gives an empty result. The counts are generated columns, made
+    have no words, repeated blocks count as often as they are there, an empty
+    table gives an empty result, and blocks may have columns of any names (a
+    column ``score`` is replaced). The counts are generated columns, made
     once a row; statistics are one row and are joined back to every block.
     """
     terms = keywords(e)
@@ -36,16 +37,16 @@ def bm25(blocks: DataFrame, e: Expr, tokens: str | None = "tokens", text: str |
         raise ValueError(f"a query may have {MOST_KEYWORDS} keywords")
     only_excludes = all(t.excluded for t in leaves(e))
     exact = {k for t in leaves(e) if t.exact for k in t.keywords}
-    given = blocks
+    row = blocks.select(F.struct("*").alias("row"), *([F.col(text).alias("text")] if text else []), *([F.col(tokens).alias("bag")] if tokens else []))  # so that no name clashes
     if tokens:
-        bag = F.array_distinct(F.col(tokens)) if set_tf else F.col(tokens)
+        bag = F.array_distinct("bag") if set_tf else F.col("bag")
         written = {k for t in leaves(e) if t.excluded for k in t.keywords} if text else set()  # these aren't analysed, so the text has them as they are
-        counts = [F.size(bag).cast("double").alias("dl"), *[(analyzer.count_word(F.col(text), t) if t in written else occurrences(bag, t)).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]]
+        counts = [F.coalesce(F.array_size(bag), F.lit(0)).cast("double").alias("dl"), *[(analyzer.count_word(F.col("text"), t) if t in written else occurrences(F.coalesce(bag, F.array()), t)).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]]
     else:
         if not only_excludes and not corpus_wide:
-            given = blocks.where(some_of([F.lower(F.col(text)).contains(t) for t in terms]))
-        counts = [analyzer.count_words(F.col(text)).cast("double").alias("dl"), *[analyzer.count_word(F.col(text), t).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]]
-    raw = given.select("*", F.inline(F.array(F.struct(*counts, *[F.coalesce(F.lower(F.col(text)).contains(k), F.lit(False)).alias(f"in_{i}") for i, k in enumerate(terms) if text and k in exact]))))
+            row = row.where(some_of([F.lower("text").contains(t) for t in terms]))
+        counts = [analyzer.count_words(F.col("text")).cast("double").alias("dl"), *[analyzer.count_word(F.col("text"), t).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]]
+    raw = row.select("row", F.inline(F.array(F.struct(*counts, *[F.coalesce(F.lower("text").contains(k), F.lit(False)).alias(f"in_{i}") for i, k in enumerate(terms) if text and k in exact]))))
 
     def has(k: str, exact: bool) -> Column:
         return F.col(f"in_{terms.index(k)}") if exact and text else F.col(f"tf_{terms.index(k)}") > 0
@@ -62,7 +63,7 @@ def bm25(blocks: DataFrame, e: Expr, tokens: str | None = "tokens", text: str |
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
 
-    return joined.withColumn("score", compile_score(e, score)).select(*blocks.columns, "score")
+    return joined.withColumn("score", compile_score(e, score)).select(*[F.col("row")[c].alias(c) for c in blocks.columns if c != "score"], "score")
 
 
 def some_of(conditions: list[Column]) -> Column:
