@@ -41,9 +41,21 @@ def line_hits(files: DataFrame, terms: list[str], *keep: str) -> DataFrame:
     return rows.select(*(keep or ("path",)), "line_no", F.explode(there).alias("term"))
 
 
-def search(files: DataFrame, query: str, n: int = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True) -> DataFrame:
-    """Ranked blocks of source files: declarations that match, and the context of hits outside of any."""
-    e = parse(query, analyzer.tokenize)
+def ranking_text(path: Column, code: Column) -> Column:
+    """A block as a scorer that reads text gets it: headed by its file's name."""
+    return F.concat(F.lit("// Filename: "), path, F.lit("\n"), code)
+
+
+def search(files: DataFrame, query: str, n: int = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True, exact: bool = False) -> DataFrame:
+    """Ranked blocks of source files: declarations that match, and the context of hits outside of any.
+
+    exact: the query is one literal text, and blocks that hold it come in order
+    of path and line, without a score. seen: ranges (path, start, end) not to
+    be shown again. Files without any of the query's words are left out before
+    they are divided into blocks. Null texts have no hits, and an empty table
+    gives an empty result.
+    """
+    e = parse(query, analyzer.tokenize, exact)
     terms = keywords(e)
     files = files if tests else files.where(~corpus.is_test(F.col("path")))
     files = files.where(rank.some_of([F.lower(F.col("content")).contains(t) for t in terms]))  # other files have no hits
@@ -52,19 +64,26 @@ def search(files: DataFrame, query: str, n: int = 10, max_bytes: int | None = No
     hits = line_hits(files, terms).select("path", "line_no").distinct()
     if seen is not None:
         hits = spans.unseen_lines(hits, seen)
-    inside = B.enclosing(hits, found).select("path", "start", "end", "node_type").distinct()
+    # a declaration that is hit in the comments above it as well comes once, with them
+    inside = B.enclosing(hits, found).groupBy("path", "end", "node_type").agg(F.min("start").alias("start")).select("path", "start", "end", "node_type")
     b = found.select(F.col("path").alias("p"), F.col("first").alias("s"), F.col("end").alias("e"))
     outside = hits.join(b, (F.col("path") == F.col("p")) & F.col("line_no").between(F.col("s"), F.col("e")), "left_anti")
-    lengths = files.select("path", F.size(F.split("content", "\n")).alias("n_lines"))
+    lengths = files.select("path", B.line_count(F.col("content")).alias("n_lines"))
     context = spans.context_windows(outside, lengths).select("path", "start", "end", F.lit("context").alias("node_type"))
     lines = corpus.lines(files).withColumn("line", corpus.shown(F.col("line")))
     every = inside.unionByName(context)
     text = every.join(spans.block_text(every, lines), ["path", "start", "end"])
-    ranked = rank.bm25(text.withColumn("tokens", analyzer.full_terms(F.concat_ws("\n", "path", "code"))), e, text="code", set_tf=True)
-    ranked = ranked.withColumn("score", F.col("score") * rank.boost(F.col("node_type"), F.col("start"), F.col("end"))).drop("tokens") \
-        .withColumns({"bytes": F.octet_length("code"), "tokens": F.greatest(F.lit(1), F.floor(F.octet_length("code") / 4))})
-    kept = spans.limited(ranked.withColumn("minus", -F.col("score")), ["minus", "path", "start"], n, max_bytes, max_tokens)
+    if exact:
+        return text.orderBy("path", "start").limit(n).select("path", "start", "end", "node_type", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"), "code")
+    # a word of the block and of the file's name counts twice
+    words = F.concat(analyzer.full_terms(F.col("code")), analyzer.full_terms(F.col("path")))
+    ranked = rank.bm25(text.withColumn("tokens", words), e, text="code")
+    ranked = ranked.withColumn("score", F.col("score") * rank.boost(F.col("node_type"), F.col("start"), F.col("end")))
+    ranked = ranked.select("path", "start", "end", "node_type", "code", "score", *rank.match_stats(F.col("tokens"), terms), (-F.col("score")).alias("minus"), F.octet_length("code").alias("bytes"), F.greatest(F.lit(1), F.floor(F.octet_length("code") / 4)).alias("tokens"))
+    kept = spans.limited(ranked, ["minus", "path", "start"], n, max_bytes, max_tokens)
+    shown = ["path", "start", "end", "node_type", "score", "rank", "matched_keywords", "block_unique_terms", "block_total_matches", "code"]
     if merge_gap is None:
-        return kept.select("path", "start", "end", "node_type", "score", "rank", "code")
-    merged = spans.merge(kept, "path", merge_gap, score=F.max("score"), rank=F.min("rank"), node_type=F.min_by("node_type", "rank"))
-    return merged.join(spans.block_text(merged, lines), ["path", "start", "end"]).select("path", "start", "end", "node_type", "score", "rank", "code").orderBy("rank")
+        return kept.select(shown)
+    merged = spans.merge(kept, "path", merge_gap, score=F.max("score"), rank=F.min("rank"), node_type=F.min_by("node_type", "rank"), matched_keywords=F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_keywords")))),
+                         block_unique_terms=F.max("block_unique_terms"), block_total_matches=F.sum("block_total_matches"))
+    return merged.join(spans.block_text(merged, lines), ["path", "start", "end"]).select(shown).orderBy("rank")

@@ -329,12 +329,15 @@ def session_antijoin_blocks(spark, d):
 
 # extraction
 
-_TALK = "'see ' || role || '/mod_' || turn || '.rs:' || (conv_id % 90 + 1) || '-' || (conv_id % 90 + 9) || ' and lib/x.py#Parent.child, self.value or README.md'"
+_TALK = "'see ' || role || '/mod_' || turn || '.rs:' || (conv_id % 90 + 1) || '-' || (conv_id % 90 + 9) || ' and lib/x.py#Parent.child, self.value, `src/a' || (conv_id % 7) || '.go:7:3` (data.length or list.map) \"main.c:12\" or README.md'"
+_listed = lambda words: ", ".join(f"'{w}'" for w in words)
 
 
-@query(f"""with t as (select conv_id, turn, unnest(list_distinct(regexp_extract_all({_TALK}, '([A-Za-z0-9_./\\-]+\\.[A-Za-z]{{1,5}}(?:(?::\\d+(?:-\\d+)?)|(?:#[A-Za-z_][\\w.]*))?)', 1))) as target from conversations)
-select conv_id, turn, target, regexp_extract(target, '^([^:#]+)', 1) as path, try_cast(regexp_extract(target, ':(\\d+)', 1) as int) as start, coalesce(try_cast(regexp_extract(target, ':\\d+-(\\d+)', 1) as int), try_cast(regexp_extract(target, ':(\\d+)', 1) as int)) as "end", nullif(regexp_extract(target, '#(.+)$', 1), '') as symbol
-from t where not regexp_matches(regexp_extract(target, '^([^:#]+)', 1), '^(self|this|super)\\.')""")
+@query(f"""with t as (select conv_id, turn, unnest(list_distinct(regexp_extract_all({_TALK}, '([A-Za-z0-9_./\\-]+\\.[A-Za-z]{{1,5}}\\b(?:(?::\\d+(?:-\\d+|:\\d+)?)|(?:#[A-Za-z_][\\w.]*))?)', 1))) as target from conversations),
+p as (select conv_id, turn, target, regexp_extract(target, '^([^:#]+)', 1) as path, try_cast(regexp_extract(target, ':(\\d+)', 1) as int) as start, coalesce(try_cast(regexp_extract(target, ':\\d+-(\\d+)', 1) as int), try_cast(regexp_extract(target, ':(\\d+)', 1) as int)) as "end", nullif(regexp_extract(target, '#(.+)$', 1), '') as symbol from t),
+w as (select *, string_split(path, '.') as ps from p)
+select conv_id, turn, target, path, start, "end", symbol from w
+where contains(path, '/') or len(ps) <> 2 or not (ps[-1] in ({_listed(spans.PROPERTIES)}) and (ps[1] in ({_listed(spans.CODE_PREFIXES)}) or ps[-1] not in ({_listed(spans.EXTENSIONS)})))""")
 def extract_targets_from_text(spark, d):
     return spans.targets(spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.expr(_TALK)), "t", "conv_id", "turn")
 

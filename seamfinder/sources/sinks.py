@@ -31,12 +31,14 @@ def json_rows(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def json_document(results: DataFrame) -> DataFrame:
+def json_document(results: DataFrame, **more: str) -> DataFrame:
     """One row a result, then one with the summary and the version: (part, json), the pieces of one document.
 
-    A writer puts the pieces of ``results`` between brackets; nothing is gathered in one task.
+    A writer puts the pieces of ``results`` between brackets; nothing is
+    gathered in one task. more: texts that go along, such as the
+    ``system_prompt``, ``user_instructions`` and ``original_input`` of an extraction.
     """
-    end = F.struct(F.struct("count", "total_bytes", "total_tokens").alias("summary"), F.lit(VERSION).alias("version"))
+    end = F.struct(F.struct("count", "total_bytes", "total_tokens").alias("summary"), F.lit(VERSION).alias("version"), *[F.lit(v).alias(k) for k, v in more.items()])
     return json_rows(results).select(F.lit("results").alias("part"), "json").unionByName(summary(results).select(F.lit("summary").alias("part"), F.to_json(end).alias("json")))
 
 

@@ -35,6 +35,20 @@ def test_ranking(spark):
     assert (rank.files_needed(), rank.files_needed(10), rank.files_needed(1000, 50_000)) == (600, 20, 120)
 
 
+def test_whole_search(spark):
+    code = "// users\nfn load_users(a: u8) {\n    open(\"users.db\");\n}\n\nfn other() {\n    close();\n}\n\n// loads nothing\n"
+    df = spark.createDataFrame([("src/users.rs", "rs", code), ("none.rs", "rs", None), ("notes.txt", "txt", "see the users\n" + "x\n" * 30)], "path string, ext string, content string")
+    got = search.search(df, "load users", 10, merge_gap=None).collect()
+    assert [(x.path, x.start, x.end, x.node_type) for x in got][0] == ("src/users.rs", 1, 4, "function_item")
+    assert got[0].matched_keywords == ["load", "user"] and got[0].block_unique_terms == 2
+    assert {(x.path, x.node_type) for x in got} >= {("notes.txt", "context")}
+    exact = search.search(df, 'open("users', 10, exact=True).collect()
+    assert [(x.path, x.start, x.end, x.score) for x in exact] == [("src/users.rs", 2, 4, None)]
+    seen = spark.createDataFrame([("src/users.rs", 1, 4)], "path string, start int, end int")
+    assert not [x for x in search.search(df, "load users", 10, seen=seen, merge_gap=None).collect() if x.path == "src/users.rs" and x.start < 5]
+    assert search.search(df.limit(0), "load users").count() == 0
+
+
 def test_boosts(spark):
     df = spark.createDataFrame([("function_item", 1, 9), ("doc_comment", 1, 5), ("doc_comment", 1, 4), ("unit_test", 1, 1), ("comment", 1, 1), (None, 1, 1), ("identifier", 1, 1), ("enum_item", 1, 1), ("mod_item", 1, 1), ("declaration", 1, 1)], "k string, s int, e int")
     got = [x[0] for x in df.select(rank.boost(F.col("k"), F.col("s"), F.col("e"))).collect()]
