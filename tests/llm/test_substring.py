@@ -52,6 +52,19 @@ def test_like_brute_force(spark):
     assert S.deduplicate(df.limit(0)).count() == 0
 
 
+def test_levels(spark):
+    assert S.levels(13) == [4, 7, 13] and S.levels(50) == [4, 7, 13, 25, 50] and S.levels(3) == [2, 3] and S.levels(1) == [1, 1]
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(30)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (1, 3, 6):
+        got = S.deduplicate(df, length=length).collect()
+        assert sorted(((x.id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == [x[:4] for x in brute(rows, length)]
+    # no candidates survive the first level
+    apart = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(30))) for i in range(5)], "doc_id long, text string")
+    assert [x.n_removed for x in S.deduplicate(apart).collect()] == [0] * 5
+
+
 def test_texts_alike_in_40_bits_of_their_digests(spark):
     passage = " ".join(f"p{i}" for i in range(13))
     rows = [(1, f"{passage} n1603527"), (2, f"{passage} n1920347")]  # found by search: the first 40 bits of xxhash64 of the digests are equal
