@@ -8,6 +8,12 @@ halving the longer interval again and again and leaving out halves that are too
 distant. Leaves are compared by one matrix product; what float precision can't
 settle is settled in double precision.
 
+Pairs of intervals are found by the grid cells of their boxes in the leading
+components, and are dealt out in tiles, squares of the sequence against itself:
+a tile gets each interval once, however many of its pairs need it. Vectors of
+different lengths are in one sequence, by length first, each length with axes of
+its own.
+
 Equal vectors are one vector with a count. A leaf gives back sums for every
 vector and the edges of a spanning forest, never its pairs.
 """
@@ -21,14 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, arrow, components
 
 #: Vectors in an interval, and in a leaf of the recursive join.
 INTERVAL, LEAF = 4096, 512
 #: The principal directions are those of this many vectors at most (the smallest hashes), and so many lead.
 SAMPLE, LEADING = 20_000, 12
-#: Pairs of intervals that one task gets, about.
-PAIRS = 6
+#: Components whose cells pairs of intervals are found by.
+KEYED = 3
+#: Tiles that are wished for at least, and intervals on a tile's side at most.
+TILES, SIDE = 96, 8
+
+
+#: A row of the table of intervals.
+BLOCK = "block long, part long, width int, bytes int, lo array<double>, hi array<double>, ids array<long>, counts array<long>, raw binary"
+
+
+def _vectors(raw: bytes, width: int, size: int) -> np.ndarray:
+    """Vectors as doubles; those that single precision holds exactly are stored so."""
+    return np.frombuffer(raw, np.float32 if size == 4 else np.float64).reshape(-1, width).astype(np.float64)
 
 
 def usable(vector: str):
@@ -139,8 +156,7 @@ class Joiner:
         x, y = forest(mask)
         self.edges += zip(a["id"][s:e][x].tolist(), b["id"][t:f][y].tolist())
 
-    def interval(self, ids, counts, raw: bytes, width: int) -> dict:
-        v = np.frombuffer(raw, np.float64).reshape(-1, width)
+    def interval(self, ids, counts, v: np.ndarray) -> dict:
         u = _unit(v)
         return {"id": np.asarray(ids, np.int64), "count": np.asarray(counts, np.int64), "raw": v, "single": u.astype(np.float32), "low": u @ self.basis, "boxes": {}}
 
@@ -161,21 +177,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     given = s.keep(given.withColumn("key", F.when(usable("v"), F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))).select("id", "key"), "given")
     # node: one number for each distinct vector
     nodes = given.where("key is not null").groupBy("key").agg(F.count("*").alias("count"), F.min("id").alias("least"))
-    nodes = s.keep(nodes.withColumn("width", F.size("key")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    sequences = []
-    for (width,) in nodes.select("width").distinct().orderBy("width").collect():
-        own = nodes.where(F.col("width") == width)
-        sample = own.orderBy(F.xxhash64("key"), "node").limit(SAMPLE).select("key").collect()
-        basis = axes(np.array([r.key for r in sample]).reshape(-1, width))
-        sequences.append((width, own, basis))
-    found = None
-    for width, own, basis in sequences:
-        part = _join(own, width, basis, cosine, s)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
-    found = s.keep(found, "found")
+    nodes = s.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    found = s.keep(_join(nodes, cosine, s), "found")
 
     sums = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     root = components(found.where("b is not null").select("a", "b"), s)
@@ -188,58 +192,109 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
 
 
-def _join(own: DataFrame, width: int, basis: np.ndarray, cosine: float, s: Scratch) -> DataFrame:
-    """(a, b, n): sums of linked rows for a (b null) and edges (a, b) between distinct vectors of one width."""
-    epsilon, leading = math.sqrt(max(0.0, 2 - 2 * cosine)) or 1e-6, basis.shape[1]
+def _bases(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Axes for each length in a bounded sample; any axes give right results, good ones leave out more."""
+    one_in = max(1, nodes.count() // SAMPLE)
+    sample = nodes.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).select("key").limit(2 * SAMPLE).collect()
+    by: dict[int, list] = {}
+    for r in sample:
+        by.setdefault(len(r.key), []).append(r.key)
+    return {w: axes(np.array(v)) for w, v in by.items()}
+
+
+def _basis(bases: dict[int, np.ndarray], width: int) -> np.ndarray:
+    found = bases.get(width)
+    return np.eye(width, min(width, LEADING)) if found is None else found
+
+
+def _join(nodes: DataFrame, cosine: float, s: Scratch) -> DataFrame:
+    """(a, b, n): sums of linked rows for a (b null) and edges (a, b) between distinct vectors; nodes: (key, node, count)."""
+    epsilon, bases = math.sqrt(max(0.0, 2 - 2 * cosine)) or 1e-6, _bases(nodes)
 
     def cells(batches):
         for b in batches:
-            v = np.asarray(b.column(0).flatten()).reshape(b.num_rows, width)
-            c = np.floor(_unit(v) @ basis / epsilon).astype(np.int64) if b.num_rows else np.zeros((0, leading), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(list(c), pa.list_(pa.int64()))], names=["node", "count", "raw", "cell"])
+            made = []
+            for v in b.column(0):
+                v = np.asarray(v.values, np.float64)
+                low = (_unit(v[None]) @ _basis(bases, len(v)))[0]
+                with np.errstate(over="ignore"):
+                    single = v.astype(np.float32)
+                made.append((single if (single == v).all() else v, np.floor(low / epsilon).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([x.dtype.itemsize for x, _ in made], pa.int32()), pa.array([len(x) for x, _ in made], pa.int32()), pa.array([c for _, c in made], pa.list_(pa.int64()))],
+                                             names=["node", "count", "raw", "bytes", "width", "cell"])
 
     def intervals(batches):
-        ids, counts, raws = [], [], []
+        from pyspark import TaskContext
+
+        part, number, held, kind = TaskContext.get().partitionId(), 0, [], None
 
         def made():
-            v = np.frombuffer(b"".join(raws), np.float64).reshape(-1, width)
-            low = _unit(v) @ basis
-            return pa.RecordBatch.from_arrays([pa.array([min(ids)], pa.int64()), pa.array([low.min(0).tolist()]), pa.array([low.max(0).tolist()]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([b"".join(raws)], pa.binary())], names=["block", "lo", "hi", "ids", "counts", "raw"])
+            ids, counts, raws = zip(*held)
+            low = _unit(_vectors(b"".join(raws), *kind)) @ _basis(bases, kind[0])
+            return pa.RecordBatch.from_arrays([
+                pa.array([part << 32 | number], pa.int64()), pa.array([part], pa.int64()), pa.array([kind[0]], pa.int32()), pa.array([kind[1]], pa.int32()), pa.array([low.min(0).tolist()]), pa.array([low.max(0).tolist()]),
+                pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(counts)], pa.list_(pa.int64())), pa.array([b"".join(raws)], pa.binary())], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for b in batches:
-            for i, c, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids.append(i), counts.append(c), raws.append(r)
-                if len(ids) >= INTERVAL:
+            for i, c, r, size, width in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if held and (len(held) >= INTERVAL or kind != (width, size)):
                     yield made()
-                    ids, counts, raws = [], [], []
-        if ids:
+                    held, number = [], number + 1
+                kind = (width, size)
+                held.append((i, c, r))
+        if held:
             yield made()
 
-    seq = own.select("key", "node", "count").mapInArrow(cells, "node long, count long, raw binary, cell array<long>")
-    parts = max(1, min(own.count() // INTERVAL, 100_000))
-    seq = seq.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell", "node").select("node", "count", "raw")
-    blocks = s.keep(seq.mapInArrow(intervals, "block long, lo array<double>, hi array<double>, ids array<long>, counts array<long>, raw binary"), f"blocks-{width}")
-
-    # pairs of intervals: a join over the cells of the first component, then the distance of whole boxes
-    cell = lambda c: F.floor(F.col(c)[0] / epsilon).cast("long")
-    box = blocks.select("block", "lo", "hi")
-    x = box.select(F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("c"))
-    y = box.select(F.col("block").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("c"))
-    gap = F.aggregate(F.zip_with(F.zip_with("alo", "bhi", lambda p, q: p - q), F.zip_with("blo", "ahi", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda t, d: t + d * d)
-    pairs = s.keep(x.join(y, "c").where((F.col("a") <= F.col("b")) & (gap <= 2 - 2 * cosine + 1e-6)).select("a", "b").distinct(), f"pairs-{width}")
-    left = blocks.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("counts").alias("a_counts"), F.col("raw").alias("a_raw"))
-    right = blocks.select(F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("counts").alias("b_counts"), F.col("raw").alias("b_raw"))
-    n = max(1, pairs.count() // PAIRS)
+    seq = nodes.select("key", "node", "count").transform(arrow, cells, "node long, count long, raw binary, bytes int, width int, cell array<long>")
+    parts = max(1, min(nodes.count() // INTERVAL, 100_000))
+    order = ["width", "bytes", "cell", "node"]
+    seq = seq.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("node", "count", "raw", "bytes", "width")
+    blocks = s.keep(seq.transform(arrow, intervals, BLOCK), "blocks")
+
+    # pairs of intervals of one width: a join over the cells of the leading components, then the distance of whole boxes
+    def boxes(x: str, more: int) -> DataFrame:
+        out = blocks.select(F.col("block").alias(x), F.col("part").alias(f"p{x}"), "width", F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}"))
+        for i in range(KEYED):
+            low, high = F.get(f"lo{x}", F.lit(i)), F.get(f"hi{x}", F.lit(i))
+            span = F.sequence(F.floor(low / epsilon).cast("long") - more, F.floor(high / epsilon).cast("long") + more)
+            out = out.withColumn(f"c{i}", F.explode(F.coalesce(span, F.array(F.lit(0).cast("long")))))  # vectors may be shorter
+        return out
+
+    gap = F.aggregate(F.zip_with(F.zip_with("loa", "hib", lambda p, q: p - q), F.zip_with("lob", "hia", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda t, d: t + d * d)
+    near = boxes("a", 1).join(boxes("b", 0), ["width", *(f"c{i}" for i in range(KEYED))]).where((F.col("a") <= F.col("b")) & (gap <= 2 - 2 * cosine + 1e-6))
+    pairs = s.keep(near.select("a", "b", "pa", "pb").distinct(), "pairs")
+    side = max(1, min(SIDE, math.isqrt(max(1, pairs.count()) // TILES)))
+    tiled = pairs.withColumn("tile", F.struct(F.floor(F.col("pa") / side).alias("x"), F.floor(F.col("pb") / side).alias("y")))
+    need = tiled.select("tile", F.explode(F.array(F.struct(F.col("a").alias("block"), F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("block"), F.col("a").alias("a"), F.col("b").alias("b")))).alias("x"))
+    need = need.groupBy("tile", "x.block").agg(F.collect_set(F.struct("x.a", "x.b")).alias("pairs"))  # as many as a tile's side has blocks
+    payload = need.join(blocks.select("block", "width", "bytes", "ids", "counts", "raw"), "block").select(F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "block", "pairs", "width", "bytes", "ids", "counts", "raw")
 
     def link(batches):
+        tile, held = None, {}
+
+        def linked():
+            todo = {(p["a"], p["b"]) for _, ps in held.values() for p in ps}
+            ready = {}
+            for a, b in sorted(todo):
+                for x in {a, b} - ready.keys():
+                    width, size, ids, counts, raw = held[x][0]
+                    ready[x] = Joiner(cosine, _basis(bases, width)).interval(ids, counts, _vectors(raw, width, size))
+                j = Joiner(cosine, _basis(bases, held[a][0][0]))
+                j.join(ready[a], ready[b])
+                keys = [*j.sums, *(u for u, _ in j.edges)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([None] * len(j.sums) + [v for _, v in j.edges], pa.int64()), pa.array([*j.sums.values()] + [None] * len(j.edges), pa.int64())], names=["a", "b", "n"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b, a_ids, a_counts, a_raw, b_ids, b_counts, b_raw = (c[i].as_py() for c in batch.columns)
-                j = Joiner(cosine, basis)
-                p = j.interval(a_ids, a_counts, a_raw, width)
-                j.join(p, p if a == b else j.interval(b_ids, b_counts, b_raw, width))
-                keys = [*j.sums, *(x for x, _ in j.edges)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([None] * len(j.sums) + [y for _, y in j.edges], pa.int64()), pa.array([*j.sums.values()] + [None] * len(j.edges), pa.int64())], names=["a", "b", "n"])
-
-    payload = pairs.join(left, "a").join(right, "b").select("a", "b", "a_ids", "a_counts", "a_raw", "b_ids", "b_counts", "b_raw")
-    return payload.repartition(n, "a", "b").mapInArrow(link, "a long, b long, n long")
+                x, y, block, ps, *rest = (c[i].as_py() for c in batch.columns)
+                if held and tile != (x, y):
+                    yield from linked()
+                    held = {}
+                tile = (x, y)
+                held[block] = (rest, ps)
+        if held:
+            yield from linked()
+
+    n = max(1, need.select("tile").distinct().count())
+    dealt = payload.repartition(min(n, 100_000), "x", "y").sortWithinPartitions("x", "y", "block")
+    return dealt.transform(arrow, link, "a long, b long, n long")
