@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filesystem
+from .common import Scratch, arrow, filesystem
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this are always stored.
@@ -46,7 +46,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     head = {
         "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name(page_id), "WARC-Date": date,
         "WARC-Target-URI": _clean(url) if url else f"urn:page:{page_id}", "WARC-Payload-Digest": _digest(payload), "WARC-Block-Digest": _digest(block),
-        "X-Payload-Length": len(payload),
     }
     if page_id is not None:
         head["X-Page-ID"] = page_id
@@ -151,13 +150,16 @@ def write(pages: DataFrame, scratch: Scratch, name: str = "archive") -> DataFram
             done.append((file, records))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in ((0, pa.string()), (1, pa.int64()))], names=["file", "records"])
 
-    return scratch.keep(marked.mapInArrow(run, "file string, records long"), f"{name}-list")
+    return scratch.keep(marked.transform(arrow, run, "file string, records long"), f"{name}-list")
 
 
 def scan(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of listed archives: one task reads an archive from its start to its end.
 
-    page_id, url, record_type, refers_to, payload_bytes, payload_digest (hex), and the payload of responses if asked for.
+    page_id, url, record_type, refers_to, payload_bytes, payload_digest (hex), and
+    the payload of responses if asked for. Length and digest of a response are
+    those of the payload read; a revisit has none, so its length is null and its
+    digest what its header says (``resolved`` settles both).
     """
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 6 + with_payload]
@@ -173,10 +175,11 @@ def scan(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFr
                 with fs.open_input_stream(f"{at}/{file}", compression=None) as stream:
                     for head, block in read(stream):
                         number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
-                        digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        row = (number("x-page-id"), head.get("warc-target-uri"), head["warc-type"], number("x-refers-to-page-id"), number("x-payload-length"), digest)
+                        own = payload(block) if head["warc-type"] == "response" else None
+                        digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex() if own is None else hashlib.sha1(own).hexdigest()
+                        row = (number("x-page-id"), head.get("warc-target-uri"), head["warc-type"], number("x-refers-to-page-id"), None if own is None else len(own), digest)
                         if with_payload:
-                            row += (payload(block) if row[2] == "response" else None,)
+                            row += (own,)
                             held += len(block)
                         made.append(row)
                         count += 1
@@ -189,10 +192,19 @@ def scan(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), types)], names=names)
 
     n = max(1, archives.count())
-    return archives.repartition(n).mapInArrow(run, schema)
+    return archives.repartition(n).transform(arrow, run, schema)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """Records with each revisit held against the response it refers to: that must be there and have the same digest; its length is the revisit's."""
+    stored = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("stored"), F.col("payload_digest").alias("of")).agg(F.min("payload_bytes").alias("length"))
+    found = records.where("record_type <> 'response'").join(stored, (F.col("refers_to") == F.col("stored")) & (F.col("payload_digest") == F.col("of")), "left")
+    length = F.coalesce("length", F.raise_error(F.lit("a revisit refers to a record that isn't there or has another digest")).cast("long"))
+    return records.where("record_type = 'response'").unionByName(found.withColumn("payload_bytes", length).select(records.columns))
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """Archive pages and read the archives back. Empty tables give an empty result."""
+    """Archive pages and read the archives back; what is returned was read. Empty tables give an empty result."""
     s = scratch or Scratch(pages.sparkSession, "warc")
-    return scan(write(pages, s), s.path("archive"), with_payload)
+    found = scan(write(pages, s), s.path("archive"), with_payload)
+    return resolved(found if with_payload else s.keep(found, "records"))

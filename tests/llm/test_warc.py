@@ -34,3 +34,13 @@ def test_round_trip(spark):
         want.append((p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if t else "response", t, None if t else data))
     assert sorted(((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to, x.payload and bytes(x.payload)) for x in got), key=str) == sorted(((a, b, c, d, e, f or (f if f is None else b"")) for a, b, c, d, e, f in want), key=str)
     assert W.round_trip(df.limit(0)).count() == 0
+
+
+def test_revisits_are_held_against_their_responses(spark):
+    fields = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
+    rows = [(2, "response", None, 1500, "aa"), (2, "response", None, 1500, "aa"), (1, "revisit", 2, None, "aa")]
+    got = W.resolved(spark.createDataFrame(rows, fields)).collect()
+    assert sorted((x.page_id, x.payload_bytes) for x in got) == [(1, 1500), (2, 1500), (2, 1500)]
+    for bad in ((1, "revisit", 3, None, "aa"), (1, "revisit", 2, None, "bb"), (1, "revisit", None, None, "aa")):
+        with pytest.raises(Exception, match="isn't there or has another digest"):
+            W.resolved(spark.createDataFrame([*rows, bad], fields)).collect()
