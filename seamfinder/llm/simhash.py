@@ -16,7 +16,6 @@ which links just what differs in two bits or fewer, in linear space.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import WORD, Scratch, arrow, components
 
 LOW_BITS = 0x5555555555555555
 #: Cells up to this size are joined pair by pair, larger ones by midpoints; the links found are the same.
@@ -57,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(arrow, run, f"id {kind}, fp long")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -135,6 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SAMPLED, COMMON = 20_000, 3
 #: Lists of texts up to this length are paired by shifts, longer ones group by group; the pairs are the same.
 SHORT = 64
+#: Segments whose shingles are counted for the lower bound (at most 256), and pairs held against it at a time.
+SEGMENTS, HELD = 128, 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -156,6 +157,33 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(29))
 
 
+def segments(s: np.ndarray) -> bytes:
+    """How many shingles of a set are in each segment of the hashes, a byte each (255 for more)."""
+    of = (s >> np.uint64(56)).astype(np.int64) * SEGMENTS >> 8
+    return np.minimum(np.bincount(of, minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
+
+
+def _close(v: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the Manhattan distance of the counts lets sets be similar; it never exceeds the number of shingles that one of them alone has."""
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), HELD):
+        x, y = i[at : at + HELD], j[at : at + HELD]
+        a, b = v[x], v[y]
+        out[at : at + HELD] = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int32) <= _apart(n[x], n[y], similarity)
+    return out
+
+
+def packed(s: np.ndarray) -> bytes:
+    """The leading 48 bits of the hashes of a set."""
+    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def prefix(s: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The first shingles of a set, in the order of rare ones first: sets at the similarity share one of them.
 
@@ -170,13 +198,18 @@ def prefix(s: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarr
     return s[np.lexsort((s, rank))[:most]] if n else s
 
 
+def _apart(na, nb, similarity: float):
+    """The most shingles that are in one of two similar sets alone."""
+    return (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-9
+
+
 def _could(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets whose first common shingle is at these positions can be similar, by their sizes and what comes after it."""
     need = np.ceil((n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-9)
     return (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
 
 
-def _jumps(token, node, n, pos, root, similarity):
+def _jumps(token, n, pos, node, root, similarity):
     """Pairs (i, j) at distances that are powers of two within the lists of equal tokens."""
     d = 1
     while d < len(token):
@@ -187,7 +220,7 @@ def _jumps(token, node, n, pos, root, similarity):
         d *= 2
 
 
-def _across(token, node, n, pos, root, similarity):
+def _across(token, n, pos, node, root, similarity):
     """All pairs (i, j) within the lists of equal tokens whose roots differ; lists are sorted by size."""
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[start, len(token)])
@@ -208,20 +241,23 @@ def _across(token, node, n, pos, root, similarity):
 
 
 def _pairs(lists: DataFrame, how, similarity: float) -> DataFrame:
-    """Distinct candidates (a, b) of nodes from lists (token, node, n, pos[, root]), by ``how``."""
+    """Distinct candidates (a, b) of nodes from lists (token, n, pos, node, root, v), sorted by size, by ``how`` and within the bound of their counts."""
 
     def run(batches):
-        for cols in _whole(batches):
-            token, node, n, pos = cols[:4]
-            root = cols[4] if len(cols) > 4 else node
+        for token, n, pos, node, root, v in _whole(batches):
             held, made = [], 0
-            for i, d in how(token, node, n, pos, root, similarity):
-                x, y = np.broadcast_arrays(node[i], node[i + d])
+            for i, d in how(token, n, pos, node, root, similarity):
+                i, j = np.broadcast_arrays(i, i + d)
+                near = _close(v, n, i, j, similarity)
+                x, y = node[i[near]], node[j[near]]
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 made += len(x)
                 if made > 1 << 18:
-                    yield batch(held)
-                    held, made = [], 0
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    made = len(held[0])
+                    if made > 1 << 17:
+                        yield batch(held)
+                        held, made = [], 0
             yield batch(held)
 
     def batch(found):
@@ -229,7 +265,8 @@ def _pairs(lists: DataFrame, how, similarity: float) -> DataFrame:
         p = p[p[:, 0] < p[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    return lists.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    fields = lists.select("token", "n", "pos", "node", "root", "v")
+    return fields.repartition("token").sortWithinPartitions("token", "n", "node").transform(arrow, run, "a long, b long").distinct()
 
 
 def _whole(batches):
@@ -238,7 +275,7 @@ def _whole(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        now = [np.asarray(c) for c in b.columns]
+        now = [_counts(c) if pa.types.is_binary(c.type) else np.asarray(c) for c in b.columns]
         last = int(np.searchsorted(now[0], now[0][-1]))
         if last:
             yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in now])]
@@ -252,43 +289,49 @@ def _whole(batches):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
-    """(id, component) for every row of docs: components of all pairs of texts whose sets of k-word shingles have that Jaccard similarity.
+def _counts(c: pa.Array) -> np.ndarray:
+    """A column of counts by segment as rows."""
+    at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+    return np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, SEGMENTS)
 
-    An exact join: sets at the similarity share a shingle among the first ones
-    of each in any common order (rare ones first here, so that boilerplate
-    makes no candidates), and every candidate is decided by its sets. Groups
-    of near copies would be quadratic in candidates; so lists of texts are
-    first linked at distances of powers of two, and then only pairs across the
-    components found by that are looked at. Null and empty texts are one
-    group; null ids get their group's smallest id.
-    """
-    s = scratch or Scratch(docs.sparkSession, "similar")
-    kind = dict(docs.select(id_col).dtypes)[id_col]
 
-    def named(batches):
+def _alike(pairs: DataFrame, of: DataFrame, similarity: float, s: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the sets themselves; of: (node, n, v, s)."""
+
+    def side(x: str) -> DataFrame:
+        return of.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+
+    def same(batches):
         for b in batches:
-            node = [int.from_bytes(hashlib.blake2b(shingles(t.as_py(), k).tobytes(), digest_size=8).digest(), "little", signed=True) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], names=["id", "text", "node"])
+            keep = []
+            for na, sa, nb, sb in zip(*(b.column(i).to_pylist() for i in range(4))):
+                both = len(np.intersect1d(unpacked(sa), unpacked(sb), assume_unique=True))
+                keep.append(na + nb - 2 * both <= _apart(na, nb, similarity))
+            yield pa.RecordBatch.from_arrays(b.columns[4:], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(named, f"id {kind}, text string, node long")
-    given = s.keep(given, "given")
-    nodes = s.keep(given.groupBy("node").agg(F.min("id").alias("own")), "nodes")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("na", "sa", "nb", "sb", "a", "b")
+    return s.keep(both.transform(arrow, same, "a long, b long"), name)
 
-    def sets(batches):
-        seen = set()
+
+def _node(text_col: str):
+    """64 bits of a digest stand for a text; all texts without words are one."""
+    t = F.col(text_col)
+    return F.conv(F.substring(F.sha2(F.when(t.rlike(WORD), t).otherwise(""), 256), 1, 16), 16, -10).cast("long")
+
+
+def _sets(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lists, of): the lists of texts (token, node, n, pos) that share a shingle of their prefixes, and the sets (node, n, v, s) of those texts."""
+    given = docs.select(_node(text_col).alias("node"), F.col(text_col).alias("text"))
+    one_in = max(1, docs.count() // SAMPLED)
+    sample = given.where(F.pmod("node", F.lit(one_in)) == 0).dropDuplicates(["node"])
+
+    def all_of(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                made = {}
-                for node, t in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256)):
-                    if node not in seen:
-                        made[node] = shingles(t.as_py(), k).view(np.int64)
-                        seen.add(node)
-                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(list(made.values()), pa.list_(pa.int64()))], names=["node", "s"])
-
-    one_in = max(1, nodes.count() // SAMPLED)
-    sample = given.where(F.pmod("node", F.lit(one_in)) == 0).select("node", "text").dropDuplicates(["node"])
-    counted = sample.mapInArrow(sets, "node long, s array<long>").select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON)
+            for at in range(0, b.num_rows, 64):
+                made = [shingles(t.as_py(), k).view(np.int64) for t in b.column(1).slice(at, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made))], names=["token"])
+
+    counted = sample.transform(arrow, all_of, "token long").groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON)
     table = counted.orderBy(F.desc("often"), "token").limit(10 * SAMPLED).toPandas()
     common, often = table["token"].to_numpy(np.int64).view(np.uint64), table["often"].to_numpy(np.int64)
     order = np.argsort(common)
@@ -303,9 +346,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                     if node in seen:
                         continue
                     seen.add(node)
-                    all_of = shingles(t.as_py(), k)
-                    first = prefix(all_of, similarity, common, often)
-                    made.append((first.view(np.int64), np.full(len(first), node, np.int64), np.full(len(first), len(all_of), np.int32), np.arange(len(first), dtype=np.int32)))
+                    own = shingles(t.as_py(), k)
+                    first = prefix(own, similarity, common, often)
+                    made.append((first.view(np.int64), np.full(len(first), node, np.int64), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32)))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["token", "node", "n", "pos"])
 
@@ -313,35 +356,77 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         for cols in _whole(batches):
             new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
             cols = [c[new] for c in cols]
-            same = cols[0][1:] == cols[0][:-1]
-            more = np.r_[same, False] | np.r_[False, same]
+            equal = cols[0][1:] == cols[0][:-1]
+            more = np.r_[equal, False] | np.r_[False, equal]
             yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in cols], names=["token", "node", "n", "pos"])
 
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                own = [shingles(t.as_py(), k) for t in b.column(1).slice(at, 64)]
+                cols = [pa.array([len(x) for x in own], pa.int32()), pa.array(map(segments, own), pa.binary()), pa.array(map(packed, own), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), *cols], names=["node", "n", "v", "s"])
+
     fields = "token long, node long, n int, pos int"
-    lists = s.keep(given.select("node", "text").mapInArrow(listed, fields).repartition("token").sortWithinPartitions("token", "node").mapInArrow(several, fields), "lists")
+    lists = s.keep(given.transform(arrow, listed, fields).repartition("token").sortWithinPartitions("token", "node").transform(arrow, several, fields), "lists")
     s.release()
-    of = s.keep(given.select("node", "text").join(lists.select("node").distinct(), "node", "left_semi").mapInArrow(sets, "node long, s array<long>"), "sets")
+    met = given.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    of = s.keep(met.select("node", "text").transform(arrow, sets, "node long, n int, v binary, s binary"), "sets")
     s.release()
+    return lists, of
+
+
+def _roots(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch) -> DataFrame:
+    """(x, r): the nodes that are similar to another, and the smallest node of their components."""
+    lists, of = _sets(docs, text_col, k, similarity, s)
+    counted = s.keep(lists.join(of.select("node", "v"), "node"), "counted")
+    s.drop("lists")
+    edges, part = None, None
+    for i, how in enumerate((_jumps, _across)):
+        rooted = counted.withColumn("root", F.col("node")) if part is None else counted.join(part, counted.node == part.x, "left").withColumn("root", F.coalesce("r", "node"))
+        met = s.keep(_pairs(rooted, how, similarity), f"met-{i}")
+        found = _alike(met, of, similarity, s, f"near-{i}")
+        edges = found if edges is None else edges.unionByName(found)
+        part = s.keep(components(edges, s, f"part-{i}").toDF("x", "r"), f"roots-{i}")
+        s.release()
+    s.drop("counted", "sets", *(f"{x}-{i}" for i in range(2) for x in ("met", "near")))
+    return part
 
-    def alike(pairs):
-        x, y = of.select(F.col("node").alias("a"), F.col("s").alias("sa")), of.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-        return both.where(F.col("both") / (F.col("n") - F.col("both")) >= similarity).select("a", "b")
 
-    near = s.keep(alike(s.keep(_pairs(lists, _jumps, similarity), "jumps")), "near")
-    part = components(near, s, "part").withColumnRenamed("node", "x").withColumnRenamed("root", "r")
-    rooted = lists.join(part, lists.node == part.x, "left").select("token", "node", "n", "pos", F.coalesce("r", "node").alias("root"))
-    rest = s.keep(alike(s.keep(_pairs(rooted, _across, similarity), "across")), "rest")
-    root = components(near.unionByName(rest), s).withColumnRenamed("node", "x")
-    group = nodes.join(root, nodes.node == root.x, "left").select("node", "own", F.coalesce("root", "node").alias("root"))
-    best = group.groupBy("root").agg(F.min("own").alias("component"))
-    label = s.keep(group.join(best, "root").select("node", "component"), "label")
-    return given.select("id", "node").join(label, "node").select("id", "component")
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """(id, component) for every row of docs: components of all pairs of texts whose sets of k-word shingles have that Jaccard similarity.
+
+    An exact join: sets at the similarity share a shingle among the first ones
+    of each in any common order (rare ones first here, so that boilerplate
+    makes no candidates), and every candidate is decided by its sets. Groups
+    of near copies would be quadratic in candidates; so lists of texts are
+    first linked at distances of powers of two, and then only pairs across the
+    components found by that are looked at, all of them. Null and empty texts
+    are one group; null ids get their group's smallest id.
+    Repeated rows stay, an empty table gives an empty result, and other
+    columns aren't read.
+    """
+    s = scratch or Scratch(docs.sparkSession, "similar")
+    given = docs.select(F.col(id_col).alias("id"), _node(text_col).alias("node"))
+    root = _roots(docs, text_col, k, similarity, s)
+    of = given.join(root, given.node == root.x, "left").select("id", F.coalesce("r", "node").alias("root"))
+    return of.join(of.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest id stays (one of them, should it be repeated); rows with a null id stay."""
+    """docs without near-duplicates: of each group one row stays, that with the smallest id (null ids come last).
+
+    Of rows that repeat an id with texts of one group, one stays; with texts
+    of two groups, one of each. Null and empty texts are one group. An empty
+    table gives an empty result; columns of any names pass through.
+    """
     s = Scratch(docs.sparkSession, "similar")
-    first = s.keep(similar(docs, id_col, text_col, k, similarity, s).where("id = component").select(F.col("id").alias("first")).distinct(), "first")
-    named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("first"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    given = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _node(text_col).alias("node"))
+    key = F.struct(F.isnull("id").alias("nameless"), "id").alias("key")
+    nodes = given.groupBy("node").agg(F.min(key).alias("own"))
+    root = _roots(docs, text_col, k, similarity, s)
+    best = nodes.join(root, nodes.node == root.x, "left").groupBy(F.coalesce("r", "node").alias("root")).agg(F.min(F.struct("own", "node")).alias("best"))
+    first = s.keep(best.select(F.col("best.node").alias("kept"), F.col("best.own").alias("of")), "first")
+    s.release()
+    named = given.withColumn("key", key).join(first, (F.col("node") == F.col("kept")) & (F.col("key") == F.col("of")), "left_semi")
+    return named.dropDuplicates(["node", "key"]).select("row.*")

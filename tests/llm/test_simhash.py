@@ -147,6 +147,29 @@ def test_similar_in_crowds(spark):
     assert len(rows) > len(set(want.values())) > 150
 
 
+def test_bounds_of_pairs():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        both, a, b = (np.unique(r.integers(0, 2**64, m, np.uint64)) for m in (r.integers(0, 400), r.integers(0, 90), r.integers(0, 90)))
+        x, y = np.unique(np.r_[both, a]), np.unique(np.r_[both, b])
+        v = np.stack([np.frombuffer(S.segments(s), np.uint8) for s in (x, y)])
+        n = np.array([len(x), len(y)], np.int32)
+        apart = len(np.setxor1d(x, y))
+        assert np.abs(v[0].astype(int) - v[1]).sum() <= apart and v[0].sum() == len(x)
+        if apart <= S._apart(*n, 0.8):
+            assert S._close(v, n, np.array([0]), np.array([1]), 0.8).all()
+        assert len(np.intersect1d(S.unpacked(S.packed(x)), S.unpacked(S.packed(y)))) == len(np.intersect1d(x, y))
+
+
+def test_keep_first_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a + " x"), (None, "alone here"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as first", "2 as node", "3 as key", "4 as kept", "5 as row")
+    got = S.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(1, a), (1, b), (None, "alone here"), (3, None)], key=str)
+
+
 @pytest.mark.parametrize("short", [1, 1000])
 def test_pairs_across_groups(short, monkeypatch):
     monkeypatch.setattr(S, "SHORT", short)
@@ -155,6 +178,6 @@ def test_pairs_across_groups(short, monkeypatch):
     n, node = r.integers(80, 120, 300).astype(np.int32), r.permutation(300)
     order = np.lexsort((node, n, token))
     token, n, node, pos, root = token[order], n[order], node[order], np.zeros(300, np.int32), node[order] % 4
-    got = {tuple(sorted((x, y))) for i, d in S._across(token, node, n, pos, root, 0.8) for x, y in zip(*np.broadcast_arrays(node[i], node[i + d]))}
+    got = {tuple(sorted((x, y))) for i, d in S._across(token, n, pos, node, root, 0.8) for x, y in zip(*np.broadcast_arrays(node[i], node[i + d]))}
     want = {tuple(sorted((node[i], node[j]))) for i in range(300) for j in range(i) if token[i] == token[j] and root[i] != root[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
     assert got == want
