@@ -15,7 +15,7 @@ def test_like_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     c.execute(ORACLE_SQL[name])
     names = [x[0] for x in c.description]
