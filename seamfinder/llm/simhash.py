@@ -134,6 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SAMPLED, COMMON = 20_000, 3
 #: Lists of texts up to this length are paired by shifts, longer ones group by group; the pairs are the same.
 SHORT = 64
+#: Lists that begin with the same text go to one task, so that pairs that they all make are made once; those that are longer than this go to several.
+TOGETHER = 256
 #: Segments whose shingles are counted for the lower bound (at most 256), and pairs held against it at a time.
 SEGMENTS, HELD = 128, 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -241,11 +243,11 @@ def _across(token, n, pos, node, root, similarity):
 
 
 def _pairs(lists: DataFrame, how, similarity: float) -> DataFrame:
-    """Distinct candidates (a, b) of nodes from lists (token, n, pos, node, root, v), sorted by size, by ``how`` and within the bound of their counts."""
+    """Distinct candidates (a, b) of nodes from lists (token, n, pos, node, root, v, route), sorted by size, by ``how`` and within the bound of their counts."""
 
     def run(batches):
+        held, made = [], 0
         for token, n, pos, node, root, v in _whole(batches):
-            held, made = [], 0
             for i, d in how(token, n, pos, node, root, similarity):
                 i, j = np.broadcast_arrays(i, i + d)
                 near = _close(v, n, i, j, similarity)
@@ -258,15 +260,15 @@ def _pairs(lists: DataFrame, how, similarity: float) -> DataFrame:
                     if made > 1 << 17:
                         yield batch(held)
                         held, made = [], 0
-            yield batch(held)
+        yield batch(held)
 
     def batch(found):
         p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         p = p[p[:, 0] < p[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    fields = lists.select("token", "n", "pos", "node", "root", "v")
-    return fields.repartition("token").sortWithinPartitions("token", "n", "node").transform(arrow, run, "a long, b long").distinct()
+    dealt = lists.repartition("route").sortWithinPartitions("token", "n", "node").select("token", "n", "pos", "node", "root", "v")
+    return dealt.transform(arrow, run, "a long, b long").distinct()
 
 
 def _whole(batches):
@@ -320,7 +322,7 @@ def _node(text_col: str):
 
 
 def _sets(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lists, of): the lists of texts (token, node, n, pos) that share a shingle of their prefixes, and the sets (node, n, v, s) of those texts."""
+    """(lists, of): the lists of texts (token, node, n, pos, route) that share a shingle of their prefixes, and the sets (node, n, v, s) of those texts."""
     given = docs.select(_node(text_col).alias("node"), F.col(text_col).alias("text"))
     one_in = max(1, docs.count() // SAMPLED)
     sample = given.where(F.pmod("node", F.lit(one_in)) == 0).dropDuplicates(["node"])
@@ -356,9 +358,12 @@ def _sets(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch)
         for cols in _whole(batches):
             new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
             cols = [c[new] for c in cols]
-            equal = cols[0][1:] == cols[0][:-1]
-            more = np.r_[equal, False] | np.r_[False, equal]
-            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in cols], names=["token", "node", "n", "pos"])
+            start = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            length = np.diff(np.r_[start, len(cols[0])])
+            parts = (1 + length // TOGETHER).astype(np.uint64)
+            route = cols[1][start] ^ ((cols[0][start].view(np.uint64) * _M1 >> np.uint64(32)) % parts * _M2).view(np.int64)
+            more = np.repeat(length > 1, length)
+            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in [*cols, np.repeat(route, length)]], names=["token", "node", "n", "pos", "route"])
 
     def sets(batches):
         for b in batches:
@@ -368,7 +373,7 @@ def _sets(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), *cols], names=["node", "n", "v", "s"])
 
     fields = "token long, node long, n int, pos int"
-    lists = s.keep(given.transform(arrow, listed, fields).repartition("token").sortWithinPartitions("token", "node").transform(arrow, several, fields), "lists")
+    lists = s.keep(given.transform(arrow, listed, fields).repartition("token").sortWithinPartitions("token", "node").transform(arrow, several, fields + ", route long"), "lists")
     s.release()
     met = given.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     of = s.keep(met.select("node", "text").transform(arrow, sets, "node long, n int, v binary, s binary"), "sets")
