@@ -38,7 +38,7 @@ def blocks(files: DataFrame) -> DataFrame:
                 lines, found = (content or "").split("\n"), segment(content or "", ext or "")
                 for i, b in enumerate(found):
                     up = found[b.parent] if b.parent >= 0 else None
-                    rows.append((path, i, b.start, b.end, b.first, b.kind, b.name, up and up.name, up and up.kind, up and up.start, up and up.end, b.is_test, "\n".join(lines[b.start - 1 : b.end])))
+                    rows.append((path, i, b.start, b.end, b.first, b.kind, b.name or None, up and up.name or None, up and up.kind, up and up.start, up and up.end, b.is_test, "\n".join(lines[b.start - 1 : b.end])))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
             yield out.astype({"parent_start": "Int32", "parent_end": "Int32"})
 

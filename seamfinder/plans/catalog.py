@@ -452,7 +452,7 @@ class Store extends Base {
 @slow
 def test_load():
     assert Loader().load('loadUsers')
-""", [(1, 8, "class_definition", "Loader", None, False), (3, 5, "function_definition", "load", "Loader", False), (7, 8, "function_definition", "close", "Loader", False), (12, 13, "function_definition", "test_load", None, True)]),
+""", [(1, 8, "class_definition", "Loader", None, False), (3, 5, "function_definition", "load", "Loader", False), (7, 8, "function_definition", "close", "Loader", False), (11, 13, "decorated_definition", None, None, True), (12, 13, "function_definition", "test_load", None, True)]),
     ("go", """package main
 
 func main() {
@@ -496,7 +496,7 @@ public class Loader<T> extends Base {
     for (int i = 0; i < 3; i++) { go(); }
   }
 }
-""", [(3, 10, "class_declaration", "Loader", None, False), (5, 5, "constructor_declaration", "Loader", "Loader", False), (6, 9, "method_declaration", "load", "Loader", True)]),
+""", [(3, 10, "class_declaration", "Loader", None, False), (4, 4, "field_declaration", "x", "Loader", False), (5, 5, "constructor_declaration", "Loader", "Loader", False), (6, 9, "method_declaration", "load", "Loader", True)]),
     ("rb", """class Greeter
   def hello(name)
     if name
@@ -548,6 +548,62 @@ p as (select path, content, s, node_type, greatest(1, lo + case when node_type =
 select path, "start", "end", node_type, {_CODE} from p"""
 
 
+#: Texts made from units, by extension: header; what a unit has before its body, a line of the body, what it has after it; footer; the block around all (kind, name, first line of the header); the blocks of a unit (kind, name, first line, lines that are left below its end, parent, is it a test), names being followed by the unit's number. Each unit holds something that isn't what it looks like.
+UNITS = [
+    ("rs", "/* outer /* inner { */ still */\nimpl Keeper {\n", "    // unit\n    pub fn run_§(&self, x: &'static str) -> char {\n        let s = r#\"fn no() { \"#;\n", "        self.go('{', '\"');\n", "        fn deep_§() { }\n    }\n    #[test]\n    fn check_§() {}\n", "}\n", ("impl_item", "Keeper", 2), [("function_item", "run_", 2, 2, "Keeper", False), ("function_item", "deep_", -4, 3, "run_§", False), ("function_item", "check_", -1, 0, "Keeper", True)]),
+    ("js", "import x from 'y';\nexport default class extends Base {\n", "  // unit\n  run_§(a, b) {\n    const q = a.replace(/[{/]/g, `t ${b ? `{${a}` : '}'} {`);\n", "    this.go(a / 2 / b, \"}\");\n", "  }\n  later_§ = async (e) => {\n    return { m_§(z) { return z; } };\n  }\n", "}\n", ("class_declaration", "default", 2), [("method_definition", "run_", 2, 3, "default", False), ("arrow_function", "later_", -3, 0, "default", False), ("method_definition", "m_", -2, 1, "later_§", False)]),
+    ("ts", "import z from 'z';\nnamespace Units {\n", "  export interface Shape_§ { a: number; b: { c: string } }\n  export function test_§<T>(a: T): T {\n", "    call(() => { return a; });\n", "    return a;\n  }\n  type Either_§ = string | number;\n", "}\n", ("namespace_declaration", "Units", 2), [("interface_declaration", "Shape_", 1, None, "Units", False), ("function_declaration", "test_", 2, 1, "Units", True), ("type_alias_declaration", "Either_", -1, 0, "Units", False)]),
+    ("py", "import x\nclass Units(Base):\n", "    \"\"\"def no():\n    class No: \"\"\"\n    @slow(\n        1)\n    def run_§(self, a=(\n1, 2)):\n", "        x = [1,\n2]  # def no2():\n", "        def deep_§(): pass\n", "other = 1\n", ("class_definition", "Units", 2), [("decorated_definition", None, 3, 0, "Units", False), ("function_definition", "run_", 5, 0, "Units", False), ("function_definition", "deep_", -1, 0, "run_§", False)]),
+    ("go", "package units\n\nimport \"fmt\"\n", "// unit\nfunc (u *Unit) Run_§(a int) error {\n", "\tfmt.Println(`{ \" `, '{', \"}\")\n", "\ttype local_§ struct {\n\t\ta int\n\t}\n\treturn nil\n}\ntype Alias_§ int\nfunc Test_§(t *testing.T) {}\n", "", None, [("method_declaration", "Run_", 2, 2, None, False), ("type_declaration", "local_", -7, 4, "Run_§", False), ("type_declaration", "Alias_", -2, 1, None, False), ("function_declaration", "Test_", -1, 0, None, True)]),
+    ("c", "#include <a.h>\n#define OPEN {\n", "#ifdef WIDE_§\nint run_§(int a, int b) {\n#else\nint run_§(int a) {\n#endif\n", "  if (a == '{') { go(\"}\\\"{\"); } /* { */\n", "  return 0;\n}\nstatic int count_§ = 0;\nenum kind_§ { ONE, TWO };\n", "", None, [("function_definition", "run_", 2, 2, None, False), ("declaration", "count_", -2, 1, None, False), ("enum_specifier", "kind_", -1, 0, None, False)]),
+    ("cpp", "namespace a::units {\nclass Keeper final : public Base {\npublic:\n", "  // unit\n  int run_§(const char *x) const {\n    auto s = R\"x({ )\" )x\";\n", "    for (int i = 0; i < 1'000; ++i) { go('}'); }\n", "    return 0;\n  }\n  int field_§;\n", "};\n}\n", ("namespace_definition", "a::units", 1), [("function_definition", "run_", 2, 1, "Keeper", False)]),
+    ("java", "package a;\npublic class Units<T> extends Base {\n", "  /** unit { */\n  @Test\n  public void run_§(int a) throws E {\n", "    go(\"\"\"\n  } \" {\n\"\"\");\n", "    Runnable r = new Runnable() {\n      public void inner_§() { }\n    };\n  }\n  private int field_§ = '}';\n", "}\n", ("class_declaration", "Units", 2), [("method_declaration", "run_", 2, 1, "Units", True), ("method_declaration", "inner_", -4, 3, "run_§", True), ("field_declaration", "field_", -1, 0, "Units", False)]),
+    ("cs", "using System;\n#if A\nclass Units : Base {\n#else\nclass Units {\n#endif\n", "  // unit\n  public string Name_§ => $\"{{ {x[\"}\"]} {{\";\n  [Fact]\n  public int Run_§(int a) {\n", "    Go(@\"c:\\\"\"{\", '}');\n", "    return 0;\n  }\n  public int P_§ { get; set; }\n", "}\n", ("class_declaration", "Units", 3), [("property_declaration", "Name_", 2, None, "Units", False), ("method_declaration", "Run_", 3, 1, "Units", True), ("property_declaration", "P_", -1, 0, "Units", False)]),
+    ("rb", "require 'x'\nclass Units < Base\n", "  # def no\n  def run_§(a)\n    text = <<~EOS\n      end\n      def no #{a}\n    EOS\n", "    a.each do |x|\n      y = if x =~ /end \\/ {/ then %w[end def] end\n    end\n", "  end\n  def self.make_§; end\n", "end\n", ("class", "Units", 2), [("method", "run_", 2, 1, "Units", False), ("singleton_method", "make_", -1, 0, "Units", False)]),
+    ("php", "<b>{ function no() {</b>\n<?php\nclass Units {\n", "  // unit {\n  public function testRun_§(int $a): int {\n    $x = <<<EOT\n  } $a\nEOT;\n", "    if ($a) { go('{', \"}\"); } # }\n", "    return 0;\n  }\n  private function other_§() {}\n", "}\n?>\n<i>}</i>\n", ("class_declaration", "Units", 3), [("method_declaration", "testRun_", 2, 1, "Units", True), ("method_declaration", "other_", -1, 0, "Units", False)]),
+    ("swift", "import X\nclass UnitsTests: XCTestCase {\n", "  /* a /* { */ } */\n  let limit_§ = 1\n  func run_§(a: Int)\n    -> Int {\n", "    go(\"\\(a + f(\"}\")) {\", { b in b })\n", "    let own = 2\n    return a\n  }\n", "}\n", ("class_declaration", "UnitsTests", 2), [("constant_declaration", "limit_", 2, None, "UnitsTests", True), ("function_declaration", "run_", 3, 0, "UnitsTests", True)]),
+]
+_height = lambda t: t.count("\n")
+
+
+def _unit_rows() -> tuple[list, list]:
+    """For each extension its heights, and its blocks: (k, kind, name, first line and last line of the unit without its body, lines from its top; whether either is below the body; parent, is_test)."""
+    sizes, rows = [], []
+    for k, (ext, head, pre, body, post, foot, _, units) in enumerate(UNITS):
+        above, below = _height(pre), _height(post)
+        sizes.append((k, ext, _height(head), above, _height(body), below, _height(foot)))
+        for kind, name, first, left, parent, test in units:
+            start = (above + below + first + 1, True) if first < 0 else (first, False)  # counted from the unit's end, or from its top
+            end = start if left is None else (above + below - left, True)
+            rows.append((k, kind, name, start[0], start[1], end[0], end[1], parent, test))
+    return sizes, rows
+
+
+_SIZES, _UNIT_BLOCKS = _unit_rows()
+_AROUND = [(k, *u[6]) for k, u in enumerate(UNITS) if u[6]] + [(6, "class_specifier", "Keeper", 2)]
+#: Of each document its language (by turns), units (1 to 8), lines of a unit's body (0 to 5) and empty lines above.
+_MADE = ("doc_id % {0} as k, doc_id // {0} % 8 + 1 as n, doc_id // {1} % 6 as b, doc_id // {2} % 5 as s".format(len(UNITS), 8 * len(UNITS), 48 * len(UNITS)))
+
+
+def units_of(spark: SparkSession, d: str) -> DataFrame:
+    """A source text for every document, by its number alone."""
+    texts = spark.createDataFrame([(k, *u[:6]) for k, u in enumerate(UNITS)], "k long, ext string, head string, pre string, body string, post string, foot string")
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null").selectExpr("doc_id", *_MADE.replace(" // ", " div ").split(", "))
+    unit = F.expr("array_join(transform(sequence(1, cast(n as int)), i -> replace(concat(pre, repeat(body, cast(b as int)), post), '§', cast(i as string))), '')")
+    return docs.join(F.broadcast(texts), "k").select(F.concat(F.lit("src/u"), F.col("doc_id"), F.lit("."), F.col("ext")).alias("path"), "ext", F.concat(F.expr("repeat('\n', cast(s as int))"), "head", unit, "foot").alias("content"))  # a text for each entry of UNITS
+
+
+@query(f"""with sizes(k, ext, head, above, body, below, foot) as (values {_rows(_SIZES)}), around(k, node_type, name, line) as (values {_rows(_AROUND)}),
+units(k, node_type, name, lo, lo_below, hi, hi_below, parent, is_test) as (values {_rows(_UNIT_BLOCKS)}),
+d as (select 'src/u' || doc_id || '.' || ext as path, ext, m.*, head, above, body, below, foot, above + b * body + below as size from (select doc_id, {_MADE} from documents) m join sizes using (k)),
+per as (select path, u.*, s + head + (i - 1) * size as top, b * body as more, i from d join units u using (k), unnest(range(1, n + 1)) t(i))
+select path, (s + line)::int as "start", (s + head + n * size + case when foot = 0 then 0 when ext = 'py' then 0 when ext = 'php' or node_type = 'class_specifier' then 1 else foot end)::int as "end", node_type, name, case when node_type = 'class_specifier' then 'a::units' end as parent, ext = 'swift' as is_test from d join around using (k)
+union all select path, (top + lo + case when lo_below then more else 0 end)::int, (top + hi + case when hi_below then more else 0 end)::int, node_type, name || i, replace(parent, '§', i::varchar), is_test from per""")
+def blocks_of_units(spark, d):
+    """Blocks of as many different texts as there are documents, in all languages; the SQL works them out from the texts' making."""
+    return blocks.blocks(units_of(spark, d)).select("path", "start", "end", "node_type", "name", "parent", "is_test")
+
+
 @query(_SOURCE_SQL + f" select path, {_SHIFTED}, node_type, name, parent, is_test from sources join blocks b using (k)")
 def blocks_by_language(spark, d):
     return blocks.blocks(sources_of(spark, d)).select("path", "start", "end", "node_type", "name", "parent", "is_test")
