@@ -63,7 +63,12 @@ def _compound(word: str, parts=PARTS) -> list[str]:
 @functools.lru_cache(maxsize=400_000)
 def _tokens(raw: str) -> tuple[str, ...]:
     """What one run of letters and digits becomes, wherever it stands."""
-    out: list[str] = []
+    return tuple(t for _, tokens in _parts(raw) for t in tokens)
+
+
+def _parts(raw: str) -> list[tuple[str, list[str]]]:
+    """The parts of a run that count, in lower case, with the tokens of each."""
+    out: list[tuple[str, list[str]]] = []
     low = raw.lower()
     for piece in [low] if low in WHOLE else [p.lower() for p in _EDGES.split(raw) if p]:
         if piece in STOP_WORDS or piece in CODE_STOP_WORDS or (piece.isdecimal() and len(piece) < 3 and int(piece) <= 10):
@@ -71,8 +76,18 @@ def _tokens(raw: str) -> tuple[str, ...]:
         for part in [piece] if piece in WHOLE else _compound(piece):
             if part in STOP_WORDS:
                 continue
-            out += [part, stem(part)] if part in WHOLE else [stem(part)]
-    return tuple(out)
+            out.append((part, [part, stem(part)] if part in WHOLE else [stem(part)]))
+    return out
+
+
+def forms(text: str) -> dict[str, set[str]]:
+    """For each token of a text the words, in lower case, that it comes from."""
+    out: dict[str, set[str]] = {}
+    for raw in _RUNS.findall(text):
+        for part, tokens in _parts(raw):
+            for t in tokens:
+                out.setdefault(t, set()).add(part)
+    return out
 
 
 def tokenize(text: str | None, distinct: bool = True) -> list[str]:

@@ -20,12 +20,12 @@ def occurrences(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == F.lit(term)))
 
 
-def bm25(blocks: DataFrame, e: Expr, tokens: str | None = "tokens", text: str | None = None, k1: float = K1, b: float = B, set_tf: bool = False, corpus_wide: bool = False) -> DataFrame:
+def bm25(blocks: DataFrame, e: Expr, tokens: str | None = "tokens", text: str | None = None, k1: float = K1, b: float = B, set_tf: bool = False, corpus_wide: bool = False, stats: dict[str, float] | None = None) -> DataFrame:
     """blocks that match, with a score.
 
     Candidates are blocks with some keyword (all blocks if the query only
     excludes); N, df and the mean length are over candidates, or over all
-    blocks if corpus_wide. tokens: a column of words; None counts the words of
+    blocks if corpus_wide, or given as ``stats`` (n, avgdl, df_0, ...). tokens: a column of words; None counts the words of
     ``text`` where they stand. set_tf: a repeated word counts once. Null texts
     have no words, repeated blocks count as often as they are there, an empty
     table gives an empty result, and blocks may have columns of any names (a
@@ -54,8 +54,9 @@ def bm25(blocks: DataFrame, e: Expr, tokens: str | None = "tokens", text: str |
     some = compile_match(e, has)
     any_hit = F.lit(only_excludes) | some_of([F.col(f"tf_{i}") > 0 for i in range(len(terms))])
     candidates = raw if corpus_wide else raw.where(any_hit)
-    stats = candidates.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), *[F.count(F.when(F.col(f"tf_{i}") > 0, 1)).cast("double").alias(f"df_{i}") for i in range(len(terms))])
-    joined = raw.where(any_hit & some).crossJoin(F.broadcast(stats))  # one row
+    counted = candidates.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), *[F.count(F.when(F.col(f"tf_{i}") > 0, 1)).cast("double").alias(f"df_{i}") for i in range(len(terms))])
+    joined = raw.where(any_hit & some)
+    joined = joined.crossJoin(F.broadcast(counted)) if stats is None else joined.withColumns({k: F.lit(float(v)) for k, v in stats.items()})  # one row
 
     def score(k: str) -> Column:
         i = terms.index(k)

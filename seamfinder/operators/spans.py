@@ -23,6 +23,61 @@ def merge(ranges: DataFrame, key: str = "path", gap: int | str = 0, **aggregates
     return islands(ranges, key, gap).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("parts"), *[v.alias(k) for k, v in aggregates.items()]).drop("island")
 
 
+#: Lines between two ranges up to which they are merged, and lines of a gap from which it is left out.
+APART, LEFT_OUT = 5, 10
+_CALLABLE = ("function", "method", "fn", "func")
+
+
+def apart(a: tuple[int, int, str], b: tuple[int, int, str], most: int = APART) -> bool:
+    """Whether ranges (start, end, kind) are too far from each other to be one; a comment and what can be called may be twice as far."""
+    gap = max(0, max(a[0], b[0]) - min(a[1], b[1]) - 1)
+    pair = any("comment" in x and any(f in y for f in _CALLABLE) for x, y in ((a[2], b[2]), (b[2], a[2])))
+    return gap > most * (2 if pair else 1)
+
+
+def fixpoint(ranges: list[tuple[int, int, str, int]], most: int = APART) -> list[tuple[int, int, str, list[int]]]:
+    """Ranges (start, end, kind, rank) of one file merged until nothing is near enough: (start, end, kind, places of the parts).
+
+    In the order of starts, each that is left takes in all that are near
+    enough, again and again, as it grows; its kind becomes that of a part with a
+    better rank than its first one, and with the kind what is near enough. So
+    the result depends on the order, which sums over islands can't express.
+    """
+    order = sorted(range(len(ranges)), key=lambda i: (ranges[i][0], ranges[i][1], ranges[i][3]))
+    left, out = dict.fromkeys(order), []
+    for i in order:
+        if i not in left:
+            continue
+        del left[i]
+        start, end, kind, rank = ranges[i]
+        parts, grown = [i], True
+        while grown:
+            grown = False
+            for j in list(left):
+                s, e, k, r = ranges[j]
+                if not apart((start, end, kind), (s, e, k), most):
+                    start, end, kind = min(start, s), max(end, e), kind if rank <= r else k
+                    parts.append(j)
+                    del left[j]
+                    grown = True
+        out.append((start, end, kind, parts))
+    return out
+
+
+def with_gaps(lines: list[str], start: int, end: int, parts: list[tuple[int, int]]) -> str:
+    """The text of a merged range: its parts, what is between them, and a note in place of gaps of LEFT_OUT lines or more."""
+    out, at = [], start
+    for s, e in [*sorted(parts), (end + 1, end + 1)]:
+        if s - at >= LEFT_OUT:
+            out.append(f"... lines {at}-{s - 1} skipped...")
+        else:
+            out += lines[at - 1 : s - 1]
+        if s <= end:
+            out += lines[max(s, at) - 1 : e]
+        at = max(at, e + 1)
+    return "\n".join(out)
+
+
 def context_windows(hits: DataFrame, lengths: DataFrame, key: str = "path", around: int = CONTEXT) -> DataFrame:
     """Hit lines (key, line_no) widened and merged; files with many windows merge over wider gaps. lengths: (key, n_lines)."""
     wide = hits.join(lengths, key).select(key, F.greatest(F.lit(1), F.col("line_no") - around).alias("start"), F.least("n_lines", F.col("line_no") + around).alias("end"))

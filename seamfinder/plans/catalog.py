@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
-from ..operators import blocks, rank, search, spans
+from ..operators import blocks, pattern, rank, search, spans
 from ..sources import corpus, sinks
 from .query import compile_match, parse
 
@@ -90,6 +90,12 @@ def lines_by_term(spark, d):
     return search.line_hits(files_of(spark, d), list(TERMS)).groupBy("path", "term").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
+@query(f"with {FILES}, {LINES} select path, line_no::int as line_no, i::int as term from raw_lines, (values (0, 'idiot'), (1, 'scum'), (2, 'stupid')) t(i, word) where strlen(line) <= 2000 and contains(lower(line), word)")
+def pattern_lines(spark, d):
+    """Lines with a query's words or stems, by one automaton; the words of the query are not those of the texts."""
+    return pattern.line_terms(files_of(spark, d), parse("Scum idiots stupidity", analyzer.tokenize))
+
+
 # boolean families
 
 
@@ -663,6 +669,12 @@ def search_blocks(spark, d):
     return search.search(files_of(spark, d), "scum AND thre", 25)
 
 
+@query()
+def search_units(spark, d):
+    """The whole search over as many source texts as there are documents, no more of them divided into blocks than it takes."""
+    return search.search(units_of(spark, d), "+run later OR deep", 40, early=True)
+
+
 @query()
 def search_documents(spark, d):
     return flagship(spark, d)

@@ -22,6 +22,7 @@ class Term:
     excluded: bool = False
     exact: bool = False
     field: str | None = None
+    written: str = ""  # as the query has it
 
 
 @dataclass(frozen=True)
@@ -112,13 +113,13 @@ class _Parser:
             raise QueryError(f"a term is missing before {value!r}")
         exact = kind == "quoted"
         keywords = (value.lower(),) if exact or mark == "-" else tuple(self.analyze(value))  # what is excluded stays as it is written
-        return Term(keywords, mark == "+", mark == "-", exact, field)
+        return Term(keywords, mark == "+", mark == "-", exact, field, value)
 
 
 def parse(text: str, analyze: Callable[[str], list[str]], exact: bool = False) -> Expr:
     """analyze gives a term's keywords. Queries that don't parse are taken as words that all must match."""
     if exact:
-        return Term((text.lower(),), exact=True)
+        return Term((text.lower(),), exact=True, written=text)
     try:
         p = _Parser(_lex(text), analyze)
         found = p.either()
@@ -126,7 +127,7 @@ def parse(text: str, analyze: Callable[[str], list[str]], exact: bool = False) -
             raise QueryError("words are left over")
         return found
     except QueryError:
-        return Term(tuple(w for raw in re.findall(r"\w+", text) for w in analyze(raw)))
+        return Term(tuple(w for raw in re.findall(r"\w+", text) for w in analyze(raw)), written=text)
 
 
 def leaves(e: Expr) -> list[Term]:
