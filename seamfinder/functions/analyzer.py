@@ -66,39 +66,41 @@ def _tokens(raw: str) -> tuple[str, ...]:
     return tuple(t for _, tokens in _parts(raw) for t in tokens)
 
 
-def _parts(raw: str) -> list[tuple[str, list[str]]]:
-    """The parts of a run that count, in lower case, with the tokens of each."""
+def _parts(raw: str, divide=None) -> list[tuple[str, list[str]]]:
+    """The parts of a run that count, in lower case, with the tokens of each. divide: how a compound is divided, else by PARTS."""
     out: list[tuple[str, list[str]]] = []
     low = raw.lower()
     for piece in [low] if low in WHOLE else [p.lower() for p in _EDGES.split(raw) if p]:
         if piece in STOP_WORDS or piece in CODE_STOP_WORDS or (piece.isdecimal() and len(piece) < 3 and int(piece) <= 10):
             continue
-        for part in [piece] if piece in WHOLE else _compound(piece):
+        for part in [piece] if piece in WHOLE else (divide or _compound)(piece):
             if part in STOP_WORDS:
                 continue
             out.append((part, [part, stem(part)] if part in WHOLE else [stem(part)]))
     return out
 
 
-def forms(text: str) -> dict[str, set[str]]:
+def forms(text: str, lattice=None) -> dict[str, set[str]]:
     """For each token of a text the words, in lower case, that it comes from."""
     out: dict[str, set[str]] = {}
     for raw in _RUNS.findall(text):
-        for part, tokens in _parts(raw):
+        for part, tokens in _parts(raw, lattice and lattice.split):
             for t in tokens:
                 out.setdefault(t, set()).add(part)
     return out
 
 
-def tokenize(text: str | None, distinct: bool = True) -> list[str]:
+def tokenize(text: str | None, distinct: bool = True, lattice=None) -> list[str]:
     """Split, divide camel case and compounds, drop stop words and the integers to 10, stem; words that are never split also stay as they are.
 
     Null text has no tokens. A word's tokens don't depend on what stands around
     it, so that each distinct word is analysed once; words after a minus sign
-    are taken out.
+    are taken out. lattice: the corpus's own words, by which compounds are
+    divided (compounds.Lattice); without one, a few common parts are known.
     """
     text = text or ""
-    out = [t for raw in _RUNS.findall(text) for t in _tokens(raw)]
+    tokens = lattice.tokens if lattice else _tokens
+    out = [t for raw in _RUNS.findall(text) for t in tokens(raw)]
     if "-" in text and (negated := {stem(w.lower()) for w in _NEGATED.findall(text)}):
         out = [t for t in out if t not in negated]
     return list(dict.fromkeys(out)) if distinct else out

@@ -26,23 +26,23 @@ def root(stem: str) -> str:
     return stem
 
 
-def patterns(e: Expr) -> dict[str, tuple[str, ...]]:
+def patterns(e: Expr, lattice=None) -> dict[str, tuple[str, ...]]:
     """For each keyword of a query the texts that a line with it has, shortest first, without those that hold another: the stem, words as they are written, parts of compounds.
 
     What is exact or excluded stands for itself.
     """
     out: dict[str, set[str]] = {}
     for t in leaves(e):
-        written = {} if t.exact or t.excluded else analyzer.forms(t.written)
+        written = {} if t.exact or t.excluded else analyzer.forms(t.written, lattice)
         for k in t.keywords:
             out.setdefault(k, set()).update([k] if t.exact or t.excluded else [k, *written.get(k, ())])
     return {k: tuple(p for p in sorted(v, key=lambda x: (len(x), x)) if p and not any(q != p and q in p for q in v)) for k, v in out.items()}
 
 
-def hints(e: Expr) -> dict[str, tuple[str, ...]]:
+def hints(e: Expr, lattice=None) -> dict[str, tuple[str, ...]]:
     """Patterns and, where the keyword is a stem, its root: a text without any has no word with that stem, but for a few irregular ones whose forms share less (dying, die)."""
     plain = {k for t in leaves(e) if t.exact or t.excluded for k in t.keywords}
-    return {k: v if k in plain or any(p in root(k) for p in v) else (*(p for p in v if root(k) not in p), root(k)) for k, v in patterns(e).items()}
+    return {k: v if k in plain or any(p in root(k) for p in v) else (*(p for p in v if root(k) not in p), root(k)) for k, v in patterns(e, lattice).items()}
 
 
 def contains(text: Column, some: tuple[str, ...]) -> Column:
@@ -58,11 +58,11 @@ class Matcher:
     keyword as a token.
     """
 
-    def __init__(self, e: Expr, terms: list[str]):
+    def __init__(self, e: Expr, terms: list[str], lattice=None):
         import ahocorasick
 
         self.terms, self.automaton = terms, ahocorasick.Automaton()
-        sure, every = patterns(e), hints(e)
+        sure, every = patterns(e, lattice), hints(e, lattice)
         for i, t in enumerate(terms):
             for h in dict.fromkeys((*sure.get(t, ()), *every.get(t, ()))):
                 self.automaton.add_word(h, (*self.automaton.get(h, ()), (i, h in sure[t])))
@@ -70,7 +70,7 @@ class Matcher:
         if self.some:
             self.automaton.make_automaton()
 
-    def lines(self, content: str) -> dict[int, set[int]]:
+    def lines(self, content: str, lattice=None) -> dict[int, set[int]]:
         """For each line of LINE_BYTES at most the indices of the keywords it has."""
         out: dict[int, set[int]] = {}
         if not self.some:
@@ -86,7 +86,7 @@ class Matcher:
         lines = content.split("\n")
         for line, which in maybe.items():
             rest = which - out.get(line, set())
-            if rest and (has := {i for i in rest if self.terms[i] in analyzer.forms(lines[line - 1])}):
+            if rest and (has := {i for i in rest if self.terms[i] in analyzer.forms(lines[line - 1], lattice)}):
                 out.setdefault(line, set()).update(has)
         return {n: x for n, x in out.items() if len(lines[n - 1]) <= corpus.LINE_BYTES // 4 or len(lines[n - 1].encode("utf-8", "surrogatepass")) <= corpus.LINE_BYTES}
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
+from ..functions.compounds import Lattice
 from ..plans.query import Expr, compile_match, keywords, leaves, parse
 from ..sources import corpus, scratch
 from . import blocks as B
@@ -100,7 +101,7 @@ def chosen(content: str, ext: str, hits: set[int], tests: bool = True) -> list[t
     return sorted([*out, *((s, e, "context") for s, e in windows)])
 
 
-def hit_blocks(files: DataFrame, e: Expr, tests: bool = True, words: bool = True) -> DataFrame:
+def hit_blocks(files: DataFrame, e: Expr, tests: bool = True, words: bool = True, lattice: Lattice | None = None) -> DataFrame:
     """(path, start, end, node_type, code, tokens): what of files(path, ext, content[, seen]) a query hits, in one pass over each file.
 
     Lines that hint at a keyword are found by one automaton, lines in the
@@ -109,14 +110,16 @@ def hit_blocks(files: DataFrame, e: Expr, tests: bool = True, words: bool = True
     and of its file's name. Null texts have no hits.
     """
     terms = [t for t in keywords(e) if any(t in x.keywords and not x.excluded for x in leaves(e))]
-    matcher = pattern.Matcher(e, terms)
+    matcher = pattern.Matcher(e, terms, lattice)
+    shared = lattice and files.sparkSession.sparkContext.broadcast(lattice)  # its size is bounded
 
     def run(batches):
+        own = shared.value if shared else None
         for b in batches:
             rows = []
             for path, ext, content, seen in zip(*(c.to_pylist() for c in b.columns)):
                 content = content or ""
-                hits = set(matcher.lines(content)) if terms else set(range(1, content.count("\n") + 2)) if content else set()
+                hits = set(matcher.lines(content, own)) if terms else set(range(1, content.count("\n") + 2)) if content else set()
                 if seen:
                     hits = {n for n in hits if not any(x["start"] <= n <= x["end"] for x in seen)}
                 if not hits:
@@ -124,7 +127,7 @@ def hit_blocks(files: DataFrame, e: Expr, tests: bool = True, words: bool = True
                 lines = [x if len(x) <= corpus.SHOWN_BYTES // 4 or len(x.encode("utf-8", "surrogatepass")) <= corpus.SHOWN_BYTES else "" for x in content.split("\n")]
                 for s, t, kind in chosen(content, ext or "", hits, tests):
                     code = "\n".join(lines[s - 1 : t])
-                    rows.append((path, s, t, kind, code, analyzer.tokenize(code) + analyzer.tokenize(path) if words else None))
+                    rows.append((path, s, t, kind, code, analyzer.tokenize(code, lattice=own) + analyzer.tokenize(path, lattice=own) if words else None))
             cols = zip(*rows) if rows else [()] * 6
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in HIT.split(", ")])
@@ -133,9 +136,9 @@ def hit_blocks(files: DataFrame, e: Expr, tests: bool = True, words: bool = True
     return files.select("path", "ext", "content", seen.alias("seen")).mapInArrow(run, HIT)
 
 
-def possible(files: DataFrame, e: Expr) -> DataFrame:
+def possible(files: DataFrame, e: Expr, lattice: Lattice | None = None) -> DataFrame:
     """Files whose whole text can match: the query over hints, exclusions aside; all that have a text, if it only excludes."""
-    hints = pattern.hints(e)
+    hints = pattern.hints(e, lattice)
     if all(t.excluded for t in leaves(e)):
         return files
     return files.where(compile_match(e, lambda k, _: pattern.contains(F.concat_ws("\n", "path", "content"), hints[k]), files=True) & rank.some_of([pattern.contains(F.col("content"), h) for h in hints.values()]))
@@ -145,7 +148,7 @@ def possible(files: DataFrame, e: Expr) -> DataFrame:
 BOUND_STEP = 0.01
 
 
-def early_hits(files: DataFrame, e: Expr, n: int, tests: bool = True, looked: list[int] | None = None) -> tuple[DataFrame, dict[str, float]]:
+def early_hits(files: DataFrame, e: Expr, n: int, tests: bool = True, looked: list[int] | None = None, lattice: Lattice | None = None) -> tuple[DataFrame, dict[str, float]]:
     """(hits, stats): hit blocks of as many files as it takes to be certain of the n best, and the statistics that their scores count with.
 
     One pass in the JVM tells which of the query's terms a file and its name
@@ -158,7 +161,7 @@ def early_hits(files: DataFrame, e: Expr, n: int, tests: bool = True, looked: li
     all bounds that are left. What is left out can't be among the n best, ties
     included. looked: gets the number of files of each band.
     """
-    terms, some = keywords(e), pattern.hints(e)
+    terms, some = keywords(e), pattern.hints(e, lattice)
     wanted = [i for i, t in enumerate(terms) if any(t in x.keywords and not x.excluded for x in leaves(e))]
     inside = {f"in_{i}": pattern.contains(F.col("content"), some[terms[i]]).cast("int") for i in wanted}
     named = {f"named_{i}": pattern.contains(F.col("path"), some[terms[i]]).cast("int") for i in wanted}
@@ -182,14 +185,14 @@ def early_hits(files: DataFrame, e: Expr, n: int, tests: bool = True, looked: li
             size += band[-1][1]
         looked is None or looked.append(size)
         own = bounds.where(F.col("bound").between(band[-1][0], band[0][0])).select("path").distinct()
-        new = scratch.kept(hit_blocks(files.join(own, "path", "left_semi"), e, tests), "hits")
+        new = scratch.kept(hit_blocks(files.join(own, "path", "left_semi"), e, tests, lattice=lattice), "hits")
         hits = new if hits is None else hits.unionByName(new)
         if left:
             best = scored(hits, e, stats).select("score").orderBy(F.desc("score")).limit(n).agg(F.count("*").alias("n"), F.min("score").alias("low")).first()
             if best.n == n and best.low > left[0][0] * BOUND_STEP:
                 break
             least *= 2  # so that there are few bands, however many files
-    return (hit_blocks(files, e, tests) if hits is None else hits), stats
+    return (hit_blocks(files, e, tests, lattice=lattice) if hits is None else hits), stats
 
 
 def scored(hits: DataFrame, e: Expr, stats: dict[str, float] | None = None) -> DataFrame:
@@ -198,7 +201,7 @@ def scored(hits: DataFrame, e: Expr, stats: dict[str, float] | None = None) -> D
     return found.withColumn("score", F.col("score") * rank.boost(F.col("node_type"), F.col("start"), F.col("end")))
 
 
-def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True, exact: bool = False, early: bool = False) -> DataFrame:
+def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True, exact: bool = False, early: bool = False, lattice: Lattice | None = None) -> DataFrame:
     """Ranked blocks of source files: declarations that match, and the context of hits outside of any.
 
     exact: the query is one literal text, and blocks that hold it come in order
@@ -209,24 +212,25 @@ def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | No
     ranks and limits are taken. A file that is there repeatedly counts once.
     Scores count the blocks that are hit in files that can match. early: they
     count files instead, and no more files are divided into blocks than it
-    takes to be certain of the n best (early_hits). Null texts
+    takes to be certain of the n best (early_hits). lattice: the words of a
+    corpus by which compounds are divided (compounds.Lattice.of). Null texts
     have no hits, an empty table gives an empty result, and columns beside
     path, ext and content aren't read.
     """
-    e = parse(query, analyzer.tokenize, exact)
+    e = parse(query, lambda w: analyzer.tokenize(w, lattice=lattice), exact)
     terms = keywords(e)
     files = files.select("path", "ext", "content")
-    given = possible(files if tests else files.where(~corpus.is_test(F.col("path"))), e)
+    given = possible(files if tests else files.where(~corpus.is_test(F.col("path"))), e, lattice)
     if seen is not None:
         s = seen.groupBy(session.normal_path(F.col("path")).alias("p")).agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("seen"))
         given = given.join(s, session.normal_path(F.col("path")) == F.col("p"), "left")
     if exact:
-        found = scratch.kept(hit_blocks(given, e, tests, False), "hits").dropDuplicates(["path", "start", "end", "node_type"]).orderBy("path", "start", "end")
+        found = scratch.kept(hit_blocks(given, e, tests, False, lattice), "hits").dropDuplicates(["path", "start", "end", "node_type"]).orderBy("path", "start", "end")
         return (found if n is None else found.limit(n)).select("path", "start", "end", "node_type", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"), "code")
     if early and n is not None and not all(t.excluded for t in leaves(e)):
-        hits, stats = early_hits(given, e, n, tests)
+        hits, stats = early_hits(given, e, n, tests, lattice=lattice)
     else:
-        hits, stats = scratch.kept(hit_blocks(given, e, tests), "hits"), None
+        hits, stats = scratch.kept(hit_blocks(given, e, tests, lattice=lattice), "hits"), None
     ranked = scored(hits, e, stats)
     ranked = ranked.select("path", "start", "end", "node_type", "code", "score", *rank.match_stats(F.col("tokens"), terms), (-F.col("score")).alias("minus"), F.octet_length("code").alias("bytes"), F.greatest(F.lit(1), F.floor(F.octet_length("code") / 4)).alias("tokens"))
     kept = spans.limited(ranked, ["minus", "path", "start", "end"], n, max_bytes, max_tokens)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import analyzer
+from ..functions import analyzer, compounds
+from ..functions.lexicon import CODE_STOP_WORDS, STOP_WORDS
 from ..operators import blocks, pattern, rank, search, spans
 from ..sources import corpus, sinks
 from .query import compile_match, parse
@@ -163,6 +164,23 @@ def avg_doc_length(spark, d):
     return files_of(spark, d).agg(_round(F.avg(F.size(analyzer.words(F.col("content"))))).alias("avgdl"), F.count("*").alias("n"))
 
 
+_EDGED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')"
+
+
+@query(f"""with {FILES}, w as (select unnest({WORDS.format(_EDGED)}) as word from files) select word, count(*) as n from w where regexp_full_match(word, '[a-z]{{3,24}}') and word not in ({", ".join(f"'{w}'" for w in sorted(STOP_WORDS | CODE_STOP_WORDS))}) group by 1 having count(*) >= 2 order by n desc, word limit 200000""")
+def word_counts(spark, d):
+    """The words by which compounds are divided."""
+    return compounds.counted(files_of(spark, d))
+
+
+@query()
+def compound_parts(spark, d):
+    """Every word of the documents with its parts, by the documents' own counts."""
+    f = files_of(spark, d)
+    words = f.select(F.explode(compounds.pieces(F.col("content"))).alias("word")).distinct()
+    return compounds.divided(words, compounds.Lattice.of(f)).where(F.size("parts") > 1)
+
+
 @query(f"with {BAG}, n as (select count(*) as n from files) select term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from (select term, count(distinct path) as df from w group by term), n")
 def idf(spark, d):
     df = doc_frequency(spark, d)
