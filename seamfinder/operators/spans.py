@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import Counter
+from ..sources import scratch
+from .session import normal_path
+
 CONTEXT = 5
 #: Parts that running totals are divided into.
 PARTS = 200
@@ -91,14 +96,66 @@ def contained(ranges: DataFrame, key: str = "path") -> DataFrame:
     return ranges.dropDuplicates([key, "start", "end"]).withColumn("reach", F.max("end").over(w)).where("reach is null or end > reach").drop("reach")
 
 
+def running(ranked: DataFrame, order: list[str]) -> DataFrame:
+    """ranked with rank, run_bytes and run_tokens: places from 1 in the order, and sums of bytes and tokens up to each row, itself included.
+
+    Rows are dealt by ranges of the whole order, so that no task sees all of
+    them, however many tie in its first columns, and written; each part then
+    adds its own sums to those of the parts before, a row for each part.
+    """
+    size = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("bytes", "tokens")}
+    dealt = ranked.drop("rank", "run_bytes", "run_tokens").repartitionByRange(PARTS, *order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id())
+    dealt = scratch.kept(dealt.withColumn("part", F.shiftright("mid", 33).cast("int")), "running")
+    per = dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum(size["bytes"]).alias("b"), F.sum(size["tokens"]).alias("t"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    ahead = per.select(F.col("part").alias("of"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "nbt"])
+    own = Window.partitionBy("part").orderBy("mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.join(F.broadcast(ahead), F.col("part") == F.col("of")).withColumns({  # PARTS rows
+        "rank": (F.col("n_before") + F.count("*").over(own)).cast("int"), "run_bytes": F.col("b_before") + F.sum(size["bytes"]).over(own), "run_tokens": F.col("t_before") + F.sum(size["tokens"]).over(own)})
+    return rows.drop("part", "of", "mid", "n_before", "b_before", "t_before")
+
+
+#: Bytes that stand for a token in the estimate, and how far beyond the limit by the estimate rows are counted at a time.
+TOKEN_BYTES, BEYOND = 4, 1.1
+
+
+def limited_tokens(ranked: DataFrame, order: list[str], max_tokens: int, count: Counter, text: str = "code", max_results: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Rows up to the first that would pass a limit, with rank and, as ``run_tokens``, the exact tokens up to each row.
+
+    The estimate by bytes only tells which rows are counted: those up to BEYOND
+    times the limit, and more while their exact sum doesn't pass it. So what
+    stays is exact, and what sorts far later is never counted: the number of
+    rows that are depends on the limit, not on the table. count gets their
+    texts, null among them. order tells rows apart.
+    """
+    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
+    sized = ranked.withColumns({"bytes": size, "tokens": F.greatest(F.lit(1), F.floor(size / TOKEN_BYTES))})
+    rows = limited(sized, order, max_results, max_bytes) if max_results is not None else running(sized, order)
+    rows = scratch.kept(rows if max_results is not None or max_bytes is None else rows.where(F.col("run_bytes") <= max_bytes), "limited")
+    def counts(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1).to_pylist()), pa.int64())], names=["place", "exact"])
+
+    low, high, known = -1, int(max_tokens * BEYOND) + 1, None
+    while True:
+        part = rows.where((F.col("run_tokens") - F.col("tokens") > low) & (F.col("run_tokens") - F.col("tokens") <= high))
+        new = scratch.kept(part.select("rank", text).mapInArrow(counts, "place int, exact long"), "counted")
+        known = new if known is None else known.unionByName(new)
+        total = known.agg(F.sum("exact").alias("n")).first().n or 0
+        if total > max_tokens or rows.where(F.col("run_tokens") - F.col("tokens") > high).isEmpty():
+            break
+        low, high = high, 2 * high
+    sums = known.withColumn("sum", F.sum("exact").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # as many rows as have tokens up to the limit, and some
+    fits = rows.join(sums, F.col("rank") == F.col("place"))
+    return fits.where(F.col("sum") <= max_tokens).select(*ranked.columns, "rank", F.col("sum").alias("run_tokens"))
+
+
 def limited(ranked: DataFrame, order: list[str], max_results: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, skipped: bool = False) -> DataFrame:
     """Rows up to the first that would pass a limit, with running totals; or, as they are, all that sort after those.
 
-    ranked has bytes and tokens, null counting as none; order, whose first
-    column is a number, tells its rows apart, ties are in any order. With a limit
-    on results a top-k comes first. Without one, running totals are over the
-    whole table: it is cut at quantiles of the first column, and each part adds
-    its own totals to those of the parts before, so that no task sees all rows.
+    ranked has bytes and tokens, null counting as none; order tells its rows
+    apart, ties are in any order. With a limit on results a top-k comes first.
+    Without one, running totals are over the whole table (running).
     """
     def over(rows: DataFrame) -> Column:
         out = F.lit(False)
@@ -108,24 +165,15 @@ def limited(ranked: DataFrame, order: list[str], max_results: int | None = None,
         return out
 
     size = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("bytes", "tokens")}
+    ranked = ranked.drop("rank", "run_bytes", "run_tokens")
     if max_results is not None:
         w = Window.orderBy(*order)
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = ranked.orderBy(*order).limit(max_results).withColumns({"rank": F.row_number().over(w), "run_bytes": F.sum(size["bytes"]).over(run), "run_tokens": F.sum(size["tokens"]).over(run)})
         kept = rows.withColumn("over", F.max(over(rows).cast("int")).over(run)).where("over = 0").drop("over")
     else:
-        first = F.col(order[0]).cast("double")
-        bounds = ranked.agg(F.coalesce(F.percentile_approx(first, [i / PARTS for i in range(1, PARTS)], 10_000), F.array().cast("array<double>")).alias("bounds"))  # one row
-        placed = ranked.crossJoin(F.broadcast(bounds)).withColumn("part", F.size(F.filter("bounds", lambda b: b < first))).drop("bounds")
-        per = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum(size["bytes"]).alias("b"), F.sum(size["tokens"]).alias("t"))
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-        ahead = per.select(F.col("part").alias("of"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "nbt"])
-        ahead = ahead.where(F.lit(True) if max_bytes is None else F.col("b_before") <= max_bytes).where(F.lit(True) if max_tokens is None else F.col("t_before") <= max_tokens)
-        own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = placed.join(F.broadcast(ahead), F.col("part") == F.col("of")).withColumns({
-            "rank": (F.col("n_before") + F.count("*").over(own)).cast("int"), "run_bytes": F.col("b_before") + F.sum(size["bytes"]).over(own), "run_tokens": F.col("t_before") + F.sum(size["tokens"]).over(own)})
-        # totals never fall, so what passes a limit is a tail of the order
-        kept = rows.where(~over(rows)).drop("part", "of", "n_before", "b_before", "t_before")
+        kept = running(ranked, order)
+        kept = kept.where(~over(kept))  # totals never fall, so what passes a limit is a tail of the order
     if not skipped:
         return kept
     last = kept.agg(F.max(F.struct(*order)).alias("last"))  # null where no row is kept
@@ -134,8 +182,8 @@ def limited(ranked: DataFrame, order: list[str], max_results: int | None = None,
 
 def unseen_lines(hits: DataFrame, seen: DataFrame) -> DataFrame:
     """Hits (path, line_no) outside the ranges (path, start, end) already shown in a session."""
-    s = seen.select(F.col("path").alias("p"), "start", "end")
-    return hits.join(s, (F.col("path") == F.col("p")) & F.col("line_no").between(F.col("start"), F.col("end")), "left_anti")
+    s = seen.select(normal_path(F.col("path")).alias("p"), "start", "end")
+    return hits.join(s, (normal_path(F.col("path")) == F.col("p")) & F.col("line_no").between(F.col("start"), F.col("end")), "left_anti")
 
 
 def unseen_blocks(blocks: DataFrame, seen: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import analyzer, compounds
+from ..functions import analyzer, compounds, tokens
 from ..functions.lexicon import CODE_STOP_WORDS, STOP_WORDS
 from ..operators import blocks, pattern, rank, search, spans
 from ..sources import corpus, sinks
@@ -335,6 +335,15 @@ def limit_tokens_estimate(spark, d):
     return spans.limited(_sized(spark, d), ["bytes", "path"], max_tokens=9000).select("path", "run_tokens")
 
 
+@query()
+def limit_tokens_exact(spark, d):
+    """The files that come to 9000 tokens, the shortest first, by exact counts of no more files than it takes."""
+    import public_tokenizers
+
+    count = tokens.byte_pairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return spans.limited_tokens(files_of(spark, d).select("path", "size", "content"), ["size", "path"], 9000, count, "content").select("path", "rank", "run_tokens")
+
+
 @query(_LIMIT + "select path from t where run_bytes > 30000")
 def skipped_rows(spark, d):
     return spans.limited(_sized(spark, d), ["bytes", "path"], max_bytes=30000, skipped=True).select("path")
