@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analyzer
 from ..functions.compounds import Lattice
+from ..functions.tokens import Counter
 from ..plans.query import Expr, compile_match, keywords, leaves, parse
 from ..sources import corpus, scratch
 from . import blocks as B
@@ -201,7 +202,7 @@ def scored(hits: DataFrame, e: Expr, stats: dict[str, float] | None = None) -> D
     return found.withColumn("score", F.col("score") * rank.boost(F.col("node_type"), F.col("start"), F.col("end")))
 
 
-def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True, exact: bool = False, early: bool = False, lattice: Lattice | None = None) -> DataFrame:
+def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True, exact: bool = False, early: bool = False, lattice: Lattice | None = None, count: Counter | None = None) -> DataFrame:
     """Ranked blocks of source files: declarations that match, and the context of hits outside of any.
 
     exact: the query is one literal text, and blocks that hold it come in order
@@ -213,7 +214,8 @@ def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | No
     Scores count the blocks that are hit in files that can match. early: they
     count files instead, and no more files are divided into blocks than it
     takes to be certain of the n best (early_hits). lattice: the words of a
-    corpus by which compounds are divided (compounds.Lattice.of). Null texts
+    corpus by which compounds are divided (compounds.Lattice.of). count: counts
+    tokens exactly where there is a limit on them. Null texts
     have no hits, an empty table gives an empty result, and columns beside
     path, ext and content aren't read.
     """
@@ -233,7 +235,11 @@ def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | No
         hits, stats = scratch.kept(hit_blocks(given, e, tests, lattice=lattice), "hits"), None
     ranked = scored(hits, e, stats)
     ranked = ranked.select("path", "start", "end", "node_type", "code", "score", *rank.match_stats(F.col("tokens"), terms), (-F.col("score")).alias("minus"), F.octet_length("code").alias("bytes"), F.greatest(F.lit(1), F.floor(F.octet_length("code") / 4)).alias("tokens"))
-    kept = spans.limited(ranked, ["minus", "path", "start", "end"], n, max_bytes, max_tokens)
+    order = ["minus", "path", "start", "end"]
+    if count and max_tokens is not None:
+        kept = spans.limited_tokens(ranked, order, max_tokens, count, "code", n, max_bytes)
+    else:
+        kept = spans.limited(ranked, order, n, max_bytes, max_tokens)
     if merge_gap is None:
         return kept.select(SHOWN).orderBy("rank")
     return merged(scratch.kept(kept.select(SHOWN), "ranked"), files, merge_gap, n is not None and n <= MOST_BROADCAST).orderBy("rank")

@@ -11,8 +11,6 @@ from ..sources import scratch
 from .session import normal_path
 
 CONTEXT = 5
-#: Parts that running totals are divided into.
-PARTS = 200
 
 
 def islands(ranges: DataFrame, key: str = "path", gap: int | str = 0) -> DataFrame:
@@ -104,13 +102,13 @@ def running(ranked: DataFrame, order: list[str]) -> DataFrame:
     adds its own sums to those of the parts before, a row for each part.
     """
     size = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("bytes", "tokens")}
-    dealt = ranked.drop("rank", "run_bytes", "run_tokens").repartitionByRange(PARTS, *order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id())
+    dealt = ranked.drop("rank", "run_bytes", "run_tokens").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id())
     dealt = scratch.kept(dealt.withColumn("part", F.shiftright("mid", 33).cast("int")), "running")
     per = dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum(size["bytes"]).alias("b"), F.sum(size["tokens"]).alias("t"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     ahead = per.select(F.col("part").alias("of"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "nbt"])
     own = Window.partitionBy("part").orderBy("mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = dealt.join(F.broadcast(ahead), F.col("part") == F.col("of")).withColumns({  # PARTS rows
+    rows = dealt.join(F.broadcast(ahead), F.col("part") == F.col("of")).withColumns({  # a row for each part
         "rank": (F.col("n_before") + F.count("*").over(own)).cast("int"), "run_bytes": F.col("b_before") + F.sum(size["bytes"]).over(own), "run_tokens": F.col("t_before") + F.sum(size["tokens"]).over(own)})
     return rows.drop("part", "of", "mid", "n_before", "b_before", "t_before")
 

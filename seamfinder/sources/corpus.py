@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
-from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import listing
+
 #: Larger files and longer lines aren't searched (bytes).
 FILE_BYTES, LINE_BYTES, SHOWN_BYTES = 1 << 20, 2000, 500
 # Names that are never searched, and those that are not when tests are left out.
@@ -46,64 +46,21 @@ def ignored(path: Column, globs=IGNORED, more=(), tests: bool = True) -> Column:
     return out if tests else out | path.rlike(f"(^|/)({_globs(TEST_FILES)})(/|$)|(^|/)({_globs(TEST_FOLDERS)})/")
 
 
-class GitIgnore:
-    """The rules of .gitignore files, as they hold below the folders that have them; the last rule that matches decides."""
-
-    def __init__(self):
-        self.rules: list[tuple[str, re.Pattern, bool, bool]] = []
-
-    def read(self, folder: str, text: str) -> None:
-        for raw in text.splitlines():
-            line = re.sub(r"(?<!\\)\s+$", "", raw)
-            if not line or line.startswith("#"):
-                continue
-            keep, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
-            only_dirs, line = line.endswith("/"), line.rstrip("/")
-            fixed = "/" in line
-            self.rules.append((folder, re.compile(("" if fixed else "(?:.*/)?") + self._pattern(line.lstrip("/"))), keep, only_dirs))
-
-    @staticmethod
-    def _pattern(glob: str) -> str:
-        out = ""
-        for m in re.finditer(r"\*\*/|/\*\*$|\*|\?|\[[^\]]+\]|\\?.", glob):
-            t = m[0]
-            out += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(t) or ("[" + t[1:-1].replace("!", "^", 1) + "]" if t[0] == "[" and len(t) > 2 else re.escape(t.removeprefix("\\") or "\\"))
-        return out
-
-    def __call__(self, path: str, is_dir: bool) -> bool:
-        for folder, pattern, keep, only_dirs in reversed(self.rules):
-            own = path[len(folder) :].lstrip("/") if path.startswith(folder) else None
-            if own and (is_dir or not only_dirs) and pattern.fullmatch(own):
-                return not keep
-        return False
-
-
-def files(spark: SparkSession, root: str, globs=IGNORED, tests: bool = True, language: str | None = None, more=(), gitignore: bool = True) -> DataFrame:
-    """(path, ext, size, content) below a folder.
-
-    The driver lists it, so that folders with a leading underscore count too;
-    Spark reads what is listed. Rules of .gitignore files hold unless switched
-    off, more are globs beside the usual ones, and files over FILE_BYTES, hidden
-    ones and those that aren't regular are left out. An empty folder gives an empty table.
+def files(spark: SparkSession, root: str, globs=IGNORED, tests: bool = True, language: str | None = None, more=(), gitignore: bool = True, depth: int | None = None) -> DataFrame:
+    """(path, ext, size, content) below a folder, of any file system that pyarrow opens.
+
+    Folders are listed by Spark jobs, a level at a time (listing), and files are
+    read by the tasks that hold them. Rules of .gitignore files hold unless
+    switched off, more are globs beside the usual ones, and files over
+    FILE_BYTES, hidden ones and those that aren't regular are left out. An
+    empty folder gives an empty table.
     """
-    found, rules, globs = [], GitIgnore(), (*globs, *more, *(() if tests else (*TEST_FILES, *TEST_FOLDERS)))
-    root = os.path.abspath(root)
-    for top, dirs, names in os.walk(root):
-        if gitignore and ".gitignore" in names:
-            with open(os.path.join(top, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                rules.read(top, f.read())
-        ok = lambda n, is_dir: not n.startswith(".") and not any(fnmatchcase(n, g) for g in globs) and not rules(os.path.join(top, n), is_dir)  # noqa: B023, E731
-        dirs[:] = sorted(d for d in dirs if ok(d, True))
-        for n in sorted(names):
-            full = os.path.join(top, n)
-            if ok(n, False) and os.path.isfile(full) and os.path.getsize(full) <= FILE_BYTES and (not language or n.rsplit(".", 1)[-1] in extensions(language)):
-                found.append(full)
-    if not found:
-        return spark.createDataFrame([], "path string, ext string, size long, content string")
-    raw = spark.read.text(["file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in found], wholetext=True)
-    path = F.substring(F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), r"\+", "%2B")), len(root.rstrip("/")) + 2, 1 << 20)
-    out = raw.select(path.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
-    return out.select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"), "size", "content")
+    globs = (*globs, *more, *(() if tests else (*TEST_FILES, *TEST_FOLDERS)))
+    found = listing.listed(spark, root, globs, depth, gitignore).where(~F.col("is_dir") & (F.col("size") <= FILE_BYTES))
+    found = found.select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"), "size")
+    if language:
+        found = found.where(F.col("ext").isin(*extensions(language)))
+    return listing.contents(found, root).where("content is not null")
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

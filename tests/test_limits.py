@@ -79,3 +79,16 @@ def test_tokens_of_documents(spark):
             break
         want.append((f.path, len(want) + 1, total))
     assert [tuple(x) for x in catalog.QUERIES["limit_tokens_exact"](spark, data).orderBy("rank").collect()] == want
+
+
+def test_search_within_tokens(spark):
+    from seamfinder.operators import search
+
+    files = spark.createDataFrame([(f"p{i}.rs", "rs", f"fn load_{i}() {{\n    {'x ' * i}\n}}\n") for i in range(1, 30)], "path string, ext string, content string")
+    every = search.search(files, "load", 99, merge_gap=None).collect()
+    total, want = 0, []
+    for x in every:
+        total += len(x.code.split())
+        if total <= 60:
+            want.append(x.path)
+    assert [x.path for x in search.search(files, "load", 99, max_tokens=60, count=counter(), merge_gap=None).collect()] == want and 1 < len(want) < 29
