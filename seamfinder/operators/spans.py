@@ -205,34 +205,3 @@ def diff_lines(diff: DataFrame, order: str = "pos", text: str = "line", key: str
     counted = F.when(hunk.isNull() & ~F.col(text).startswith("-") & ~F.col(text).startswith("+++") & ~F.col(text).startswith("\\"), 1).otherwise(0)
     rows = rows.withColumn("line_no", F.col("from") + F.sum(counted).over(own) - 1)
     return rows.where((F.col("hunk") > 0) & F.col(text).startswith("+") & ~F.col(text).startswith("+++")).select(key, "path", "line_no")
-
-
-# Names that stand before a point in code, those that stand after one, and extensions.
-CODE_PREFIXES = "local locals var each self this super parent config data resource output input params args props state context".split()
-PROPERTIES = "length size count value key name type id index push pop shift map filter reduce forEach toString valueOf nodes".split()
-EXTENSIONS = "tf js ts rs go py rb php java cs cpp c h hpp".split()
-
-
-def plausible(path: Column) -> Column:
-    """Whether what looks like a path isn't rather a piece of code, as ``self.value`` is."""
-    parts = F.split(path, r"\.", -1)
-    last = F.element_at(parts, -1)
-    code = last.isin(*PROPERTIES) & (F.element_at(parts, 1).isin(*CODE_PREFIXES) | ~last.isin(*EXTENSIONS))
-    return path.contains("/") | path.contains("\\") | (F.size(parts) != 2) | ~code
-
-
-TARGET = r"((?:[A-Za-z]:\\)?[A-Za-z0-9_./\\\-]+\.[A-Za-z]{1,5}\b(?:(?::\d+(?:-\d+|:\d+)?)|(?:#[A-Za-z_][\w.]*))?)"
-
-
-def targets(texts: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """Places named in free text: path, path:line, path:line:column, path:from-to, path#symbol, between quotes or marks or not.
-
-    Null texts name nothing; a place that is named again is there once. Columns
-    that are read later are given by ``keep``.
-    """
-    found = F.regexp_extract_all(F.col(text), F.lit(TARGET), F.lit(1))
-    rows = texts.select(*keep, F.explode(F.array_distinct(found)).alias("target"))
-    part = lambda p, i: F.nullif(F.regexp_extract("target", p, i), F.lit(""))
-    path = F.regexp_extract("target", r"^((?:[A-Za-z]:\\)?[^:#]+)", 1)
-    rows = rows.select(*keep, "target", path.alias("path"), part(r"[^\\]:(\d+)(?:[-:]\d+)?$", 1).cast("int").alias("start"), F.coalesce(part(r":\d+-(\d+)$", 1), part(r"[^\\]:(\d+)(?::\d+)?$", 1)).cast("int").alias("end"), part(r"#(.+)$", 1).alias("symbol"))
-    return rows.where(plausible(F.col("path")))

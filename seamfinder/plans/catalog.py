@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analyzer, compounds, tokens
 from ..functions.lexicon import CODE_STOP_WORDS, STOP_WORDS
-from ..operators import blocks, pattern, rank, search, spans
+from ..operators import blocks, pattern, rank, search, spans, targets
 from ..sources import corpus, sinks
 from .query import compile_match, parse
 
@@ -362,17 +362,24 @@ def session_antijoin_blocks(spark, d):
 
 # extraction
 
-_TALK = "'see ' || role || '/mod_' || turn || '.rs:' || (conv_id % 90 + 1) || '-' || (conv_id % 90 + 9) || ' and lib/x.py#Parent.child, self.value, `src/a' || (conv_id % 7) || '.go:7:3` (data.length or list.map) \"main.c:12\" or README.md'"
-_listed = lambda words: ", ".join(f"'{w}'" for w in words)
+#: What each turn of a conversation says here, with places of four families, marks, a place on the net, code and abbreviations.
+_TALK = "'see **' || role || '/mod_' || turn || '.rs:' || (conv_id % 90 + 1) || '-' || (conv_id % 90 + 9) || '** and ~~lib/x.py#Parent.child~~, self.value, e.g. `src/a' || (conv_id % 7) || '.go:7:3` (data.length or list.map) \"main.c:12\", main.c, it''s in README.md or https://a.com/b' || turn || '.html:9, ``tests/t.js`` and \"src/{a,b}*.ts\"'"
 
 
-@query(f"""with t as (select conv_id, turn, unnest(list_distinct(regexp_extract_all({_TALK}, '([A-Za-z0-9_./\\-]+\\.[A-Za-z]{{1,5}}\\b(?:(?::\\d+(?:-\\d+|:\\d+)?)|(?:#[A-Za-z_][\\w.]*))?)', 1))) as target from conversations),
-p as (select conv_id, turn, target, regexp_extract(target, '^([^:#]+)', 1) as path, try_cast(regexp_extract(target, ':(\\d+)', 1) as int) as start, coalesce(try_cast(regexp_extract(target, ':\\d+-(\\d+)', 1) as int), try_cast(regexp_extract(target, ':(\\d+)', 1) as int)) as "end", nullif(regexp_extract(target, '#(.+)$', 1), '') as symbol from t),
-w as (select *, string_split(path, '.') as ps from p)
-select conv_id, turn, target, path, start, "end", symbol from w
-where contains(path, '/') or len(ps) <> 2 or not (ps[-1] in ({_listed(spans.PROPERTIES)}) and (ps[1] in ({_listed(spans.CODE_PREFIXES)}) or ps[-1] not in ({_listed(spans.EXTENSIONS)})))""")
+@query(f"""select conv_id, turn, v.* from conversations, lateral (values
+  (role || '/mod_' || turn || '.rs:' || (conv_id % 90 + 1) || '-' || (conv_id % 90 + 9), role || '/mod_' || turn || '.rs', (conv_id % 90 + 1)::int, (conv_id % 90 + 9)::int, null::varchar), ('lib/x.py#Parent.child', 'lib/x.py', null, null, 'Parent.child'),
+  ('src/a' || (conv_id % 7) || '.go:7:3', 'src/a' || (conv_id % 7) || '.go', 7, 7, null), ('main.c:12', 'main.c', 12, 12, null), ('README.md', 'README.md', null, null, null), ('tests/t.js', 'tests/t.js', null, null, null), ('src/{{a,b}}*.ts', 'src/{{a,b}}*.ts', null, null, null)) v(target, path, start, "end", symbol) where role is not null and turn is not null and conv_id is not null""")
 def extract_targets_from_text(spark, d):
-    return spans.targets(spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.expr(_TALK)), "t", "conv_id", "turn")
+    return targets.targets(spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.expr(_TALK.replace("''s", "\\'s"))), "t", "conv_id", "turn")
+
+
+@query(f"""with {FILES}, g(target) as (values ('src1/*/doc_1?.txt'), ('src*/en/doc_{{7,8}}*.txt'), ('src2/**'), ('**/doc_33.txt'), ('no/such.txt'), ('none/*.txt'))
+select target, coalesce(files.path, target) as path from g left join files on case target when 'src1/*/doc_1?.txt' then regexp_full_match(path, 'src1/[a-z-]*/doc_1.\\.txt') when 'src*/en/doc_{{7,8}}*.txt' then regexp_full_match(path, 'src[0-9]*/en/doc_[78][0-9]*\\.txt')
+ when 'src2/**' then starts_with(path, 'src2/') when '**/doc_33.txt' then ends_with(path, '/doc_33.txt') else false end where files.path is not null or target = 'no/such.txt'""")
+def globs_expanded(spark, d):
+    f = files_of(spark, d).select("path")
+    found = spark.createDataFrame([(g, g) for g in ("src1/*/doc_1?.txt", "src*/en/doc_{7,8}*.txt", "src2/**", "**/doc_33.txt", "no/such.txt", "none/*.txt")], "target string, path string")
+    return targets.expanded(found, f)
 
 
 _DIFF = ["diff --git a/x.rs b/x.rs", "--- a/x.rs", "+++ b/x.rs", "@@ -1,3 +1,4 @@", " one", "+two", " three", "-four", "+five", "@@ -20,2 +21,3 @@ fn f()", " a", "+b", "diff --git a/y.py b/y.py", "--- a/y.py", "+++ b/y.py", "@@ -0,0 +1,2 @@", "+p", "+q"]
