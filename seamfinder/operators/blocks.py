@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpus import LANGUAGES
-from . import spans
+from ..sources.corpus import LANGUAGES, extensions, is_test
+from . import spans, trees
 from .segment import segment
 
 SCHEMA = "path string, block_id int, start int, end int, first int, node_type string, name string, parent string, parent_type string, parent_start int, parent_end int, is_test boolean, code string"
@@ -126,83 +124,32 @@ def extract(files: DataFrame, found: DataFrame, wanted: DataFrame, around: int =
     return pieces.join(text.select("path", "content"), "path").select("path", "start", "end", "node_type", _lines_of(F.col("content"), F.col("start"), F.col("end")).alias("code"))
 
 
-_WORD = re.compile(r"\s+|(?<=[<&])'[A-Za-z_]\w*(?!')|[A-Za-z_]\w*|\d[\w.]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[^\w\s]")
-_PATTERN = re.compile(r"\s+|\$\$\$[A-Z_]\w*|\$[A-Z_]\w*|[A-Za-z_]\w*|\d[\w.]*|\"(?:\\.|[^\"\\])*\"|[^\w\s]")
-_PAIRS = {"(": ")", "[": "]", "{": "}"}
-
-
-def match_pattern(content: str, pattern: str) -> list[tuple[int, int]]:
-    """Offsets where a pattern matches: $X is a token or bracketed group, $$$X a shortest balanced run; the same name matches the same text."""
-    toks = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(content) if not m.group().isspace()]
-    pat = [t for t in _PATTERN.findall(pattern) if not t.isspace()]
-    close, stack = {}, []
-    for i, (t, _, _) in enumerate(toks):
-        if t in _PAIRS:
-            stack.append(i)
-        elif t in _PAIRS.values() and stack and _PAIRS[toks[stack[-1]][0]] == t:
-            close[stack.pop()] = i
-    text = lambda a, b: content[toks[a][1] : toks[b - 1][2]] if b > a else ""
-    failed: set = set()  # without it and runs, each $$$ would multiply the work
-    runs: set = set()
-
-    def go(p: int, i: int, bound: dict) -> int | None:
-        key = (p, i, tuple(sorted(bound.items())))
-        if key in failed:
-            return None
-        end = walk(p, i, bound)
-        if end is None:
-            failed.add(key)
-        return end
-
-    def walk(p: int, i: int, bound: dict) -> int | None:
-        while p < len(pat):
-            t = pat[p]
-            if t.startswith("$$$"):
-                j, names = i, tuple(sorted(bound.items()))
-                while (p, j, names) not in runs:
-                    runs.add((p, j, names))  # a run from here was tried, and will have failed
-                    if (end := go(p + 1, j, bound)) is not None:
-                        return end
-                    if j >= len(toks) or toks[j][0] in _PAIRS.values():
-                        return None
-                    j = close[j] + 1 if j in close else j + 1
-                return None
-            if i >= len(toks):
-                return None
-            if t.startswith("$"):
-                j = close[i] + 1 if i in close else i + 1
-                if toks[i][0] in _PAIRS.values() or bound.get(t, text(i, j)) != text(i, j):
-                    return None
-                bound, i = bound | {t: text(i, j)}, j
-            elif toks[i][0] != t:
-                return None
-            else:
-                i += 1
-            p += 1
-        return i
-
-    out = []
-    for i in range(len(toks)):
-        end = go(0, i, {})
-        if end is not None:
-            runs.clear()  # it holds places of a run that went well
-            if end > i:
-                out.append((toks[i][1], toks[end - 1][2]))
-    return out
-
-
-def structural(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, line_start, line_end, column_start, column_end, matched_text), in order of path and place."""
-    schema = "path string, line_start int, line_end int, column_start int, column_end int, matched_text string"
+MATCHED = "path string, line_start int, line_end int, column_start int, column_end int, matched_text string"
+
+
+def structural(files: DataFrame, pattern: str, language: str | None = None, tests: bool = True, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(path, line_start, line_end, column_start, column_end, matched_text), in order of path and place: where a pattern of code matches the trees of files(path, ext, content) (trees).
+
+    Files of unknown languages and null texts match nothing; tests, ignore:
+    whether files of tests count, and texts that a path may not have. Repeated
+    files give their matches each time; other columns aren't read.
+    """
+    wanted = trees.compiled(pattern)
+    given = files.where(~_unknown("ext"))
+    given = given if language is None else given.where(F.lower("ext").isin(*extensions(language)))
+    given = given if tests else given.where(~is_test(F.col("path")))
+    for x in ignore:
+        given = given.where(~F.col("path").contains(x))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                for s, e in match_pattern(content or "", pattern):
+            for path, ext, content in zip(pdf["path"], pdf["ext"], pdf["content"]):
+                content = content or ""
+                for s, e in trees.matches(content, ext, wanted):
                     place = lambda o: (content.count("\n", 0, o) + 1, o - (content.rfind("\n", 0, o) + 1))  # noqa: B023, E731
                     (a, b), (c, d) = place(s), place(e)
                     rows.append((path, a, c, b, d, content[s:e]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHED.split(", ")])
 
-    return files.select("path", "content").mapInPandas(run, schema).orderBy("path", "line_start", "column_start")
+    return given.select("path", "ext", "content").mapInPandas(run, MATCHED).orderBy("path", "line_start", "column_start", "line_end", "column_end")

@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 
 class Lexed(NamedTuple):
-    """code: the text with everything else as spaces; comments and strings of several lines: (start, end) offsets, in order."""
+    """code: the text with everything else as spaces; comments, and what else is blanked (strings, whole or in pieces): (start, end) offsets, in order."""
 
     code: str
     comments: list[tuple[int, int]]
@@ -83,7 +83,6 @@ def lex(text: str, family: str) -> Lexed:
     starts, size, pos = _STARTS[family], len(text), 0
     modes: list[list] = []  # strings with code in them: [kind of string, how deep the code's brackets are], innermost last
     heredocs: list[str] = []
-    strings: list[tuple[int, int]] = []
 
     def blank(a: int, b: int) -> None:
         if b > a:
@@ -184,8 +183,6 @@ def lex(text: str, family: str) -> Lexed:
             to = more.end() if more else size
             blank(at, to)
         else:
-            if kind == "s3" and "\n" in m[0]:
-                strings.append((at, to))
             blank(at + (family == "python"), size if kind == "over" else to)  # there a quote is left, as a string is a statement
             to = size if kind == "over" else to
         pos = max(to, at + 1)
@@ -197,7 +194,8 @@ def lex(text: str, family: str) -> Lexed:
             out += [text[at:a] if a > at else "", _BLANK.sub(" ", text[max(a, at) : b])]
             at = b
     code = "".join(out) + text[at:]
-    return Lexed(_first_branches(code, _PREPROCESSED[family]) if family in _PREPROCESSED and "#" in code else code, comments, strings)
+    noted = set(comments)
+    return Lexed(_first_branches(code, _PREPROCESSED[family]) if family in _PREPROCESSED and "#" in code else code, comments, [x for x in sorted(spans) if x not in noted])
 
 
 def _first_branches(code: str, words: frozenset | None) -> str:

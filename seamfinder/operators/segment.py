@@ -15,7 +15,7 @@ import re
 from typing import NamedTuple
 
 from ..sources.corpus import LANGUAGES
-from .lexer import Lines, lex
+from .lexer import Lexed, Lines, lex
 
 
 class Block(NamedTuple):
@@ -344,6 +344,13 @@ def _ended(text: str) -> list[list]:
     return found
 
 
+def declared(lexed: Lexed, family: str) -> list[list]:
+    """[start offset, end offset, kind, name, parent, is in a call that holds tests] of a text's declarations, in order of their starts."""
+    if family == "python":
+        return _indented(lexed.code, lexed.strings)
+    return _ended(lexed.code) if family == "ruby" else _braces(lexed.code, family)
+
+
 class Comment(NamedTuple):
     """Lines that are a comment and nothing else, and the block they belong to: its place in the list, or -1."""
 
@@ -358,9 +365,8 @@ def forest(content: str, ext: str) -> tuple[list[Block], list[Comment]]:
     if language is None or not content:
         return [], []
     family = _FAMILY[language]
-    code, comments, strings = lex(content, family)
-    found = _indented(code, strings) if family == "python" else _ended(code) if family == "ruby" else _braces(code, family)
-    at = Lines(content)
+    lexed = lex(content, family)
+    code, comments, found, at = lexed.code, lexed.comments, declared(lexed, family), Lines(content)
     found = [x for x in found if x[2] != "token_tree" or at.of(x[1] - 1) - at.of(x[0]) > 5]  # only large ones count; they hold no others
     lines = content.split("\n")
     out: list[Block] = []
