@@ -109,3 +109,9 @@ def tokenize(text: str | None, distinct: bool = True, lattice=None) -> list[str]
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def full_terms(text: pd.Series) -> pd.Series:
     return text.map(tokenize)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def all_terms(text: pd.Series) -> pd.Series:
+    """Tokens with repeats, of words after a minus sign too; null has none."""
+    return text.map(lambda t: [x for raw in _RUNS.findall(t or "") for x in _tokens(raw)])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +157,55 @@ def files_needed(max_results: int | None = None, max_tokens: int | None = None,
     return max(FILES_LEAST, n)
 
 
+#: Rows that a scorer gets at most, and tokens of a batch (its rows times its longest text, by TOKEN_BYTES bytes a token).
+RERANKED, BATCH_TOKENS, TOKEN_BYTES = 100, 8192, 4
+
+
+def batches_of(lengths: list[int], most: int) -> list[list[int]]:
+    """Places in the order of lengths, cut into batches whose number times the longest is ``most`` at most; what is longer alone is a batch."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if out and (len(out[-1]) + 1) * lengths[i] <= most:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def rescored(ranked: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], k: int = RERANKED, path: str = "path", code: str = "code", most: int = BATCH_TOKENS, tasks: int = 8) -> DataFrame:
+    """ranked (with ``rank``) with its k best in the order of a scorer, and the rest after them as before; ``score`` is the scorer's there.
+
+    scorer(query, texts) gives a number for each text, higher ones first; it is
+    sent to the tasks and gets batches of texts of similar length, bounded in
+    tokens. A text is headed by its file's name (ranking_text). Rows that tie
+    stay in their order, null texts are empty, and a scorer that gives nan for
+    a text puts it last.
+    """
+    text = ranking_text(F.coalesce(F.col(path), F.lit("")), F.coalesce(F.col(code), F.lit("")))
+    best = ranked.where(F.col("rank") <= k).select(F.struct("*").alias("row"), F.col("rank").alias("was"), text.alias("text"))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            out: list[float] = [0.0] * len(texts)
+            for some in batches_of([len(t.encode("utf-8", "surrogatepass")) // TOKEN_BYTES + 1 for t in texts], most):
+                for i, x in zip(some, scorer(query, [texts[j] for j in some]), strict=True):
+                    out[i] = float(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["place", "new"])
+
+    new = best.select("was", "text").repartition(min(tasks, max(1, k)), "was").mapInArrow(run, "place int, new double")
+    order = Window.orderBy(F.when(F.isnan("new"), None).otherwise(F.col("new")).desc_nulls_last(), "was")  # k rows
+    first = best.join(new, F.col("was") == F.col("place")).withColumn("now", F.row_number().over(order))
+    shown = [F.col("now").alias("rank") if c == "rank" else F.col("new").alias("score") if c == "score" else F.col("row")[c].alias(c) for c in ranked.columns]
+    rest = ranked.where(F.coalesce(F.col("rank") > k, F.lit(True)))
+    return first.select(shown).unionByName(rest).orderBy(F.col("rank").asc_nulls_last())
+
+
+def ranking_text(path: Column, code: Column) -> Column:
+    """A block as a scorer that reads text gets it: headed by its file's name."""
+    return F.concat(F.lit("// Filename: "), path, F.lit("\n"), code)
+
+
 def rerank(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Order by the dot product with a query's vector: the hook for a stronger scorer."""
     q = F.array(*[F.lit(float(x)) for x in query])

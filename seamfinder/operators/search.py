@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import analyzer
 from ..functions.compounds import Lattice
 from ..functions.tokens import Counter
-from ..plans.query import Expr, compile_match, keywords, leaves, parse
+from ..plans.query import Expr, compile_match, evaluate, keywords, leaves, parse
 from ..sources import corpus, scratch
 from . import blocks as B
 from . import pattern, rank, segment, session, spans
@@ -47,11 +48,6 @@ def line_hits(files: DataFrame, terms: list[str], *keep: str) -> DataFrame:
     return rows.select(*(keep or ("path",)), "line_no", F.explode(there).alias("term"))
 
 
-def ranking_text(path: Column, code: Column) -> Column:
-    """A block as a scorer that reads text gets it: headed by its file's name."""
-    return F.concat(F.lit("// Filename: "), path, F.lit("\n"), code)
-
-
 SHOWN = ["path", "start", "end", "node_type", "score", "rank", "matched_keywords", "block_unique_terms", "block_total_matches", "code"]
 #: A block that is hit: rows of ``hit_blocks``.
 HIT = "path string, start int, end int, node_type string, code string, tokens array<string>"
@@ -105,13 +101,26 @@ def chosen(content: str, ext: str, hits: set[int], tests: bool = True) -> list[t
 def hit_blocks(files: DataFrame, e: Expr, tests: bool = True, words: bool = True, lattice: Lattice | None = None) -> DataFrame:
     """(path, start, end, node_type, code, tokens): what of files(path, ext, content[, seen]) a query hits, in one pass over each file.
 
-    Lines that hint at a keyword are found by one automaton, lines in the
-    ranges ``seen`` are passed over, and the rest stand for blocks (chosen). If
+    Lines that hint at a keyword are found by one automaton. Files whose words
+    can't match, exclusions aside, have no hits; of the others' lines those in
+    the ranges ``seen`` are passed over, and the rest stand for blocks (chosen). If
     the query only excludes, all lines count. tokens are the words of the block
     and of its file's name. Null texts have no hits.
     """
     terms = [t for t in keywords(e) if any(t in x.keywords and not x.excluded for x in leaves(e))]
     matcher = pattern.Matcher(e, terms, lattice)
+    literal = {k for t in leaves(e) if t.exact for k in t.keywords}
+
+    def present(found: dict[int, set[int]], content: str, path: str | None, own: Lattice | None) -> set[str]:
+        """The keywords that a file or its name has as words."""
+        has = {terms[i] for which in found.values() for i in which if terms[i] in literal} | (set(analyzer.forms(path or "", own)) & set(terms))
+        lines = content.split("\n")
+        for n in found:
+            if len(has) == len(terms):
+                break
+            has |= set(analyzer.forms(lines[n - 1], own)) & set(terms)
+        return has
+
     shared = lattice and files.sparkSession.sparkContext.broadcast(lattice)  # its size is bounded
 
     def run(batches):
@@ -120,7 +129,10 @@ def hit_blocks(files: DataFrame, e: Expr, tests: bool = True, words: bool = True
             rows = []
             for path, ext, content, seen in zip(*(c.to_pylist() for c in b.columns)):
                 content = content or ""
-                hits = set(matcher.lines(content, own)) if terms else set(range(1, content.count("\n") + 2)) if content else set()
+                found = matcher.lines(content, own)
+                hits = set(found) if terms else set(range(1, content.count("\n") + 2)) if content else set()
+                if hits and terms and not evaluate(e, present(found, content, path, own), files=True):
+                    continue
                 if seen:
                     hits = {n for n in hits if not any(x["start"] <= n <= x["end"] for x in seen)}
                 if not hits:
@@ -202,7 +214,7 @@ def scored(hits: DataFrame, e: Expr, stats: dict[str, float] | None = None) -> D
     return found.withColumn("score", F.col("score") * rank.boost(F.col("node_type"), F.col("start"), F.col("end")))
 
 
-def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True, exact: bool = False, early: bool = False, lattice: Lattice | None = None, count: Counter | None = None) -> DataFrame:
+def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | None = None, max_tokens: int | None = None, seen: DataFrame | None = None, merge_gap: int | None = 5, tests: bool = True, exact: bool = False, early: bool = False, lattice: Lattice | None = None, count: Counter | None = None, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
     """Ranked blocks of source files: declarations that match, and the context of hits outside of any.
 
     exact: the query is one literal text, and blocks that hold it come in order
@@ -215,7 +227,9 @@ def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | No
     count files instead, and no more files are divided into blocks than it
     takes to be certain of the n best (early_hits). lattice: the words of a
     corpus by which compounds are divided (compounds.Lattice.of). count: counts
-    tokens exactly where there is a limit on them. Null texts
+    tokens exactly where there is a limit on them. scorer: reads the query and
+    the best blocks, and puts these in its own order (rank.rescored) before the
+    limits hold. Null texts
     have no hits, an empty table gives an empty result, and columns beside
     path, ext and content aren't read.
     """
@@ -236,6 +250,9 @@ def search(files: DataFrame, query: str, n: int | None = 10, max_bytes: int | No
     ranked = scored(hits, e, stats)
     ranked = ranked.select("path", "start", "end", "node_type", "code", "score", *rank.match_stats(F.col("tokens"), terms), (-F.col("score")).alias("minus"), F.octet_length("code").alias("bytes"), F.greatest(F.lit(1), F.floor(F.octet_length("code") / 4)).alias("tokens"))
     order = ["minus", "path", "start", "end"]
+    if scorer:
+        every = spans.limited(ranked, order, n) if n is not None else spans.running(ranked, order)
+        ranked, order = rank.rescored(scratch.kept(every.drop("run_bytes", "run_tokens"), "scored"), query, scorer).withColumnRenamed("rank", "place"), ["place"]
     if count and max_tokens is not None:
         kept = spans.limited_tokens(ranked, order, max_tokens, count, "code", n, max_bytes)
     else:

@@ -75,8 +75,8 @@ def test_stream_of_files(spark, tmp_path):
     def come(n, rows):
         spark.createDataFrame(rows, "path string, ext string, content string, version long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema("path string, ext string, content string, version long").parquet(f"{tmp_path}/in")
-        index.maintain(stream, f"{tmp_path}/blocks", f"{tmp_path}/checkpoint").awaitTermination()
-        return sorted((x.path, x.name) for x in index.current(spark, f"{tmp_path}/blocks").collect())
+        index.maintain(stream, f"{tmp_path}/index", f"{tmp_path}/checkpoint", every=2).awaitTermination()
+        return sorted((x.path, x.name) for x in index.current(spark, f"{tmp_path}/index").collect())
 
     assert come(1, [("a.rs", "rs", "fn one() {}", 1), ("b.rs", "rs", "fn two() {}", 1), ("a.rs", "rs", "fn old() {}", 0)]) == [("a.rs", "one"), ("b.rs", "two")]
     assert come(2, [("a.rs", "rs", "fn three() {}", 2), ("b.rs", "rs", None, 2)]) == [("a.rs", "three")]

@@ -128,6 +128,8 @@ def test_like_python(spark, query):
         if not any(there(k, f.content) for k in terms) or not evaluate(e, {k for k in terms if there(k, f"{f.path}\n{f.content}")}, files=True):
             continue  # candidates are the blocks of files that can match
         lines = f.content.split("\n")
+        if not evaluate(e, {k for k in terms if k in analyzer.forms(f"{f.path}\n{f.content}")}, files=True):
+            continue  # nor those whose words can't
         hits = [i for i, x in enumerate(lines, 1) if len(x.encode()) <= 2000 and any(p in x.lower() or k in analyzer.tokenize(x) for k in wanted for p in pattern.patterns(e)[k])]
         n, gap, windows = len(lines) - (lines[-1] == "" and len(lines) > 1), 8 if len(hits) > 10 else 6 if len(hits) > 5 else 1, []
         for h in hits:
