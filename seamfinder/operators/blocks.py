@@ -124,6 +124,11 @@ def extract(files: DataFrame, found: DataFrame, wanted: DataFrame, around: int =
     return pieces.join(text.select("path", "content"), "path").select("path", "start", "end", "node_type", _lines_of(F.col("content"), F.col("start"), F.col("end")).alias("code"))
 
 
+def match_pattern(content: str, pattern: str, ext: str = "rs") -> list[tuple[int, int]]:
+    """Offsets where a pattern matches a text in the language of an extension."""
+    return trees.matches(content, ext, trees.compiled(pattern))
+
+
 MATCHED = "path string, line_start int, line_end int, column_start int, column_end int, matched_text string"
 
 
