@@ -321,6 +321,12 @@ def _node(text_col: str):
     return F.conv(F.substring(F.sha2(F.when(t.rlike(WORD), t).otherwise(""), 256), 1, 16), 16, -10).cast("long")
 
 
+def _other(text_col: str):
+    """64 further bits of the same digest, by which texts are told apart that share a node."""
+    t = F.col(text_col)
+    return F.conv(F.substring(F.sha2(F.when(t.rlike(WORD), t).otherwise(""), 256), 17, 16), 16, -10).cast("long")
+
+
 def _sets(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch) -> tuple[DataFrame, DataFrame]:
     """(lists, of): the lists of texts (token, node, n, pos, route) that share a shingle of their prefixes, and the sets (node, n, v, s) of those texts."""
     given = docs.select(_node(text_col).alias("node"), F.col(text_col).alias("text"))
@@ -422,16 +428,24 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without near-duplicates: of each group one row stays, that with the smallest id (null ids come last).
 
     Of rows that repeat an id with texts of one group, one stays; with texts
-    of two groups, one of each. Null and empty texts are one group. An empty
-    table gives an empty result; columns of any names pass through.
+    of two groups, one of each. Null and empty texts are one group. Should two
+    texts share the 64 bits of their node, the one that isn't its first row's
+    stays as it is. An empty table gives an empty result; columns of any names
+    pass through.
     """
     s = Scratch(docs.sparkSession, "similar")
-    given = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _node(text_col).alias("node"))
+    given = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _node(text_col).alias("node"), _other(text_col).alias("other"))
     key = F.struct(F.isnull("id").alias("nameless"), "id").alias("key")
-    nodes = given.groupBy("node").agg(F.min(key).alias("own"))
+    nodes = given.groupBy("node").agg(F.min(key).alias("own"), F.min_by("other", F.struct(key, "other")).alias("first"), F.min("other").alias("low"), F.max("other").alias("high"))
+    shared = s.keep(nodes.where("low <> high").select("node", "first"), "shared")  # hardly ever any
+    nodes = nodes.select("node", "own")
     root = _roots(docs, text_col, k, similarity, s)
     best = nodes.join(root, nodes.node == root.x, "left").groupBy(F.coalesce("r", "node").alias("root")).agg(F.min(F.struct("own", "node")).alias("best"))
     first = s.keep(best.select(F.col("best.node").alias("kept"), F.col("best.own").alias("of")), "first")
     s.release()
     named = given.withColumn("key", key).join(first, (F.col("node") == F.col("kept")) & (F.col("key") == F.col("of")), "left_semi")
-    return named.dropDuplicates(["node", "key"]).select("row.*")
+    if shared.isEmpty():
+        return named.dropDuplicates(["node", "key"]).select("row.*")
+    named = named.join(shared, "node", "left").where(F.col("first").isNull() | (F.col("first") == F.col("other"))).dropDuplicates(["node", "key"])
+    odd = given.join(shared, "node").where(F.col("other") != F.col("first"))
+    return named.select("row.*").unionByName(odd.select("row.*"))

@@ -181,3 +181,16 @@ def test_pairs_across_groups(short, monkeypatch):
     got = {tuple(sorted((x, y))) for i, d in S._across(token, n, pos, node, root, 0.8) for x, y in zip(*np.broadcast_arrays(node[i], node[i + d]))}
     want = {tuple(sorted((node[i], node[j]))) for i in range(300) for j in range(i) if token[i] == token[j] and root[i] != root[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
     assert got == want
+
+
+def test_texts_that_share_a_node_stay(spark, monkeypatch):
+    """With nodes of two bits many texts share one; none of them is lost, and copies of first ones still go."""
+    import seamfinder.llm.simhash as S
+    from pyspark.sql import functions as F
+
+    real = S._node
+    monkeypatch.setattr(S, "_node", lambda c: F.pmod(real(c), F.lit(4)))
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, None), (102, "")]
+    got = sorted(x.doc_id for x in S.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(range(20)) <= set(got) and 100 not in got
