@@ -33,8 +33,18 @@ def pieces(text: Column) -> Column:
 
 def counted(files: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT, column: str = "content") -> DataFrame:
     """(word, n): the ``most`` most frequent words a to z of LEAST_PART to MOST_PART letters that aren't stop words, equal counts in the order of words."""
-    words = files.select(F.explode(pieces(F.col(column))).alias("word")).where(F.col("word").rlike(f"^[a-z]{{{LEAST_PART},{MOST_PART}}}$") & ~F.col("word").isin(*sorted(STOP_WORDS | CODE_STOP_WORDS)))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
+    return top(word_counts(files, column), most, least)
+
+
+def word_counts(files: DataFrame, column: str = "content") -> DataFrame:
+    """(word, n): how often each word is there."""
+    return files.select(F.explode(pieces(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def top(counts: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) -> DataFrame:
+    """The words that compounds are divided by, of all counts (word, n)."""
+    words = counts.where((F.col("n") >= least) & F.col("word").rlike(f"^[a-z]{{{LEAST_PART},{MOST_PART}}}$") & ~F.col("word").isin(*sorted(STOP_WORDS | CODE_STOP_WORDS)))
+    return words.orderBy(F.desc("n"), "word").limit(most)
 
 
 class Lattice:
@@ -44,12 +54,32 @@ class Lattice:
         if len(counts) > MOST_WORDS:
             raise ValueError(f"a lattice has {MOST_WORDS} words at most, as it goes to every task")
         self.logs = {w: math.log(n) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=0)
         self._kept: dict[str, tuple[str, ...]] = {}
+        self._found = None
+
+    def _matches(self, word: str):
+        """(end, start, logarithm) of the known words in a word, by rising ends, by one automaton that each process builds."""
+        if self._found is None:
+            import ahocorasick
+
+            self._found = ahocorasick.Automaton()
+            for w, x in self.logs.items():
+                if len(w) >= LEAST_PART:
+                    self._found.add_word(w, (len(w), x))
+            if len(self._found):
+                self._found.make_automaton()
+        if not len(self._found):
+            return
+        for at, (size, x) in self._found.iter(word):
+            yield at + 1, at + 1 - size, x
 
     @classmethod
     def of(cls, files: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT, column: str = "content") -> Lattice:
-        return cls({r.word: r.n for r in counted(files, min(most, MOST_WORDS), least, column).collect()})  # ``most`` words at most
+        return cls.by(word_counts(files, column), most, least)
+
+    @classmethod
+    def by(cls, counts: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) -> Lattice:
+        return cls({r.word: r.n for r in top(counts, min(most, MOST_WORDS), least).collect()})  # ``most`` words at most
 
     def split(self, word: str) -> list[str]:
         """The parts of a word in lower case, or the word itself. Of equal means the division with fewer parts is taken, then the one whose last parts are longer."""
@@ -60,13 +90,13 @@ class Lattice:
         # best[end][n]: the greatest sum of logarithms of n parts that make up word[:end], and where the last begins
         best: list[dict[int, tuple[float, int]]] = [{} for _ in range(size + 1)]
         best[0][0] = (0.0, 0)
-        for end in range(LEAST_PART, size + 1):
-            for start in range(max(0, end - self.longest), end - LEAST_PART + 1):
-                if not best[start] or (start == 0 and end == size) or (own := self.logs.get(word[start:end])) is None:
-                    continue
-                for n, (total, _) in best[start].items():
-                    if n < most and (n + 1 not in best[end] or total + own > best[end][n + 1][0] + 1e-12):
-                        best[end][n + 1] = (total + own, start)
+        for end, start, own in self._matches(word):
+            if not best[start] or end - start == size:
+                continue
+            here = best[end]
+            for n, (total, _) in best[start].items():
+                if n < most and (n + 1 not in here or total + own > here[n + 1][0] + 1e-12):
+                    here[n + 1] = (total + own, start)
         means = {n: total / n for n, (total, _) in best[size].items()}
         if not means:
             return [word]
@@ -90,7 +120,7 @@ class Lattice:
         return found
 
     def __getstate__(self):
-        return {**self.__dict__, "_kept": {}}
+        return {**self.__dict__, "_kept": {}, "_found": None}
 
 
 def divided(words: DataFrame, lattice: Lattice, column: str = "word") -> DataFrame:

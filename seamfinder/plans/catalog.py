@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import analyzer, compounds, tokens
 from ..functions.lexicon import CODE_STOP_WORDS, STOP_WORDS
 from ..operators import blocks, pattern, rank, search, spans, targets
-from ..sources import corpus, sinks
+from ..sources import corpus, scratch, sinks
 from .query import compile_match, parse
 
 QUERIES: dict = {}
@@ -176,9 +176,8 @@ def word_counts(spark, d):
 @query()
 def compound_parts(spark, d):
     """Every word of the documents with its parts, by the documents' own counts."""
-    f = files_of(spark, d)
-    words = f.select(F.explode(compounds.pieces(F.col("content"))).alias("word")).distinct()
-    return compounds.divided(words, compounds.Lattice.of(f)).where(F.size("parts") > 1)
+    counts = scratch.kept(compounds.word_counts(files_of(spark, d)), "words")
+    return compounds.divided(counts.select("word"), compounds.Lattice.by(counts)).where(F.size("parts") > 1)
 
 
 @query(f"with {BAG}, n as (select count(*) as n from files) select term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from (select term, count(distinct path) as df from w group by term), n")
