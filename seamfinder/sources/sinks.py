@@ -27,8 +27,14 @@ def fence(path: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in FENCES.items() for x in kv])[ext], F.lit(""))
 
 
+def _part(name: str) -> Column:
+    """A column of a result as text; null is empty, so that a row never goes whole."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def json_rows(results: DataFrame) -> DataFrame:
-    return results.select(F.to_json(F.struct("*")).alias("json"))
+    """All columns, whatever their names, as an object a row; nulls keep their keys."""
+    return results.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def json_document(results: DataFrame, **more: str) -> DataFrame:
@@ -54,8 +60,9 @@ def escape(text: Column) -> Column:
 
 
 def xml_rows(results: DataFrame) -> DataFrame:
-    code = F.replace(F.col("code"), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
-    return results.select(F.concat(F.lit("<result><file>"), escape(F.col("path")), F.lit("</file><lines>"), F.col("start"), F.lit("-"), F.col("end"), F.lit("</lines><code><![CDATA["), code, F.lit("]]></code></result>")).alias("xml"))
+    """A row of (path, start, end, code) as an element; null path, lines or code are empty."""
+    code = F.replace(_part("code"), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
+    return results.select(F.concat(F.lit("<result><file>"), escape(_part("path")), F.lit("</file><lines>"), _part("start"), F.lit("-"), _part("end"), F.lit("</lines><code><![CDATA["), code, F.lit("]]></code></result>")).alias("xml"))
 
 
 def xml_summary(results: DataFrame) -> DataFrame:
@@ -64,11 +71,13 @@ def xml_summary(results: DataFrame) -> DataFrame:
 
 
 def markdown_rows(results: DataFrame) -> DataFrame:
-    return results.select(F.concat(F.lit("## "), F.col("path"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"), F.lit("\n```"), fence(F.col("path")), F.lit("\n"), F.col("code"), F.lit("\n```")).alias("markdown"))
+    """A row of (path, start, end, code) under a heading, in a fence of its language; nulls are empty."""
+    return results.select(F.concat(F.lit("## "), _part("path"), F.lit(":"), _part("start"), F.lit("-"), _part("end"), F.lit("\n```"), fence(F.col("path")), F.lit("\n"), _part("code"), F.lit("\n```")).alias("markdown"))
 
 
 def plain_rows(results: DataFrame) -> DataFrame:
-    return results.select(F.concat(F.lit("File: "), F.col("path"), F.lit("\nLines: "), F.col("start"), F.lit("-"), F.col("end"), F.lit("\n"), F.col("code"), F.lit("\n")).alias("plain"))
+    """A row of (path, start, end, code) as plain lines; nulls are empty."""
+    return results.select(F.concat(F.lit("File: "), _part("path"), F.lit("\nLines: "), _part("start"), F.lit("-"), _part("end"), F.lit("\n"), _part("code"), F.lit("\n")).alias("plain"))
 
 
 def highlighted(text: Column, terms: list[str], on: str = "\x1b[1;33m", off: str = "\x1b[0m") -> Column:
