@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents whose five-word shingles are similar to 0.8 or more, the first stays."""
+    """Of the documents whose five-word shingles are similar to 0.8 or more, the first stays; they meet by fingerprints, as in op3."""
     return simhash.keep_first(docs, k=5, similarity=0.8)
 
 

@@ -16,6 +16,7 @@ which links just what differs in two bits or fewer, in linear space.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -128,8 +129,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(label, "fp").select("id", "fp", "component")
 
 
-# texts that are similar rather than almost equal: an exact join of their shingle sets
+# texts that are similar rather than almost equal: wide fingerprints of their shingle sets, and the sets themselves
 
+#: 64-bit lanes of a wide fingerprint.
+LANES = 4
+#: Share of the pairs right at the wanted similarity that meet in a cell of some grid, fingerprints in a cell of unrelated ones (about), and standard errors beyond the expected distance that still count as near. What these leave is found by the rest.
+MET, CELL, ERRORS = 0.99, 256, 3
+#: Cells up to this size are paired by shifts, larger ones group by group; the pairs are the same.
+SHORT_CELL = 1024
+#: Grids that are dealt at a time, which bounds the room that their cells take.
+DEALT = 48
 #: Texts from which the order of the shingles is taken, and how many of them a common shingle has at least. Both only set how many candidates there are.
 SAMPLED, COMMON = 20_000, 3
 #: Lists of texts up to this length are paired by shifts, longer ones group by group; the pairs are the same.
@@ -159,6 +168,58 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(29))
 
 
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """LANES words: the majority of each bit over a set's shingles, whose hashes are mixed anew for every lane."""
+    votes = np.zeros((LANES, 64), np.int64)
+    for at in range(0, len(s), 1 << 14):
+        h = s[at : at + (1 << 14)]
+        for lane in range(LANES):
+            votes[lane] += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+            h = (h ^ h >> np.uint64(32)) * _M1
+            h ^= h >> np.uint64(29)
+    return np.packbits(votes * 2 > len(s), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def wide_counts(f: np.ndarray) -> np.ndarray:
+    """counts() of each lane, in numpy."""
+    low, one = np.uint64(LOW_BITS), np.uint64(1)
+    a, b = f & low, f >> one & low
+    return a ^ b | (a & b) << one
+
+
+def wide_manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """manhattan() over the lanes of rows of counts, in numpy."""
+    x, low, one = a ^ b, np.uint64(LOW_BITS), np.uint64(1)
+    return np.bitwise_count(x & low).sum(1, dtype=np.int32) + 2 * np.bitwise_count(x >> one & ~x & low).sum(1, dtype=np.int32)
+
+
+def _within(f: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Whether fingerprints differ in ``radius`` bits or fewer: the Manhattan distance of their counts, which is never more, leaves out most, the bits decide."""
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), HELD):
+        x, y = i[at : at + HELD], j[at : at + HELD]
+        near = wide_manhattan(c[x], c[y]) <= radius
+        near[near] = np.bitwise_count(f[x[near]] ^ f[y[near]]).sum(1, dtype=np.int32) <= radius
+        out[at : at + HELD] = near
+    return out
+
+
+def _grids(n: int, similarity: float) -> tuple[np.ndarray, int]:
+    """The segments that span each grid, and the radius, for n fingerprints.
+
+    Bits differ for a share of arccos(2 s / (1 + s)) / pi of pairs at the
+    similarity s, and by that the counts of a segment are equal for so many;
+    of unrelated ones 3 in 8 are.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    equal, bits = (1 - share) ** 2 + share**2 / 2, 64 * LANES
+    span = min(32, max(1, int(np.ceil(np.log(max(1, n) / CELL) / np.log(8 / 3)))))
+    many = max(1, int(np.ceil(np.log(1 - MET) / np.log1p(-min(equal**span, 0.999)))))
+    r = np.random.default_rng(64)
+    chosen = np.stack([r.permutation(bits // 2)[:span] for _ in range(many)])
+    return chosen, int(bits * share + ERRORS * np.sqrt(bits * share * (1 - share)))
+
+
 def segments(s: np.ndarray) -> bytes:
     """How many shingles of a set are in each segment of the hashes, a byte each (255 for more)."""
     of = (s >> np.uint64(56)).astype(np.int64) * SEGMENTS >> 8
@@ -222,12 +283,13 @@ def _jumps(token, n, pos, node, root, similarity):
         d *= 2
 
 
-def _across(token, n, pos, node, root, similarity):
+def _across(token, n, pos, node, root, similarity, short=None):
     """All pairs (i, j) within the lists of equal tokens whose roots differ; lists are sorted by size."""
+    short = short or SHORT
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[start, len(token)])
     mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-    small = mixed & (length <= SHORT)
+    small = mixed & (length <= short)
     i, d = np.flatnonzero(np.repeat(small, length)), 1
     while len(i):
         i = i[i + d < len(token)]
@@ -242,16 +304,17 @@ def _across(token, n, pos, node, root, similarity):
             yield i, other[_could(n, pos, np.full(len(other), i), other, similarity)] - i
 
 
-def _pairs(lists: DataFrame, how, similarity: float) -> DataFrame:
-    """Distinct candidates (a, b) of nodes from lists (token, n, pos, node, root, v, route), sorted by size, by ``how`` and within the bound of their counts."""
+def _pairs(dealt: DataFrame, how, similarity: float, near) -> DataFrame:
+    """Distinct candidates (a, b) of nodes from dealt lists (token, n, pos, node, root, and what near reads), sorted by size, by ``how`` and as far as near(n, ...) holds for them."""
 
     def run(batches):
         held, made = [], 0
-        for token, n, pos, node, root, v in _whole(batches):
+        for token, n, pos, node, root, *v in _whole(batches):
+            holds = near(n, *v)
             for i, d in how(token, n, pos, node, root, similarity):
                 i, j = np.broadcast_arrays(i, i + d)
-                near = _close(v, n, i, j, similarity)
-                x, y = node[i[near]], node[j[near]]
+                met = holds(i, j)
+                x, y = node[i[met]], node[j[met]]
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 made += len(x)
                 if made > 1 << 18:
@@ -267,7 +330,6 @@ def _pairs(lists: DataFrame, how, similarity: float) -> DataFrame:
         p = p[p[:, 0] < p[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    dealt = lists.repartition("route").sortWithinPartitions("token", "n", "node").select("token", "n", "pos", "node", "root", "v")
     return dealt.transform(arrow, run, "a long, b long").distinct()
 
 
@@ -327,10 +389,117 @@ def _other(text_col: str):
     return F.conv(F.substring(F.sha2(F.when(t.rlike(WORD), t).otherwise(""), 256), 17, 16), 16, -10).cast("long")
 
 
-def _sets(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lists, of): the lists of texts (token, node, n, pos, route) that share a shingle of their prefixes, and the sets (node, n, v, s) of those texts."""
-    given = docs.select(_node(text_col).alias("node"), F.col(text_col).alias("text"))
-    one_in = max(1, docs.count() // SAMPLED)
+def _given(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(_node(text_col).alias("node"), F.col(text_col).alias("text"))
+
+
+def _sets(given: DataFrame, nodes: DataFrame, k: int, s: Scratch, name: str) -> DataFrame:
+    """(node, n, v, s): the sets of these nodes' texts, how many shingles they have, and the counts of those by segment."""
+
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                own = [shingles(t.as_py(), k) for t in b.column(1).slice(at, 64)]
+                cols = [pa.array([len(x) for x in own], pa.int32()), pa.array(map(segments, own), pa.binary()), pa.array(map(packed, own), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), *cols], names=["node", "n", "v", "s"])
+
+    met = given.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return s.keep(met.select("node", "text").transform(arrow, sets, "node long, n int, v binary, s binary"), name)
+
+
+def _rooted(of: DataFrame, part: DataFrame | None) -> DataFrame:
+    """of with the root of each node, which is itself where there is none yet."""
+    if part is None:
+        return of.withColumn("root", F.col("node"))
+    return of.join(part, of.node == part.x, "left").withColumn("root", F.coalesce("r", "node")).drop("x", "r")
+
+
+def _joined(part: DataFrame | None, found: DataFrame, s: Scratch, name: str) -> DataFrame:
+    """part (x, r) with the links (a, b) that were found."""
+    edges = found if part is None else found.unionByName(part.select(F.col("x").alias("a"), F.col("r").alias("b")))
+    return s.keep(components(edges, s, f"part-{name}").toDF("x", "r"), f"roots-{name}")
+
+
+def _wide(given: DataFrame, k: int) -> DataFrame:
+    """(node, n, f0, f1, ..., v): the wide fingerprint of each text with words, how many shingles it has, and the counts of those by segment."""
+    lanes = [f"f{i}" for i in range(LANES)]
+
+    def prints(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                own = [shingles(t.as_py(), k) for t in b.column(1).slice(at, 256)]
+                f = np.array([wide_fingerprint(x) for x in own], np.uint64).reshape(-1, LANES).view(np.int64)
+                cols = [pa.array([len(x) for x in own], pa.int32()), *(pa.array(f[:, i]) for i in range(LANES)), pa.array(map(segments, own), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *cols], names=["node", "n", *lanes, "v"])
+
+    return given.transform(arrow, prints, f"node long, n int, {', '.join(f'{x} long' for x in lanes)}, v binary").where("n > 0").dropDuplicates(["node"])
+
+
+def _cells(prints: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(token, n, node, root, f0, f1, ..., v): a row for the cell of each grid in which a fingerprint is, a cell being equal counts in the grid's segments."""
+    lanes = [f"f{i}" for i in range(LANES)]
+    place = 3 ** np.arange(chosen.shape[1], dtype=np.int64)
+
+    def spread(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                c = wide_counts(np.stack([np.asarray(x) for x in part.columns[3:-1]], 1).view(np.uint64))
+                each = (c[:, :, None] >> np.arange(0, 64, 2, dtype=np.uint64) & np.uint64(3)).astype(np.int64).reshape(len(c), -1)
+                for i, segs in enumerate(chosen):
+                    yield pa.RecordBatch.from_arrays([pa.array(each[:, segs] @ place * len(chosen) + i), *part.columns], names=["token", "n", "node", "root", *lanes, "v"])
+
+    fields = ", ".join(f"{x} long" for x in lanes)
+    return prints.select("n", "node", "root", *lanes, "v").transform(arrow, spread, f"token long, n int, node long, root long, {fields}, v binary")
+
+
+def _by_fingerprints(given: DataFrame, k: int, similarity: float, s: Scratch) -> DataFrame:
+    """(x, r): nodes that are similar to another by their fingerprints and then by their sets, and the smallest node of their components.
+
+    As in links(), fingerprints become the bit counts of their two-bit
+    segments and meet in the cells of grids that some segments span; there they
+    are held against the Manhattan bound, then bit by bit, and last against
+    the bound of the sets' own counts. The distances of similar texts are too
+    large for grids that no pair escapes, so the grids are as many as let MET
+    of the pairs right at the similarity meet. Cells are read wholly: at
+    distances of powers of two first, then across components.
+    """
+    prints = s.keep(_wide(given, k), "prints")
+    chosen, radius = _grids(prints.count(), similarity)
+
+    def near(n, *cols):
+        f, v = np.stack(cols[:-1], 1).view(np.uint64), cols[-1]
+        c = wide_counts(f)
+
+        def holds(i, j):
+            keep = _within(f, c, i, j, radius)
+            keep[keep] = _close(v, n, i[keep], j[keep], similarity)
+            return keep
+
+        return holds
+
+    part = None
+    dealt = np.array_split(chosen, -(-len(chosen) // DEALT))
+    for i, how in enumerate((_jumps, partial(_across, short=SHORT_CELL))):
+        met, rooted = None, _rooted(prints, part)
+        for j, some in enumerate(dealt):
+            cells = _cells(rooted, some).repartition("token").sortWithinPartitions("token", "n", "node")
+            lists = cells.select("token", "n", F.lit(0).alias("pos"), "node", "root", *(f"f{x}" for x in range(LANES)), "v")
+            found = s.keep(_pairs(lists, how, similarity, near), f"met-{i}-{j}")
+            met = found if met is None else met.unionByName(found)
+            s.release()
+        met = met if len(dealt) == 1 else met.distinct()
+        of = _sets(given, met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k, s, f"sets-{i}")
+        part = _joined(part, _alike(met, of, similarity, s, f"near-{i}"), s, str(i))
+        s.drop(f"sets-{i}", f"near-{i}", *(f"met-{i}-{j}" for j in range(len(dealt))))
+        s.release()
+    s.drop("prints", "roots-0")
+    return part
+
+
+def _lists(given: DataFrame, k: int, similarity: float, s: Scratch) -> DataFrame:
+    """(token, node, n, pos, route): the lists of texts that share a shingle of their prefixes."""
+    one_in = max(1, given.count() // SAMPLED)
     sample = given.where(F.pmod("node", F.lit(one_in)) == 0).dropDuplicates(["node"])
 
     def all_of(batches):
@@ -371,49 +540,48 @@ def _sets(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch)
             more = np.repeat(length > 1, length)
             yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in [*cols, np.repeat(route, length)]], names=["token", "node", "n", "pos", "route"])
 
-    def sets(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                own = [shingles(t.as_py(), k) for t in b.column(1).slice(at, 64)]
-                cols = [pa.array([len(x) for x in own], pa.int32()), pa.array(map(segments, own), pa.binary()), pa.array(map(packed, own), pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), *cols], names=["node", "n", "v", "s"])
-
     fields = "token long, node long, n int, pos int"
     lists = s.keep(given.transform(arrow, listed, fields).repartition("token").sortWithinPartitions("token", "node").transform(arrow, several, fields + ", route long"), "lists")
     s.release()
-    met = given.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    of = s.keep(met.select("node", "text").transform(arrow, sets, "node long, n int, v binary, s binary"), "sets")
+    return lists
+
+
+def _rest(given: DataFrame, part: DataFrame, k: int, similarity: float, s: Scratch) -> DataFrame:
+    """part with the links that the grids don't show: pairs across components, by lists of texts whose sets could be similar."""
+    lists = _lists(given, k, similarity, s)
+    of = _sets(given, lists.select("node").distinct(), k, s, "sets")
+    s.release()
+    counted = s.keep(_rooted(lists.join(of.select("node", "v"), "node"), part), "counted")
+    s.drop("lists")
+    dealt = counted.repartition("route").sortWithinPartitions("token", "n", "node").select("token", "n", "pos", "node", "root", "v")
+    met = s.keep(_pairs(dealt, _across, similarity, lambda n, v: partial(_close, v, n, similarity=similarity)), "met")
+    found = _alike(met, of, similarity, s, "near")
+    more = part if found.isEmpty() else _joined(part, found, s, "rest")
     s.release()
-    return lists, of
+    s.drop("counted", "sets", "met", "near")
+    return more
 
 
 def _roots(docs: DataFrame, text_col: str, k: int, similarity: float, s: Scratch) -> DataFrame:
     """(x, r): the nodes that are similar to another, and the smallest node of their components."""
-    lists, of = _sets(docs, text_col, k, similarity, s)
-    counted = s.keep(lists.join(of.select("node", "v"), "node"), "counted")
-    s.drop("lists")
-    edges, part = None, None
-    for i, how in enumerate((_jumps, _across)):
-        rooted = counted.withColumn("root", F.col("node")) if part is None else counted.join(part, counted.node == part.x, "left").withColumn("root", F.coalesce("r", "node"))
-        met = s.keep(_pairs(rooted, how, similarity), f"met-{i}")
-        found = _alike(met, of, similarity, s, f"near-{i}")
-        edges = found if edges is None else edges.unionByName(found)
-        part = s.keep(components(edges, s, f"part-{i}").toDF("x", "r"), f"roots-{i}")
-        s.release()
-    s.drop("counted", "sets", *(f"{x}-{i}" for i in range(2) for x in ("met", "near")))
-    return part
+    given = _given(docs, text_col)
+    return _rest(given, _by_fingerprints(given, k, similarity, s), k, similarity, s)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) for every row of docs: components of all pairs of texts whose sets of k-word shingles have that Jaccard similarity.
 
-    An exact join: sets at the similarity share a shingle among the first ones
-    of each in any common order (rare ones first here, so that boilerplate
-    makes no candidates), and every candidate is decided by its sets. Groups
-    of near copies would be quadratic in candidates; so lists of texts are
-    first linked at distances of powers of two, and then only pairs across the
-    components found by that are looked at, all of them. Null and empty texts
-    are one group; null ids get their group's smallest id.
+    Texts meet by the wide fingerprints of their sets, as in
+    near_duplicates(): counts of two-bit segments, grids, the Manhattan bound,
+    then the bits; and every candidate is decided by its sets. Distances at
+    this similarity are random, so some pairs meet in no grid. Those are found
+    exactly: sets at the similarity share a shingle among the first ones of
+    each in any common order (rare ones first here), and where two components
+    share one, the sets decide again. Groups of near copies would be quadratic
+    in candidates; so cells are first linked at distances of powers of two,
+    and then only pairs across the components found by that are looked at, all
+    of them. Null and empty texts are one group; null ids get their group's
+    smallest id.
     Repeated rows stay, an empty table gives an empty result, and other
     columns aren't read.
     """

@@ -194,3 +194,61 @@ def test_texts_that_share_a_node_stay(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, None), (102, "")]
     got = sorted(x.doc_id for x in S.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert set(range(20)) <= set(got) and 100 not in got
+
+
+def test_wide_fingerprints_by_bits():
+    r = np.random.default_rng(5)
+    f = r.integers(0, 2**64, (300, S.LANES), np.uint64)
+    for x in range(1, 300, 2):  # partners at many distances
+        for at in r.choice(64 * S.LANES, x // 3, replace=False):
+            f[x] = f[x - 1] if not at else f[x]
+            f[x, at // 64] = f[x - 1, at // 64] ^ np.uint64(1 << int(at % 64))
+    c = S.wide_counts(f)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(300)))
+    apart = np.array([sum((int(a) ^ int(b)).bit_count() for a, b in zip(f[x], f[y])) for x, y in zip(i, j)])
+    field = lambda x: (c[x][:, :, None] >> np.arange(0, 64, 2, dtype=np.uint64) & np.uint64(3)).astype(int).reshape(len(x), -1)
+    bound = np.abs(field(i) - field(j)).sum(1)
+    assert (S.wide_manhattan(c[i], c[j]) == bound).all() and (bound <= apart).all()
+    for radius in (0, 50, 120):
+        assert (S._within(f, c, i, j, radius) == (apart <= radius)).all()
+    s = S.shingles("a b c d e f g h i j")
+    assert all(int(S.wide_fingerprint(s)[0]) >> b & 1 == (2 * sum(int(x) >> b & 1 for x in s) > len(s)) for b in range(64))
+
+
+@pytest.mark.parametrize("short, span", [(1, 2), (1024, 2), (1024, 5)])
+def test_similar_texts_meet_by_fingerprints(spark, short, span, monkeypatch):
+    """The grids by themselves, without the rest: nothing wrong, and nearly all that is right."""
+    monkeypatch.setattr(S, "SHORT_CELL", short)
+    monkeypatch.setattr(S, "CELL", 800 / (8 / 3) ** span)
+    r = random.Random(9)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(250):  # 0.8 is where 33 words differ at the end
+        base = own(304)
+        at = r.randrange(10, 45)
+        rows += [" ".join(base), " ".join(base[:-at] + own(at))]
+    base = own(300)
+    rows += [" ".join(changed(r, base, r.randrange(3, 12))) for _ in range(150)]
+    rows += ["one two", "One  TWO", "", None]
+    want = jaccard_components(list(enumerate(rows)))
+    s = Scratch(spark, "t")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert S._grids(len(rows), 0.8)[0].shape[1] == span
+    part = {x.x: x.r for x in S._by_fingerprints(S._given(df, "text"), 5, 0.8, s).collect()}
+    node = {x.doc_id: x.node for x in df.select("doc_id", S._node("text").alias("node")).collect()}
+    root = {i: part.get(n, n) for i, n in node.items()}
+    linked = [(i, j) for i, j in want.items() if i != j and rows[i]]
+    assert all(len({want[i] for i in root if root[i] == x and rows[i]}) <= 1 for x in set(root.values()))
+    assert len(linked) > 150 and sum(root[i] == root[j] for i, j in linked) >= 0.98 * len(linked)
+
+
+def test_keep_first_links_by_fingerprints(spark, monkeypatch):
+    """Without the rest the fingerprints still take near copies out: the links are theirs."""
+    monkeypatch.setattr(S, "_rest", lambda given, part, *others: part)
+    r = random.Random(10)
+    rows = []
+    for _ in range(30):
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed(r, base, 2)))]
+    got = S.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == list(range(0, 60, 2))
